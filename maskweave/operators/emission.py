@@ -128,15 +128,11 @@ class Index:
         return "".join(out) + text[at:], len(hits)
 
 
-_INDEXES: dict[int, Index] = {}
-
-
 def _index(shared) -> Index:
-    """The worker's index of a broadcast dictionary, built once."""
-    if shared.id not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[shared.id] = Index(shared.value)
-    return _INDEXES[shared.id]
+    """The worker's index of a broadcast dictionary, built once and kept with the broadcast."""
+    if not hasattr(shared, "search_index"):
+        shared.search_index = Index(shared.value)
+    return shared.search_index
 
 
 def replacer(df: DataFrame, entries: DataFrame):

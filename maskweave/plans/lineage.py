@@ -363,7 +363,7 @@ def dry_run(
     policies = output_policies(found, catalog)
     return report | {
         "relations": found.relations,
-        "estimated_bytes": int(size.toString()),
+        "estimated_bytes": int(str(size)),
         "columns": [(n, p.policy, p.basis) for n, p in zip(names, policies)],
         "filters": flagged_filters(found, catalog),
         "uncertain": found.uncertain,
