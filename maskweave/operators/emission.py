@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskweave.functions import tokens as K
+from maskweave.functions.tokens import OPEN, REDACTED, trim_space
 from maskweave.session import fits_broadcast
 
 try:
@@ -25,6 +25,8 @@ except ImportError:  # the alternation below gives the same answer, slower
 
 MIN_MATCH_BYTES = 4
 GATE_BUCKETS = 1 << 18
+HEAD = 4
+CHUNK = 512
 _BRACKETED = re.compile("⟨[^⟨⟩]*⟩")
 _MARKER = re.compile("^⟨redacted:([a-z][a-z_]*)⟩$")
 BRACKETED = "⟨[^⟨⟩]*⟩"
@@ -98,7 +100,7 @@ class Index:
         out = []
         for m in _BRACKETED.finditer(text):
             kind = _MARKER.match(m.group())
-            own = m.group() in self.tokens or m.group() == K.REDACTED
+            own = m.group() in self.tokens or m.group() == REDACTED
             if own or (kind and not self.covers(kind.group(1))):
                 out.append(m.span())
         return out
@@ -106,7 +108,7 @@ class Index:
     def replace(self, text: str) -> tuple[str, int]:
         if not text:
             return text, 0
-        keep = self.protected(text) if K.OPEN in text else []
+        keep = self.protected(text) if OPEN in text else []
         if not keep and self.short:
             low = text.lower()
             for form in (low, low.strip()):
@@ -169,28 +171,53 @@ def replace_known(df: DataFrame, columns: list[str], entries: DataFrame, counts:
     return out.select(*picked)
 
 
+def _gate(head: Column, *more: Column) -> Column:
+    return F.pmod(F.xxhash64(head, *more), F.lit(GATE_BUCKETS))
+
+
 def window_hits(texts: DataFrame, entries: DataFrame) -> DataFrame:
     """All places where an entry occurs: (id, start, end, token), from (id, text).
 
     A window is a substring with the length of some entry, so a joined pair is a true hit and nothing
-    is emitted per pair of candidates. Before the shuffle, a gate of at most 2^18 numbers, computed from
-    the first four characters and the length, drops nearly all windows.
+    is emitted per pair of candidates. Two gates of at most 2^18 numbers each, small enough to
+    broadcast whatever the dictionary, drop nearly all places before the shuffle: the first knows how
+    entries begin, the second how they begin and how long they are. Long texts are read in chunks that
+    overlap by the longest entry, since a substring far into a text is slow to reach.
     """
-    long = entries.where(~F.col("short")).select("pattern", "token", F.length("pattern").alias("n"))
+    size = F.length("pattern")
+    long = entries.where(~F.col("short")).select("pattern", "token", size.alias("n"), F.least(size, F.lit(HEAD)).alias("k"))
     # At most as many numbers as the longest value has characters.
     lengths = long.agg(F.sort_array(F.collect_set("n"))).scalar()
-    gate_of = lambda head, n: F.pmod(F.xxhash64(head, n), F.lit(GATE_BUCKETS))
-    head_size = F.least(F.col("n"), F.lit(4))
-    gate = long.select(gate_of(F.substr("pattern", F.lit(1), head_size), F.col("n")).alias("gate")).distinct()
-    folded = texts.select("id", fold_column(F.col("text")).alias("folded"))
-    at = folded.select(
-        "id", "folded", F.explode(F.filter(lengths, lambda n: n <= F.length("folded"))).alias("n")
-    ).select("id", "folded", "n", F.explode(F.sequence(F.lit(1), F.length("folded") - F.col("n") + 1)).alias("at"))
-    at = at.withColumn("gate", gate_of(F.substr("folded", F.col("at"), head_size), F.col("n")))
-    windows = at.join(F.broadcast(gate), "gate", "left_semi").select(
-        "id", (F.col("at") - 1).alias("start"), F.substr("folded", F.col("at"), F.col("n")).alias("pattern")
+    head_sizes = long.agg(F.sort_array(F.collect_set("k"))).scalar()
+    longest = long.agg(F.max("n")).scalar()
+    head = F.substr("pattern", F.lit(1), F.col("k"))
+    begins = long.select(_gate(head).alias("gate")).distinct()
+    begins_sized = long.select(_gate(head, F.col("n")).alias("gate")).distinct()
+
+    folded = texts.select("id", fold_column(F.col("text")).alias("folded")).where(F.length("folded") > 0)
+    bases = F.sequence(F.lit(0), F.length("folded") - 1, F.lit(CHUNK))
+    chunks = folded.select("id", "folded", F.explode(bases).alias("base")).select(
+        "id", "base", F.substr("folded", F.col("base") + 1, F.lit(CHUNK - 1) + longest).alias("chunk")
+    )
+    room = F.length("chunk")
+    places = (
+        chunks.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(CHUNK), room))).alias("at"))
+        .select("*", F.explode(head_sizes).alias("k"))
+        .where(F.col("at") + F.col("k") - 1 <= room)
+        .withColumn("head", F.substr("chunk", F.col("at"), F.col("k")))
+    )
+    first = places.withColumn("gate", _gate(F.col("head"))).join(F.broadcast(begins), "gate", "left_semi")
+    sized = (
+        first.select("id", "base", "chunk", "at", "k", "head", F.explode(lengths).alias("n"))
+        .where((F.least(F.col("n"), F.lit(HEAD)) == F.col("k")) & (F.col("at") + F.col("n") - 1 <= room))
+        .withColumn("gate", _gate(F.col("head"), F.col("n")))
+        .join(F.broadcast(begins_sized), "gate", "left_semi")
+    )
+    start = F.col("base") + F.col("at") - 1
+    windows = sized.select(
+        "id", start.alias("start"), (start + F.col("n")).alias("end"), F.substr("chunk", F.col("at"), F.col("n")).alias("pattern")
     )
-    return windows.join(long, "pattern").select("id", "start", (F.col("start") + F.col("n")).alias("end"), "token")
+    return windows.join(long.select("pattern", "token"), "pattern").select("id", "start", "end", "token")
 
 
 def resolve_overlaps(hits: DataFrame, id_column: str = "id") -> DataFrame:
@@ -220,13 +247,13 @@ def _bracket_spans(texts: DataFrame, entries: DataFrame) -> DataFrame:
         return F.struct(end.alias("at"), F.when(p["m"].isNotNull(), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
     spans = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    rows = texts.where(F.contains("text", F.lit(K.OPEN))).select("id", F.inline(spans))
+    rows = texts.where(F.contains("text", F.lit(OPEN))).select("id", F.inline(spans))
     kind = F.when(F.col("m").rlike(MARKER), F.regexp_extract("m", MARKER, 1))
     rows = rows.withColumn("kind", kind)
     tokens = entries.select(F.col("token").alias("m")).distinct().withColumn("own", F.lit(True))
     words = entries.select(F.col("pattern").alias("kind")).distinct().withColumn("bound", F.lit(True))
     rows = rows.join(tokens, "m", "left").join(words, "kind", "left")
-    keep = F.col("own") | (F.col("m") == K.REDACTED) | (F.col("kind").isNotNull() & F.col("bound").isNull())
+    keep = F.col("own") | (F.col("m") == REDACTED) | (F.col("kind").isNotNull() & F.col("bound").isNull())
     return rows.where(keep).select("id", "from", "to")
 
 
@@ -252,7 +279,7 @@ def _replace_column_by_join(df: DataFrame, column: str, entries: DataFrame, coun
     spans = resolve_overlaps(hits.where(~F.coalesce(clash, F.lit(False))))
     short = entries.where("short").select("pattern", F.col("token").alias("whole"))
     low = texts.join(ranges.select("id"), "id", "left_anti").select("id", F.lower("text").alias("low"))
-    cells = low.select("id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("low").alias("pattern")), F.struct(F.lit(1).alias("k"), K.trim_space(F.col("low")).alias("pattern")))).alias("c"))
+    cells = low.select("id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("low").alias("pattern")), F.struct(F.lit(1).alias("k"), trim_space(F.col("low")).alias("pattern")))).alias("c"))
     whole = cells.select("id", "c.k", "c.pattern").join(short, "pattern").groupBy("id").agg(F.min_by("whole", "k").alias("whole"))
     answers = spans.join(whole, "id", "full").withColumnRenamed("id", "_id")
     joined = keyed.join(answers, "_id", "left")

@@ -18,9 +18,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskweave.functions import detect as D
-from maskweave.functions import policy as P
-from maskweave.functions import tokens as K
+from maskweave.functions.detect import detection_reach, examines, redact_text
+from maskweave.functions.policy import ALLOW, POLICIES, REDACT, SCAN, TOKEN
+from maskweave.functions.tokens import CLOSE, OPEN, REDACTED, TAG_HEX, Key
 
 MAX_DEPTH = 64
 
@@ -58,7 +58,7 @@ def _write(node, path: str, paths: dict, leaf, depth: int) -> str:
             at, shown = f"{path}.{name}", name
             if not _leads(paths, at):
                 hidden += 1
-                shown = K.REDACTED if hidden == 1 else f"⟨redacted:{hidden}⟩"
+                shown = REDACTED if hidden == 1 else f"⟨redacted:{hidden}⟩"
             parts.append(f"{_quote(shown)}:{_write(child, at, paths, leaf, depth + 1)}")
         if len({p for p, _ in node}) != len(node):
             raise ValueError("repeated member")
@@ -77,31 +77,31 @@ def _raw(node) -> str:
 def mask_document(text: str, paths: dict[str, tuple[str, str]], make_token, scan) -> str:
     """One document; anything that is not an object or array is masked whole."""
     def leaf(path, node):
-        policy, namespace = paths.get(path, (P.REDACT, ""))
+        policy, namespace = paths.get(path, (REDACT, ""))
         if node is None and path in paths:
             return "null"
         is_text = isinstance(node, str) and not isinstance(node, Raw)
-        if policy == P.TOKEN and namespace:
+        if policy == TOKEN and namespace:
             return _quote(make_token(namespace, node if is_text else _raw(node)))
-        if policy in (P.ALLOW, P.SCAN):
+        if policy in (ALLOW, SCAN):
             return _quote(scan(policy, node)) if is_text else _raw(node)
-        return _quote(K.REDACTED)
+        return _quote(REDACTED)
 
     try:
         node = _DECODER.decode(text)
         if not isinstance(node, list):
-            return K.REDACTED
+            return REDACTED
         return _write(node, "$", paths, leaf, 0)
     except (ValueError, RecursionError):
-        return K.REDACTED
+        return REDACTED
 
 
 def _resolved(paths: dict[str, tuple[str, str]], floor: str) -> dict[str, tuple[str, str]]:
     """Paths with unknown policies and the floor applied."""
     out = {}
-    rank = P.POLICIES.index
+    rank = POLICIES.index
     for path, (policy, namespace) in paths.items():
-        policy = policy if policy in P.POLICIES else P.REDACT
+        policy = policy if policy in POLICIES else REDACT
         if rank(floor) > rank(policy):
             policy = floor
         out[path] = (policy, namespace)
@@ -111,42 +111,42 @@ def _resolved(paths: dict[str, tuple[str, str]], floor: str) -> dict[str, tuple[
 def mask_paths(
     value: Column,
     paths: dict[str, tuple[str, str]],
-    key: K.Key | None,
+    key: Key | None,
     detection: str = "scan",
-    floor: str = P.ALLOW,
+    floor: str = ALLOW,
     fold: frozenset[str] = frozenset(),
 ) -> Column:
     """JSON text with each path masked by its policy. The key arrives as columns, never in a closure."""
     resolved = _resolved(paths, floor)
-    reach = D.detection_reach(detection)
+    reach = detection_reach(detection)
 
     def scan(policy: str, text: str) -> str:
-        if not D.examines(policy, True, reach):
+        if not examines(policy, True, reach):
             return text
-        return K.REDACTED if reach == "off" and text else D.redact_text(text)
+        return REDACTED if reach == "off" and text else redact_text(text)
 
     @F.pandas_udf(T.StringType())
     def walk(texts: pd.Series, ipad: pd.Series, opad: pd.Series, version: pd.Series) -> pd.Series:
         def one(text, i, o, v):
             def make_token(namespace: str, raw: str) -> str:
                 if i is None or o is None:
-                    return K.REDACTED
+                    return REDACTED
                 normal = unicodedata.normalize("NFC", raw).strip()
                 normal = normal.lower() if namespace in fold else normal
                 inner = hashlib.sha256(bytes(i) + (namespace + normal).encode()).digest()
-                tag = hashlib.sha256(bytes(o) + inner).hexdigest()[: K.TAG_HEX]
-                return f"{K.OPEN}{namespace}{int(v)}:{tag}{K.CLOSE}"
+                tag = hashlib.sha256(bytes(o) + inner).hexdigest()[: TAG_HEX]
+                return f"{OPEN}{namespace}{int(v)}:{tag}{CLOSE}"
 
             return None if text is None else mask_document(text, resolved, make_token, scan)
 
         return pd.Series([one(*row) for row in zip(texts, ipad, opad, version)], dtype=object)
 
     none = F.lit(None)
-    k = key or K.Key(none.cast("binary"), none.cast("binary"), none.cast("int"))
+    k = key or Key(none.cast("binary"), none.cast("binary"), none.cast("int"))
     return walk(value, k.ipad, k.opad, k.version)
 
 
-def mask_known_members(value: Column, members: dict[str, Callable[[Column], Column]], hidden: str = K.REDACTED) -> Column:
+def mask_known_members(value: Column, members: dict[str, Callable[[Column], Column]], hidden: str = REDACTED) -> Column:
     """Flat object with exactly the given members, rebuilt natively with each one's rule applied.
 
     A cell that is not an object is masked whole. Members outside the list are left out of the output
@@ -162,5 +162,5 @@ def mask_unless_container(value: Column) -> Column:
     """Cells that are not a JSON object or array, or are invalid, masked whole."""
     parsed = F.try_parse_json(value)
     container = parsed.isNotNull() & value.rlike(r"^\s*[\[{]")
-    return F.when(value.isNotNull(), F.when(container, value).otherwise(F.lit(K.REDACTED)))
+    return F.when(value.isNotNull(), F.when(container, value).otherwise(F.lit(REDACTED)))
 

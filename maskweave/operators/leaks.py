@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskweave.operators import emission as E
+from maskweave.operators.emission import _index, fold, fold_column, window_hits
+from maskweave.session import fits_broadcast
 
 NUMERIC_VALUE = "^[0-9.]+$"
 
@@ -35,7 +36,7 @@ def stands_alone(text: Column, start: Column, end: Column) -> Column:
 
 def truth_entries(truth: DataFrame) -> DataFrame:
     """Known values (kind, value) as search entries; the folded value itself is what a hit reports."""
-    folded = E.fold_column(F.col("value"))
+    folded = fold_column(F.col("value"))
     return truth.where(F.length("value") > 0).select(
         folded.alias("pattern"), folded.alias("token"), F.lit(False).alias("short")
     ).distinct()
@@ -49,16 +50,16 @@ def leaked_values(outputs: list[DataFrame], truth: DataFrame) -> DataFrame:
     """
     texts = reduce(DataFrame.unionByName, [strings_of(o) for o in outputs])
     texts = texts.groupBy("id").agg(F.first("text").alias("text"))
-    if E.fits_broadcast(truth_entries(truth), "pattern"):
+    if fits_broadcast(truth_entries(truth), "pattern"):
         hits = _hits_with_edges(texts, truth_entries(truth))
     else:
-        found = E.window_hits(texts, truth_entries(truth))
+        found = window_hits(texts, truth_entries(truth))
         hits = found.join(texts, "id").select(
             F.col("token").alias("value"),
-            stands_alone(E.fold_column(F.col("text")), F.col("start"), F.col("end")).alias("alone"),
+            stands_alone(fold_column(F.col("text")), F.col("start"), F.col("end")).alias("alone"),
         )
     seen = hits.groupBy("value").agg(F.max("alone").alias("alone"))
-    known = truth.select("kind", E.fold_column(F.col("value")).alias("value")).distinct()
+    known = truth.select("kind", fold_column(F.col("value")).alias("value")).distinct()
     counted = F.col("alone") | ~F.col("value").rlike(NUMERIC_VALUE)
     return known.join(seen, "value").where(counted).select("kind", "value")
 
@@ -70,10 +71,10 @@ def _hits_with_edges(texts: DataFrame, entries: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<struct<value: string, alone: boolean>>")
     def find(series):
-        index = E._index(shared)
+        index = _index(shared)
 
         def one(text):
-            low = E.fold(text)
+            low = fold(text)
             best: dict[str, bool] = {}
             for start, end, value in index.all_hits(low):
                 alone = (start == 0 or low[start - 1] not in word) and (end == len(low) or low[end] not in word)
