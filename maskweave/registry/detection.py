@@ -1 +1,320 @@
-"""Placeholder."""
+"""Identifiers in text: found, checked, merged, masked, and searched for as leaks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maskweave.functions import detect as D
+from maskweave.functions import text as X
+from maskweave.operators import leaks as L
+from maskweave.operators.masking import ColumnPolicy, Masking, mask
+from maskweave.registry.base import derived, key, query, table, with_tables
+
+_LUHN = """list_sum([CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(substr(d, i, 1) AS INT)
+  WHEN CAST(substr(d, i, 1) AS INT) > 4 THEN CAST(substr(d, i, 1) AS INT) * 2 - 9 ELSE CAST(substr(d, i, 1) AS INT) * 2 END
+  FOR i IN range(1, length(d) + 1)]) % 10 = 0"""
+
+
+def found_sql(source: str, id_column: str, column: str = "text") -> str:
+    """All matches of all kinds, (id, type, m), in SQL."""
+    parts = []
+    for e in D.ENTITIES:
+        rows = f"SELECT {id_column} AS id, '{e.name}' AS type, unnest(regexp_extract_all({column}, '{e.sql}')) AS m FROM {source}"
+        if e is D.CARD:
+            rows = f"SELECT id, type, m FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM ({rows})) WHERE {_LUHN}"
+        if e is D.IBAN:
+            digits = "list_aggregate([CASE WHEN c BETWEEN 'A' AND 'Z' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END FOR c IN string_split(substr(m, 5) || substr(m, 1, 4), '')], 'string_agg', '')"
+            rows = f"SELECT id, type, m FROM ({rows}) WHERE CAST({digits} AS HUGEINT) % 97 = 1"
+        parts.append(rows)
+    return "\nUNION ALL ".join(parts)
+
+
+def _labelled(text, entity, label: str):
+    """Matches of one kind as (label, value) structs."""
+    return F.transform(D.matched(text, entity), lambda m: F.struct(F.lit(entity.name).alias(label), m.alias("value")))
+
+
+@query("detect_counts", f"SELECT id AS doc_id, type, count(*) AS n FROM ({found_sql('documents', 'doc_id')}) GROUP BY ALL")
+def detect_counts(spark, folder):
+    found = F.array(*(F.struct(F.lit(e.name).alias("type"), F.size(D.matched(F.col("text"), e)).cast("long").alias("n")) for e in D.ENTITIES))
+    return table(spark, folder, "documents").select("doc_id", F.inline(found)).where("n > 0")
+
+
+@query("detect_values", f"SELECT type, m AS value, count(*) AS n FROM ({found_sql('pages', 'page_id', 'html')}) GROUP BY ALL")
+def detect_values(spark, folder):
+    found = F.flatten(
+        F.array(*(_labelled(F.col("html"), e, "type") for e in D.ENTITIES))
+    )
+    return table(spark, folder, "pages").select(F.inline(found)).groupBy("type", "value").agg(F.count("*").alias("n"))
+
+
+@query("detect_spans")
+def detect_spans(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.inline(D.spans(F.col("text"))))
+
+
+# Spans of one kind by adding up the lengths of what stands between the matches.
+@query("detect_positions", rf"""
+SELECT doc_id, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, m AS value FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{D.IP.sql}')) AS m, unnest(regexp_split_to_array(text, '{D.IP.sql}')) AS gap, unnest(range(1, len(regexp_split_to_array(text, '{D.IP.sql}')) + 1)) AS i
+  FROM documents WHERE regexp_matches(text, '{D.IP.sql}'))
+WINDOW w AS (PARTITION BY doc_id ORDER BY i) QUALIFY m IS NOT NULL
+""")
+def detect_positions(spark, folder):
+    out = table(spark, folder, "documents").select("doc_id", "text", F.inline(D.entity_spans(F.col("text"), D.IP)))
+    return out.select("doc_id", "start", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
+
+
+_SPANS = """
+SELECT o_orderkey, s."start", s."end", s.kind FROM (
+  SELECT o_orderkey, unnest([
+    {'start': o_custkey % 40, 'end': o_custkey % 40 + 5, 'kind': 'a'},
+    {'start': o_orderkey % 37, 'end': o_orderkey % 37 + 9, 'kind': 'b'},
+    {'start': o_orderkey * 7 % 41, 'end': o_orderkey * 7 % 41 + 7, 'kind': 'c'}]) AS s FROM orders)
+"""
+
+
+@query("merge_spans", with_tables("""
+SELECT o_orderkey, min("start") AS "start", max("end") AS "end", arg_min(kind, ("start", "end", kind)) AS kind FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY o_orderkey ORDER BY "start", "end", kind) AS island FROM (
+    SELECT *, CASE WHEN "start" < max("end") OVER (PARTITION BY o_orderkey ORDER BY "start", "end", kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s))
+GROUP BY o_orderkey, island
+""", s=_SPANS))
+def merge_spans(spark, folder):
+    def span(start, width, kind):
+        begin = start.cast("int")
+        return F.struct(begin.alias("start"), (begin + width).cast("int").alias("end"), F.lit(kind).alias("type"), F.lit(1.0).alias("score"))
+
+    spans = F.array(span(F.col("o_custkey") % 40, 5, "a"), span(F.col("o_orderkey") % 37, 9, "b"), span(F.col("o_orderkey") * 7 % 41, 7, "c"))
+    out = table(spark, folder, "orders").select("o_orderkey", F.inline(D.merge_spans(spans)))
+    return out.select("o_orderkey", "start", "end", F.col("type").alias("kind"))
+
+
+@query("detect_luhn", f"""
+SELECT doc_id, d AS digits, {_LUHN} AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9]{{13,16}}\\b')) AS d FROM documents)
+""")
+def detect_luhn(spark, folder):
+    runs = F.regexp_extract_all("text", F.lit("(?<![0-9A-Za-z_])[0-9]{13,16}(?![0-9A-Za-z_])"), F.lit(0))
+    return table(spark, folder, "documents").select("doc_id", F.explode(runs).alias("digits")).withColumn("valid", D.luhn(F.col("digits")))
+
+
+
+@query("iban_check", """
+SELECT c_custkey, iban, CAST(substr(iban, 5) || '1314' || substr(iban, 3, 2) AS HUGEINT) % 97 = 1 AS valid FROM (
+  SELECT c_custkey, concat('DE', lpad(CAST(c_nationkey + 60 AS VARCHAR), 2, '0'), lpad(CAST(c_custkey AS VARCHAR), 12, '7')) AS iban FROM customer)
+""")
+def iban_check(spark, folder):
+    iban = F.concat(F.lit("DE"), F.lpad((F.col("c_nationkey") + 60).cast("string"), 2, "0"), F.lpad(F.col("c_custkey").cast("string"), 12, "7"))
+    out = table(spark, folder, "customer").select("c_custkey", iban.alias("iban"))
+    return out.withColumn("valid", D.iban_valid(F.col("iban")))
+
+
+@query("detect_distinct_texts", f"""
+SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN (SELECT id, count(*) AS n FROM ({found_sql('documents', 'doc_id')}) GROUP BY id) ON id = doc_id
+""")
+def detect_distinct_texts(spark, folder):
+    """Each distinct text is examined once. Only texts with a finding come back, by digest, so a text
+    that fills a third of the table meets at most one small row."""
+    docs = table(spark, folder, "documents").withColumn("digest", F.sha2("text", 256))
+    distinct = docs.groupBy("digest").agg(F.first("text").alias("text"))
+    found = distinct.select("digest", F.size(D.spans(F.col("text"))).cast("long").alias("n")).where("n > 0")
+    return docs.join(found, "digest", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("detect_reach", """
+SELECT setting, policy, count(*) AS columns, count(CASE WHEN policy = 'scan' OR (policy = 'allow' AND setting = 'all') THEN 1 END) AS examined
+FROM (SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'off' WHEN 'MACHINERY' THEN 'all' ELSE 'scan' END AS setting,
+             CASE WHEN c_acctbal < 0 THEN 'allow' WHEN c_acctbal < 5000 THEN 'scan' ELSE 'redact' END AS policy FROM customer) GROUP BY ALL
+""")
+def detect_reach(spark, folder):
+    from maskweave.registry.base import PROFILES
+
+    profiles = derived(spark, folder, PROFILES).join(table(spark, folder, "customer").select(F.concat(F.lit("p"), "c_custkey").alias("id"), "c_acctbal"), "id")
+    setting = F.when(F.col("detection").isin("off", "scan", "all"), F.col("detection")).otherwise("scan")
+    policy = F.when(F.col("c_acctbal") < 0, "allow").when(F.col("c_acctbal") < 5000, "scan").otherwise("redact")
+    rows = profiles.select(setting.alias("setting"), policy.alias("policy"))
+    examined = (F.col("policy") == "scan") | ((F.col("policy") == "allow") & (F.col("setting") == "all"))
+    return rows.groupBy("setting", "policy").agg(F.count("*").alias("columns"), F.count(F.when(examined, 1)).alias("examined"))
+
+
+@query("unexamined_masked", """
+SELECT doc_id, CASE lang WHEN 'en' THEN '⟨redacted⟩' WHEN 'fr' THEN '⟨redacted⟩' ELSE lang END AS lang FROM documents
+""")
+def unexamined_masked(spark, folder):
+    """A detector with no answer for English and an answer outside the text for French."""
+    bad = F.array(F.struct(F.lit(1).alias("start"), F.lit(99).alias("end"), F.lit("x").alias("type"), F.lit(1.0).alias("score")))
+    spans = F.when(F.col("lang") == "fr", bad).when(F.col("lang") != "en", F.array().cast(D.SPANS_TYPE))
+    return table(spark, folder, "documents").select("doc_id", D.redact_spans(F.col("lang"), spans).alias("lang"))
+
+
+@query("screen_texts", f"""
+SELECT doc_id, coalesce(k, '') AS kinds, k IS NULL AS accepted FROM documents
+LEFT JOIN (SELECT id, string_agg(type, ',' ORDER BY type) AS k FROM (SELECT DISTINCT id, type FROM ({found_sql('documents', 'doc_id')})) GROUP BY id) ON id = doc_id
+""")
+def screen_texts(spark, folder):
+    kinds = D.kinds(D.spans(F.col("text")))
+    out = table(spark, folder, "documents").select("doc_id", F.array_join(kinds, ",").alias("kinds"))
+    return out.withColumn("accepted", F.col("kinds") == "")
+
+
+@query("detector_identity", f"""
+SELECT source, 'maskweave-patterns' AS detector, '1' AS version, 'none' AS network, count(*) AS texts FROM documents GROUP BY source
+""")
+def detector_identity(spark, folder):
+    counts = table(spark, folder, "documents").groupBy("source").agg(F.count("*").alias("texts"))
+    return counts.select(
+        "source", F.lit(D.DETECTOR_NAME).alias("detector"), F.lit(D.DETECTOR_VERSION).alias("version"),
+        F.lit(D.DETECTOR_NETWORK).alias("network"), "texts",
+    )
+
+
+@query("custom_detector", """
+SELECT doc_id, md5(regexp_replace(text, 'https?://[a-z0-9./-]+', '⟨redacted:url⟩', 'g')) AS digest FROM documents
+""")
+def custom_detector(spark, folder):
+    import re
+
+    url = re.compile("https?://[a-z0-9./-]+")
+    find = D.custom_detector(lambda text: [(*m.span(), "url", 1.0) for m in url.finditer(text)])
+    spans = find(F.col("text"))
+    return table(spark, folder, "documents").select("doc_id", F.md5(D.redact_spans(F.col("text"), spans)).alias("digest"))
+
+
+@query("mask_scan_email", rf"SELECT doc_id, md5(regexp_replace(text, '{D.EMAIL.sql}', '⟨redacted:email_address⟩', 'g')) AS digest FROM documents")
+def mask_scan_email(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.md5(D.replace_entity(F.col("text"), D.EMAIL)).alias("digest"))
+
+
+@query("mask_scan_ipv4", rf"SELECT page_id, md5(regexp_replace(html, '{D.IP.sql}', '⟨redacted:ip_address⟩', 'g')) AS digest FROM pages")
+def mask_scan_ipv4(spark, folder):
+    return table(spark, folder, "pages").select("page_id", F.md5(D.replace_entity(F.col("html"), D.IP)).alias("digest"))
+
+
+_SCANNED = f"""
+WITH f AS (SELECT DISTINCT id, m, type FROM ({found_sql('documents', 'doc_id')})),
+     g AS (SELECT id, list(m ORDER BY length(m) DESC, m) AS ms, list(type ORDER BY length(m) DESC, m) AS ts FROM f GROUP BY id)
+SELECT doc_id, md5(CASE WHEN ms IS NULL THEN text ELSE list_reduce(list_prepend(text, list_transform(range(1, len(ms) + 1), lambda i: ms[i] || chr(1) || ts[i])),
+  lambda t, p: replace(t, string_split(p, chr(1))[1], '⟨redacted:' || string_split(p, chr(1))[2] || '⟩')) END) AS digest
+FROM documents LEFT JOIN g ON id = doc_id
+"""
+
+
+@query("mask_scan_all_kinds", _SCANNED)
+def mask_scan_all_kinds(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    settings = Masking({"doc_id": ColumnPolicy("allow"), "text": ColumnPolicy("scan")})
+    return mask(docs, settings).select("doc_id", F.md5("text").alias("digest"))
+
+
+# Texts with invisible characters: a mark, an override or a bell around the priority.
+_HIDDEN = """
+SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN concat('a', chr(8238), o_orderpriority) WHEN 'F' THEN concat(o_orderpriority, chr(7), chr(8206), chr(9), 'x') ELSE o_orderpriority END AS text FROM orders
+"""
+
+
+@query("bidi_visible", with_tables("""
+SELECT o_orderkey, replace(replace(replace(text, chr(8238), '[U+202E]'), chr(7), '[U+0007]'), chr(8206), '[U+200E]') AS shown FROM h
+""", h=_HIDDEN))
+def bidi_visible(spark, folder):
+    o = table(spark, folder, "orders")
+    status, pri = F.col("o_orderstatus"), F.col("o_orderpriority")
+    text = (
+        F.when(status == "O", F.concat(F.lit("a‮"), pri)).when(status == "F", F.concat(pri, F.lit("\x07‎\tx"))).otherwise(pri)
+    )
+    return o.select("o_orderkey", X.show_hidden(text).alias("shown"))
+
+
+@query("mixed_script", """
+SELECT doc_id, CAST(regexp_matches(name, '[a-zA-Z]') AS INT) + CAST(regexp_matches(name, '[Ѐ-ӿ]') AS INT) + CAST(regexp_matches(name, '[Ͱ-Ͽ]') AS INT) > 1 AS suspect
+FROM (SELECT doc_id, CASE lang WHEN 'en' THEN concat(source, 'а') WHEN 'fr' THEN 'имя' WHEN 'de' THEN concat('α', n_chars) ELSE concat('αа', source) END AS name FROM documents)
+""")
+def mixed_script(spark, folder):
+    lang = F.col("lang")
+    name = (
+        F.when(lang == "en", F.concat("source", F.lit("а"))).when(lang == "fr", "имя")
+        .when(lang == "de", F.concat(F.lit("α"), "n_chars")).otherwise(F.concat(F.lit("αа"), "source"))
+    )
+    return table(spark, folder, "documents").select("doc_id", X.mixed_script(name).alias("suspect"))
+
+
+@query("cap_line", "SELECT page_id, CASE WHEN length(url) > 40 THEN substr(url, 1, 39) || '…' ELSE url END AS forty, CASE WHEN length(html) > 72 THEN substr(html, 1, 71) || '…' ELSE html END AS line FROM pages")
+def cap_line(spark, folder):
+    return table(spark, folder, "pages").select("page_id", X.cap_line(F.col("url"), 40).alias("forty"), X.cap_line(F.col("html")).alias("line"))
+
+
+# Known values: addresses and numbers found in documents; output: pages, whose text shares some of them.
+def _truth(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = F.flatten(F.array(*(_labelled(F.col("text"), e, "kind") for e in D.ENTITIES)))
+    return docs.select(F.inline(found)).distinct()
+
+
+_STANDS = """regexp_matches(low, '(^|[^.0-9a-z])' || replace(value, '.', '[.]') || '($|[^.0-9a-z])')"""
+_LEAKS = f"""
+WITH known AS (SELECT DISTINCT type AS kind, lower(m) AS value FROM ({found_sql('documents', 'doc_id')})),
+     texts AS (SELECT DISTINCT lower(html) AS low FROM pages UNION SELECT DISTINCT lower(text) FROM documents),
+     hits AS (SELECT DISTINCT kind, value FROM known JOIN texts ON contains(low, value) AND (NOT regexp_matches(value, '^[0-9.]+$') OR {_STANDS}))
+"""
+
+
+@query("leak_counts", _LEAKS + "SELECT kind, count(value) AS leaks FROM (SELECT DISTINCT kind FROM known) LEFT JOIN hits USING (kind) GROUP BY kind")
+def leak_counts(spark, folder):
+    outputs = [table(spark, folder, "pages"), table(spark, folder, "documents").select("text")]
+    return L.leak_counts(outputs, _truth(spark, folder))
+
+
+@query("leak_counts_masked", f"SELECT DISTINCT type AS kind, CAST(0 AS BIGINT) AS leaks FROM ({found_sql('documents', 'doc_id')})")
+def leak_counts_masked(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    masked = mask(docs, Masking({"doc_id": ColumnPolicy("allow"), "text": ColumnPolicy("scan")}))
+    return L.leak_counts([masked], _truth(spark, folder))
+
+
+@query("leak_standing_alone", """
+WITH known AS (SELECT DISTINCT CAST(p_size * 10 AS VARCHAR) AS value FROM part), texts AS (SELECT DISTINCT lower(props) AS low FROM events UNION SELECT DISTINCT lower(concat('n', user_id, 'x ', event_id)) FROM events)
+SELECT value FROM known WHERE EXISTS (SELECT 1 FROM texts WHERE regexp_matches(low, '(^|[^.0-9a-z])' || value || '($|[^.0-9a-z])'))
+""")
+def leak_standing_alone(spark, folder):
+    truth = table(spark, folder, "part").select(F.lit("amount").alias("kind"), (F.col("p_size") * 10).cast("string").alias("value")).distinct()
+    ev = table(spark, folder, "events")
+    outputs = [ev.select("props"), ev.select(F.concat(F.lit("n"), "user_id", F.lit("x "), "event_id").alias("t"))]
+    return L.leaked_values(outputs, truth).select("value")
+
+
+@query("leak_battery", """
+SELECT * FROM (VALUES ('name', CAST(0 AS BIGINT)), ('balance', CAST(0 AS BIGINT))) t(kind, leaks)
+""")
+def leak_battery(spark, folder):
+    """Sixteen shapes of statement over customers, masked by what flows into them: none may leak."""
+    from maskweave.plans import lineage as G
+    from maskweave.registry.base import CUSTOMER_CATALOG, TABLES, views
+
+    views(spark, folder)
+    spark.sql("CREATE OR REPLACE TEMP VIEW customer_contacts AS SELECT c_custkey, c_name FROM customer")
+    # Shapes of statement that have leaked elsewhere, over whole tables.
+    shapes = (
+        "SELECT * FROM customer",
+        "SELECT c_name AS e, c_acctbal AS s FROM customer",
+        "WITH x AS (SELECT c_name, c_acctbal FROM customer) SELECT * FROM x",
+        "SELECT upper(c_name), lower(c_name), replace(c_name, '#', '') FROM customer",
+        "SELECT 'name:' || c_name AS m FROM customer",
+        "SELECT to_json(named_struct('e', c_name, 's', c_acctbal)) AS j FROM customer",
+        "SELECT c_nationkey, array_join(collect_list(c_name), ',') AS names FROM customer GROUP BY c_nationkey",
+        "SELECT * FROM customer_contacts",
+        "SELECT concat_ws(' ', c_mktsegment, c_name) AS body FROM customer",
+        "SELECT map(c_name, c_acctbal) AS metadata FROM customer",
+        "SELECT o_orderkey, (SELECT max(c_name) FROM customer) AS note FROM orders",
+        "SELECT c_name AS ref, c_name AS contact FROM customer",
+        "SELECT c_name FROM customer UNION ALL SELECT cast(c_acctbal AS string) FROM customer",
+        "SELECT c_name, row_number() OVER (ORDER BY c_acctbal) AS place FROM customer",
+        "SELECT try_cast(c_name AS int) AS n, cast(c_acctbal AS string) AS b FROM customer",
+        "SELECT substr(c_name, 1, 18) AS area FROM customer",
+    )
+    settings = Masking({}, key=key(spark))
+    outputs = [G.masked(spark.sql(q), CUSTOMER_CATALOG, settings, frozenset(TABLES)) for q in shapes]
+    cells = [o.select(*(F.to_json(F.struct(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(o.columns))) for o in outputs]
+    c = table(spark, folder, "customer")
+    truth = c.select(F.lit("name").alias("kind"), F.col("c_name").alias("value")).union(
+        c.where(F.abs("c_acctbal") >= 100).select(F.lit("balance"), F.col("c_acctbal").cast("string"))
+    )
+    return L.leak_counts([x.select(F.concat_ws(" ", *x.columns).alias("t")) for x in cells], truth)
