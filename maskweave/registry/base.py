@@ -88,22 +88,22 @@ SELECT concat('s', p_size % 4) AS schema,
 FROM (SELECT *, CASE p_size % {len(WORDS)} {' '.join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WORDS))} END AS word FROM part) w
 """
 STATS = f"""
-SELECT schema, relation, column, CAST(p_size * 4 AS DOUBLE) AS "distinct", p_retailprice / 40 AS avg_width
+SELECT schema, relation, "column", CAST(p_size * 4 AS DOUBLE) AS "distinct", p_retailprice / 40 AS avg_width
 FROM ({ESTATE}) e WHERE p_brand <> 'Brand#7'
 """
 # What people have decided, and what an older rule had filled in.
 COMMITTED = f"""
-SELECT schema, relation, column, CASE WHEN p_size > 35 THEN 'allow' WHEN p_size > 28 THEN 'token' ELSE 'redact' END AS policy,
+SELECT schema, relation, "column", CASE WHEN p_size > 35 THEN 'allow' WHEN p_size > 28 THEN 'token' ELSE 'redact' END AS policy,
        CASE WHEN p_size <= 35 AND p_size > 28 THEN 'email' ELSE '' END AS namespace
 FROM ({ESTATE}) e WHERE p_size > 20
 """
 OVERLAY = f"""
-SELECT schema, relation, column, CASE WHEN p_size > 15 THEN 'scan' WHEN p_size > 8 THEN 'redact' ELSE 'allow' END AS policy,
+SELECT schema, relation, "column", CASE WHEN p_size > 15 THEN 'scan' WHEN p_size > 8 THEN 'redact' ELSE 'allow' END AS policy,
        '' AS namespace
 FROM ({ESTATE}) e WHERE p_size <= 24 AND p_size > 2
 """
 WANTED = f"""
-SELECT schema, relation, column, CASE WHEN p_brand < 'Brand#2' THEN 'token' WHEN p_brand < 'Brand#3' THEN 'redact' ELSE 'scan' END AS policy,
+SELECT schema, relation, "column", CASE WHEN p_brand < 'Brand#2' THEN 'token' WHEN p_brand < 'Brand#3' THEN 'redact' ELSE 'scan' END AS policy,
        CASE WHEN p_brand < 'Brand#2' THEN 'person' ELSE '' END AS namespace
 FROM ({ESTATE}) e WHERE p_size < 30
 """
@@ -149,8 +149,8 @@ FROM lineitem
 
 
 def derived(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    """A derived table in Spark."""
-    return views(spark, folder).sql(sql.replace('"distinct"', "`distinct`"))
+    """A derived table in Spark, which quotes names its own way."""
+    return views(spark, folder).sql(sql.replace('"', "`"))
 
 
 def with_tables(body: str, **tables: str) -> str:
