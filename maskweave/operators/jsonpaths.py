@@ -38,7 +38,8 @@ def _strict(text: str):
     raise ValueError(text)
 
 
-_DECODER = json.JSONDecoder(object_pairs_hook=Members, parse_int=Raw, parse_float=Raw, parse_constant=_strict)
+def _parse(text: str):
+    return json.loads(text, object_pairs_hook=Members, parse_int=Raw, parse_float=Raw, parse_constant=_strict)
 
 
 def _leads(paths: dict, path: str) -> bool:
@@ -88,7 +89,7 @@ def mask_document(text: str, paths: dict[str, tuple[str, str]], make_token, scan
         return _quote(REDACTED)
 
     try:
-        node = _DECODER.decode(text)
+        node = _parse(text)
         if not isinstance(node, list):
             return REDACTED
         return _write(node, "$", paths, leaf, 0)
@@ -158,9 +159,18 @@ def mask_known_members(value: Column, members: dict[str, Callable[[Column], Colu
     return F.when(value.isNotNull(), F.when(is_object, F.to_json(F.struct(*fields))).otherwise(F.lit(hidden)))
 
 
+def is_container(value: Column) -> Column:
+    """Whether a text is exactly one JSON object or array.
+
+    Spark's parser stops after the first value and ignores what follows. A text with something behind
+    its value cannot be well formed inside both an array of one and an object of one.
+    """
+    in_array, in_object = F.concat(F.lit("["), value, F.lit("]")), F.concat(F.lit('{"v":'), value, F.lit("}"))
+    alone = F.try_parse_json(in_array).isNotNull() & F.try_parse_json(in_object).isNotNull()
+    return value.rlike(r"^\s*[\[{]") & alone & (F.json_array_length(in_array) == 1)
+
+
 def mask_unless_container(value: Column) -> Column:
     """Cells that are not a JSON object or array, or are invalid, masked whole."""
-    parsed = F.try_parse_json(value)
-    container = parsed.isNotNull() & value.rlike(r"^\s*[\[{]")
-    return F.when(value.isNotNull(), F.when(container, value).otherwise(F.lit(REDACTED)))
-
+    kept = F.coalesce(is_container(value), F.lit(False))
+    return F.when(value.isNotNull(), F.when(kept, value).otherwise(F.lit(REDACTED)))
