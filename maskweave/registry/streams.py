@@ -1 +1,120 @@
-"""Placeholder."""
+"""Streaming queries run to completion over the given tables, beside their batch answer."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from maskweave.operators.masking import ColumnPolicy, Masking
+from maskweave.registry.base import LOG, key, query, sql_token, table
+from maskweave.streaming import streams as S
+
+
+def _folder(spark) -> str:
+    """A new folder for a stream's state and output: below the cluster's checkpoint folder where it has
+    one, so that all executors see it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        import uuid
+
+        return f"{base.rstrip('/')}/maskweave-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="maskweave-stream-")
+
+
+def _stream(spark, folder: str, name: str):
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
+
+
+@query("stream_mask_equals_batch", f"""
+SELECT c_custkey, {sql_token('person', 'c_name')} AS c_name, '⟨redacted⟩' AS c_nationkey, '⟨redacted⟩' AS c_acctbal, c_mktsegment FROM customer
+""")
+def stream_mask_equals_batch(spark, folder):
+    policies = {"c_custkey": ColumnPolicy("allow"), "c_name": ColumnPolicy("token", "person"), "c_mktsegment": ColumnPolicy("scan")}
+    at = _folder(spark)
+    masked = S.masked_stream(_stream(spark, folder, "customer"), Masking(policies, key=key(spark)))
+    run = masked.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(masked.schema).parquet(f"{at}/out")
+
+
+def _as_log(events):
+    """Events as log records, in the shape a stream of them has."""
+    return events.select(
+        F.concat(F.lit("r"), F.floor(F.col("event_id") / 2).cast("long")).alias("id"), F.col("ts").cast("timestamp").alias("at"),
+        F.col("event_id").alias("seq"), F.concat(F.lit("s"), "user_id").alias("session_id"), "event_type", "value",
+    )
+
+
+@query("stream_latest_record", f"""
+WITH l AS ({LOG}) SELECT id, seq, session_id FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1
+""")
+def stream_latest_record(spark, folder):
+    """Each micro-batch is merged into the table of latest records; versions are written side by side."""
+    at = _folder(spark)
+    versions: list[str] = []
+
+    def read():
+        return spark.read.parquet(versions[-1]) if versions else None
+
+    def write(df, number):
+        df.write.mode("overwrite").parquet(f"{at}/v{number}")
+        versions.append(f"{at}/v{number}")
+
+    log = _as_log(_stream(spark, folder, "events"))
+    S.upsert_log(log, read, write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return read().select("id", "seq", "session_id")
+
+
+@query("stream_day_folders", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS records FROM events GROUP BY ALL")
+def stream_day_folders(spark, folder):
+    at = _folder(spark)
+    S.append_log(_as_log(_stream(spark, folder, "events")), f"{at}/out", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("records"))
+
+
+def _binding_events(events):
+    """Events as offers and questions: a view asks, anything else offers its user to a token of 64."""
+    return events.select(
+        F.concat(F.lit("session-"), F.col("user_id") % 8).alias("session"), F.concat(F.lit("t"), F.col("event_id") % 64).alias("token"),
+        F.when(F.col("event_type") == "view", "resolve").otherwise("bind").alias("kind"), F.lit("user").alias("namespace"),
+        F.concat(F.lit("u"), F.col("user_id") % 3).alias("value"), F.col("ts").cast("timestamp").alias("at"),
+    )
+
+
+@query("stream_bindings")
+def stream_bindings(spark, folder):
+    at = _folder(spark)
+    out = S.bindings_stream(_binding_events(_stream(spark, folder, "events")), ttl_seconds=86_400, delay="40 days")
+    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(out.schema).parquet(f"{at}/out")
+    return got.groupBy("kind", "status").agg(F.count("*").alias("n"))
+
+
+@query("stream_session_end", """
+WITH e AS (SELECT concat('session-', user_id % 8) AS session, ts AS at, event_type FROM events),
+     c AS (SELECT session, min(at) AS closed_at FROM e WHERE event_type = 'signup' AND session IN ('session-1', 'session-2') GROUP BY session)
+SELECT session, count(CASE WHEN at >= closed_at AND NOT (event_type = 'signup' AND session IN ('session-1', 'session-2')) THEN 1 END) AS turned_away FROM e LEFT JOIN c USING (session) GROUP BY session
+""")
+def stream_session_end(spark, folder):
+    at = _folder(spark)
+    raw = _stream(spark, folder, "events")
+    closing = F.when((F.col("event_type") == "signup") & F.col("session").isin("session-1", "session-2"), "close").otherwise(F.col("kind"))
+    events = raw.select(
+        F.concat(F.lit("session-"), F.col("user_id") % 8).alias("session"), F.concat(F.lit("t"), F.col("event_id")).alias("token"),
+        F.lit("bind").alias("kind"), F.lit("user").alias("namespace"), F.col("event_type").alias("value"), F.col("ts").cast("timestamp").alias("at"), "event_type",
+    ).withColumn("kind", closing).drop("event_type")
+    state: dict[str, str] = {}
+
+    def read_closed():
+        return spark.read.parquet(state["closed"]) if state else None
+
+    def write(outcomes, closed, number):
+        outcomes.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        closed.write.mode("overwrite").parquet(f"{at}/closed{number}")
+        state["closed"] = f"{at}/closed{number}"
+
+    S.session_log(events, read_closed, write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{at}/out")
+    return out.groupBy("session").agg(F.count(F.when(F.col("status") == "session_closed", 1)).alias("turned_away"))
