@@ -13,29 +13,31 @@ from maskweave.operators import triage as T
 from maskweave.registry.base import ESTATE, FACTS, LOG, PROFILES, derived, keys, query, relations_of, table, with_tables
 from maskweave.sources import activity as SA
 
-# Statement texts by order: each status writes its statement in another way.
-_TEXTS = {
-    "O": ("concat('SELECT id /* note ', o_orderkey, ' /* nested ''x */ */ FROM orders -- by ', o_custkey, chr(10), ' WHERE o_orderkey = ', o_orderkey, ' AND p = E''it\\''s ', o_custkey, ''' ')",
-          "SELECT id FROM orders WHERE o_orderkey = ? AND p = ?"),
-    "F": ("concat('WITH t AS (SELECT \"Name\", \"o_orderkey\" FROM orders WHERE total > ', o_totalprice, ') UPDATE t SET note = $q$ hidden ', o_custkey, ' $q$, n = $1')",
-          'WITH t AS (SELECT "?", "o_orderkey" FROM orders WHERE total > ?) UPDATE t SET note = ?, n = $1'),
-    "P": ("concat('delete   from orders', chr(10), chr(9), 'where k in (0x1F, .5, 1_000, ', o_orderkey, ', ''O''''Brien'', U&''', o_custkey, ''')')",
-          "delete from orders where k in (?, ?, ?, ?, ?, ?)"),
+# Statements as they come out normalised, by the status of the order they are about.
+_NORMAL_TEXTS = {
+    "O": "SELECT id FROM orders WHERE o_orderkey = ? AND p = ?",
+    "F": 'WITH t AS (SELECT "?", "o_orderkey" FROM orders WHERE total > ?) UPDATE t SET note = ?, n = $1',
+    "P": "delete from orders where k in (?, ?, ?, ?, ?, ?)",
 }
 _KINDS = {"O": "SELECT", "F": "UPDATE", "P": "DELETE"}
 
 
 def _statements(spark, folder):
-    case = "CASE o_orderstatus " + " ".join(f"WHEN '{k}' THEN {text}" for k, (text, _) in _TEXTS.items()) + " END"
-    case = case.replace("''", "\\'").replace("E\\'it\\\\'s", "E\\'it\\\\\\'s")
-    return table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.expr(case).alias("statement"))
+    """Statement texts, one per order: each status writes its statement in another way."""
+    k, c, status = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    read = text("SELECT id /* note ", k, " /* nested 'x */ */ FROM orders -- by ", c, "\n WHERE o_orderkey = ", k, " AND p = E'it\\'s ", c, "'")
+    change = text('WITH t AS (SELECT "Name", "o_orderkey" FROM orders WHERE total > ', F.col("o_totalprice"), ") UPDATE t SET note = $q$ hidden ", c, " $q$, n = $1")
+    drop = text("delete   from orders\n\twhere k in (0x1F, .5, 1_000, ", k, ", 'O''Brien', U&'", c, "')")
+    statement = F.when(status == "O", read).when(status == "F", change).otherwise(drop)
+    return table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", statement.alias("statement"))
 
 
 def _by_status(values: dict[str, str]) -> str:
     return "CASE o_orderstatus " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
 
 
-_NORMAL = _by_status({k: v for k, (_, v) in _TEXTS.items()})
+_NORMAL = _by_status(_NORMAL_TEXTS)
 
 
 @query("normalise_statements", f"SELECT o_orderkey, {_NORMAL} AS text, {_by_status(_KINDS)} AS kind FROM orders")
@@ -50,10 +52,10 @@ def statement_shapes(spark, folder):
     return out.groupBy("text").agg(F.count("*").alias("n"))
 
 
-@query("strip_comments", """
-SELECT o_orderkey, 'SELECT id FROM orders WHERE o_orderkey = ' || o_orderkey || ' AND p = E''it\\''s ' || o_custkey || '''' AS text FROM orders WHERE o_orderstatus = 'O'
+@query("strip_comments", r"""
+SELECT o_orderkey, 'SELECT id FROM orders WHERE o_orderkey = ' || o_orderkey || ' AND p = E''it\''s ' || o_custkey || '''' AS text FROM orders WHERE o_orderstatus = 'O'
 UNION ALL SELECT o_orderkey, 'delete from orders where k in (0x1F, .5, 1_000, ' || o_orderkey || ', ''O''''Brien'', U&''' || o_custkey || ''')' FROM orders WHERE o_orderstatus = 'P'
-""".replace("\\\\", "\\"))
+""")
 def strip_comments(spark, folder):
     out = _statements(spark, folder).where("o_orderstatus <> 'F'")
     return out.select("o_orderkey", S.strip_comments(F.col("statement")).alias("text"))
@@ -175,11 +177,11 @@ def _log(spark, folder):
     return log.withColumn("relations", relations_of("relation_count")).drop("relation_count")
 
 
-_T = "strftime(at, '%Y-%m-%d %H:%M:%S')"
+_T = "strftime(\"at\", '%Y-%m-%d %H:%M:%S')"
 _LATEST = "SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"
 
 
-@query("activity_filter", with_tables(f"SELECT seq, {_T} AS at FROM l WHERE connection = 'c3' AND decision = 'approved' AND at >= TIMESTAMP '2024-01-15 12:00:00'", l=LOG))
+@query("activity_filter", with_tables(f"SELECT seq, {_T} AS \"at\" FROM l WHERE connection = 'c3' AND decision = 'approved' AND \"at\" >= TIMESTAMP '2024-01-15 12:00:00'", l=LOG))
 def activity_filter(spark, folder):
     out = A.filtered(_log(spark, folder), connection="c3", decision="approved", since="2024-01-15 12:00:00")
     return out.select("seq", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
@@ -191,7 +193,7 @@ def activity_latest(spark, folder):
 
 
 @query("activity_page", with_tables(f"""
-SELECT id, seq, total FROM (SELECT *, count(*) OVER () AS total FROM ({_LATEST.replace('FROM l', "FROM (SELECT * FROM l WHERE decision = 'refused')")})) ORDER BY at DESC, seq DESC LIMIT 500 OFFSET 20
+SELECT id, seq, total FROM (SELECT *, count(*) OVER () AS total FROM ({_LATEST.replace('FROM l', "FROM (SELECT * FROM l WHERE decision = 'refused')")})) ORDER BY "at" DESC, seq DESC LIMIT 500 OFFSET 20
 """, l=LOG))
 def activity_page(spark, folder):
     return A.page(_log(spark, folder), offset=20, limit=900, decision="refused").select("id", "seq", "total")
@@ -225,7 +227,7 @@ def activity_titles(spark, folder):
     return _log(spark, folder).select("seq", R.record_title(F.col("statement"), F.col("statement_type"), F.col("relations")).alias("title"))
 
 
-@query("activity_days", with_tables("SELECT CAST(CAST(at AS DATE) AS VARCHAR) AS day, count(*) AS records FROM l GROUP BY ALL", l=LOG))
+@query("activity_days", with_tables("SELECT CAST(CAST(\"at\" AS DATE) AS VARCHAR) AS day, count(*) AS records FROM l GROUP BY ALL", l=LOG))
 def activity_days(spark, folder):
     return A.per_day(_log(spark, folder)).select(F.col("day").cast("string").alias("day"), "records")
 
@@ -243,7 +245,7 @@ def activity_pages(spark, folder):
 
 @query("activity_ages", with_tables("""
 SELECT seq, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN CAST(floor(s / 60 + 0.5) AS BIGINT) || 'm' WHEN s < 86400 THEN CAST(floor(s / 3600 + 0.5) AS BIGINT) || 'h' ELSE CAST(floor(s / 86400 + 0.5) AS BIGINT) || 'd' END AS age
-FROM (SELECT seq, CAST(greatest(0, floor((epoch_ms(TIMESTAMP '2024-01-15 00:00:00') - epoch_ms(at)) / 1000 + 0.5)) AS BIGINT) AS s FROM l)
+FROM (SELECT seq, CAST(greatest(0, floor((epoch_ms(TIMESTAMP '2024-01-15 00:00:00') - epoch_ms("at")) / 1000 + 0.5)) AS BIGINT) AS s FROM l)
 """, l=LOG))
 def activity_ages(spark, folder):
     return _log(spark, folder).select("seq", X.age(F.col("at"), F.lit("2024-01-15 00:00:00").cast("timestamp")).alias("age"))
@@ -260,7 +262,7 @@ def activity_sentences(spark, folder):
 
 
 @query("activity_append", with_tables("""
-SELECT seq, coalesce(CASE WHEN value > 30 THEN NULL ELSE id END, 'filled') AS id, CAST(CAST(at AS DATE) AS VARCHAR) AS day FROM l
+SELECT seq, coalesce(CASE WHEN value > 30 THEN NULL ELSE id END, 'filled') AS id, CAST(CAST("at" AS DATE) AS VARCHAR) AS day FROM l
 """, l=LOG))
 def activity_append(spark, folder):
     log = _log(spark, folder).drop("day").withColumn("id", F.when(F.col("value") <= 30, F.col("id")))
@@ -284,7 +286,7 @@ def activity_read(spark, folder):
     return SA.readable(parsed).select("id", "seq", "row_count").withColumn("unreadable", n)
 
 
-@query("activity_encrypted", with_tables(f"SELECT id, seq, {_T} AS at, statement, FALSE AS damaged FROM l", l=LOG))
+@query("activity_encrypted", with_tables(f"SELECT id, seq, {_T} AS \"at\", statement, FALSE AS damaged FROM l", l=LOG))
 def activity_encrypted(spark, folder):
     """Records encrypted one by one, and read back with the same key."""
     aes = keys(spark).select(F.lit("log").alias("name"), F.substring("ipad", 1, 32).alias("key"))

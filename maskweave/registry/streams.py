@@ -93,9 +93,9 @@ def stream_bindings(spark, folder):
 
 
 @query("stream_session_end", """
-WITH e AS (SELECT concat('session-', user_id % 8) AS session, ts AS at, event_type FROM events),
-     c AS (SELECT session, min(at) AS closed_at FROM e WHERE event_type = 'signup' AND session IN ('session-1', 'session-2') GROUP BY session)
-SELECT session, count(CASE WHEN at >= closed_at AND NOT (event_type = 'signup' AND session IN ('session-1', 'session-2')) THEN 1 END) AS turned_away FROM e LEFT JOIN c USING (session) GROUP BY session
+WITH e AS (SELECT concat('session-', user_id % 8) AS session, ts AS "at", event_type FROM events),
+     c AS (SELECT session, min("at") AS closed_at FROM e WHERE event_type = 'signup' AND session IN ('session-1', 'session-2') GROUP BY session)
+SELECT session, count(CASE WHEN "at" >= closed_at AND NOT (event_type = 'signup' AND session IN ('session-1', 'session-2')) THEN 1 END) AS turned_away FROM e LEFT JOIN c USING (session) GROUP BY session
 """)
 def stream_session_end(spark, folder):
     at = _folder(spark)
