@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +33,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def views(spark: SparkSession, folder: str) -> SparkSession:
-    """The given tables as temporary views, for statements written in SQL."""
+def views(spark: SparkSession, folder: str, sql: str = "") -> SparkSession:
+    """The given tables as temporary views, for statements written in SQL: those a text names, or all."""
+    words = set(re.findall(r"\w+", sql))
     for name in TABLES:
-        table(spark, folder, name).createOrReplaceTempView(name)
+        if not sql or name in words:
+            table(spark, folder, name).createOrReplaceTempView(name)
     return spark
 
 
@@ -150,7 +153,7 @@ FROM lineitem
 
 def derived(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """A derived table in Spark, which quotes names its own way."""
-    return views(spark, folder).sql(sql.replace('"', "`"))
+    return views(spark, folder, sql).sql(sql.replace('"', "`"))
 
 
 def with_tables(body: str, **tables: str) -> str:

@@ -21,7 +21,7 @@ def masked_sql(name: str, sql: str, oracle: str, grain: str = "statement", befor
 
     @query(name, oracle)
     def run(spark, folder):
-        views(spark, folder)
+        views(spark, folder, sql + " customer")
         if before:
             before(spark)
         return G.masked(spark.sql(sql), CUSTOMER_CATALOG, Masking({}, key=key(spark)), _TABLES, grain)
@@ -112,7 +112,7 @@ def describe_statement(spark, folder):
     """Output columns with their identity, from the analysed plan, and how many values each holds."""
     from maskweave.functions.types import family
 
-    df = views(spark, folder).sql(_JOINED)
+    df = views(spark, folder, _JOINED).sql(_JOINED)
     found = G.lineage(df, _TABLES)
     rows = [
         (name, family(field.dataType), *(f.identity or ("", "")))
@@ -130,7 +130,7 @@ SELECT * FROM (VALUES ('n', 'customer', 'c_name', TRUE), ('u', 'customer', 'c_mk
 """)
 def statement_flows(spark, folder):
     """Which columns reach each output, with the size of the relation they come from."""
-    df = views(spark, folder).sql(_JOINED)
+    df = views(spark, folder, _JOINED).sql(_JOINED)
     flows = G.flow_rows(spark, G.lineage(df, _TABLES))
     sizes = [table(spark, folder, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("relation"), "rows") for t in ("orders", "customer")]
     return flows.join(sizes[0].unionByName(sizes[1]), "relation").select("output", "relation", "column", "direct", "rows")
@@ -143,7 +143,7 @@ def filter_columns(spark, folder):
     """Columns a statement filters by that are masked or unknown, with the rows the filter reads."""
     sql = "SELECT count(*) AS n FROM customer, supplier WHERE c_acctbal > 0 AND s_name LIKE '%1' AND c_nationkey = s_nationkey AND c_nationkey < 5"
     catalog = CUSTOMER_CATALOG | {("supplier", "s_nationkey"): ColumnPolicy("allow")}
-    found = G.lineage(views(spark, folder).sql(sql), _TABLES)
+    found = G.lineage(views(spark, folder, sql).sql(sql), _TABLES)
     flagged = spark.createDataFrame(G.flagged_filters(found, catalog), "relation string, column string, flag string, policy string")
     sizes = [table(spark, folder, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("relation"), "rows") for t in ("supplier", "customer")]
     return flagged.join(sizes[0].unionByName(sizes[1]), "relation").select("relation", "column", "flag", "policy", "rows")
@@ -154,7 +154,7 @@ SELECT 'customer' AS relation, count(*) AS rows FROM customer UNION ALL SELECT '
 """)
 def statement_relations(spark, folder):
     sql = """WITH x AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation)) SELECT o_orderkey FROM orders JOIN x ON c_custkey = o_custkey"""
-    found = G.lineage(views(spark, folder).sql(sql), _TABLES)
+    found = G.lineage(views(spark, folder, sql).sql(sql), _TABLES)
     parts = [table(spark, folder, r).agg(F.count("*").alias("rows")).select(F.lit(r).alias("relation"), "rows") for r in found.relations]
     out = parts[0]
     for p in parts[1:]:
