@@ -138,8 +138,11 @@ def _index(shared) -> Index:
 
 
 def replacer(df: DataFrame, entries: DataFrame):
-    """Column function text → struct(text, hits) over a dictionary small enough to send around."""
+    """Column function text → struct(text, hits) over a dictionary small enough to send around; None
+    for an empty one, so that no column goes through Python for nothing."""
     rows = [(r.pattern, r.token, r.short) for r in entries.select("pattern", "token", "short").collect()]
+    if not rows:
+        return None
     shared = df.sparkSession.sparkContext.broadcast(rows)
 
     @F.pandas_udf("text string, hits int")
@@ -157,13 +160,15 @@ def replace_known(df: DataFrame, columns: list[str], entries: DataFrame, counts:
 
     ``counts`` adds ``<column>_hits``. ``small`` overrides the measured choice, for tests.
     """
+    entries = entries.persist()
     if small is None:
         small = fits_broadcast(entries, "pattern", "token")
     if not small:
         return _replace_by_join(df, columns, entries, counts)
-    if entries.isEmpty():
-        return df.select("*", *(F.lit(0).alias(f"{c}_hits") for c in columns)) if counts else df
     run = replacer(df, entries)
+    entries.unpersist()
+    if run is None:
+        return df.select("*", *(F.lit(0).alias(f"{c}_hits") for c in columns)) if counts else df
     out = df.select("*", *(run(F.col(c)).alias(f"_r_{c}") for c in columns))
     picked = [F.col(f"_r_{c}.text").alias(c) if c in columns else F.col(c) for c in df.columns]
     if counts:

@@ -50,6 +50,7 @@ def leaked_values(outputs: list[DataFrame], truth: DataFrame) -> DataFrame:
     """
     texts = reduce(DataFrame.unionByName, [strings_of(o) for o in outputs])
     texts = texts.groupBy("id").agg(F.first("text").alias("text"))
+    truth = truth.persist()
     if fits_broadcast(truth_entries(truth), "pattern"):
         hits = _hits_with_edges(texts, truth_entries(truth))
     else:
@@ -88,6 +89,7 @@ def _hits_with_edges(texts: DataFrame, entries: DataFrame) -> DataFrame:
 
 def leak_counts(outputs: list[DataFrame], truth: DataFrame) -> DataFrame:
     """Leaked values per kind, a row for each kind, so that a clean kind shows its zero."""
+    truth = truth.persist()
     found = leaked_values(outputs, truth).groupBy("kind").agg(F.count_distinct("value").alias("leaks"))
     return truth.select("kind").distinct().join(found, "kind", "left").select(
         "kind", F.coalesce("leaks", F.lit(0)).alias("leaks")

@@ -88,8 +88,8 @@ def mask_column(value: Column, dtype: T.DataType, p: ColumnPolicy, settings: Mas
         if settings.key is None:
             return marker
         text = value_text(value, dtype)
-        compose = isinstance(dtype, T.StringType)
-        normal = K.normalise(text, p.namespace in settings.fold, compose)
+        # Only text has forms to normalise; a number's text has no spaces and one spelling.
+        normal = K.normalise(text, p.namespace in settings.fold) if isinstance(dtype, T.StringType) else text
         made = K.token(settings.key, p.namespace, normal, settings.hex_len)
         return F.when(value.isNotNull(), F.coalesce(made, F.lit(K.REDACTED)))
     is_text = text_like(family(dtype, elements=True))

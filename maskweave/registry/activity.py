@@ -10,7 +10,7 @@ from maskweave.functions import text as X
 from maskweave.operators import activity as A
 from maskweave.operators import profiles as P
 from maskweave.operators import triage as T
-from maskweave.registry.base import ESTATE, FACTS, LOG, PROFILES, derived, keys, query, relations_of, table, with_tables
+from maskweave.registry.base import ESTATE, FACTS, LOG, PROFILES, derived, keys, query, relations_of, rows, table, with_tables
 from maskweave.sources import activity as SA
 
 # Statements as they come out normalised, by the status of the order they are about.
@@ -30,7 +30,7 @@ def _statements(spark, folder):
     change = text('WITH t AS (SELECT "Name", "o_orderkey" FROM orders WHERE total > ', F.col("o_totalprice"), ") UPDATE t SET note = $q$ hidden ", c, " $q$, n = $1")
     drop = text("delete   from orders\n\twhere k in (0x1F, .5, 1_000, ", k, ", 'O''Brien', U&'", c, "')")
     statement = F.when(status == "O", read).when(status == "F", change).otherwise(drop)
-    return table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", statement.alias("statement"))
+    return rows(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").select("o_orderkey", "o_custkey", "o_orderstatus", statement.alias("statement"))
 
 
 def _by_status(values: dict[str, str]) -> str:

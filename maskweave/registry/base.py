@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from maskweave.functions import tokens as K
 from maskweave.operators.masking import ColumnPolicy
+from maskweave.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +34,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def rows(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a given table, over all cores: for work that is heavy per row."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def views(spark: SparkSession, folder: str, sql: str = "") -> SparkSession:
     """The given tables as temporary views, for statements written in SQL: those a text names, or all."""
     words = set(re.findall(r"\w+", sql))

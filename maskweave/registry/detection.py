@@ -8,7 +8,7 @@ from maskweave.functions import detect as D
 from maskweave.functions import text as X
 from maskweave.operators import leaks as L
 from maskweave.operators.masking import ColumnPolicy, Masking, mask
-from maskweave.registry.base import derived, key, query, table, with_tables
+from maskweave.registry.base import derived, key, query, rows, table, with_tables
 
 _LUHN = """list_sum([CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(substr(d, i, 1) AS INT)
   WHEN CAST(substr(d, i, 1) AS INT) > 4 THEN CAST(substr(d, i, 1) AS INT) * 2 - 9 ELSE CAST(substr(d, i, 1) AS INT) * 2 END
@@ -37,7 +37,7 @@ def _labelled(text, entity, label: str):
 @query("detect_counts", f"SELECT id AS doc_id, type, count(*) AS n FROM ({found_sql('documents', 'doc_id')}) GROUP BY ALL")
 def detect_counts(spark, folder):
     found = F.array(*(F.struct(F.lit(e.name).alias("type"), F.size(D.matched(F.col("text"), e)).cast("long").alias("n")) for e in D.ENTITIES))
-    return table(spark, folder, "documents").select("doc_id", F.inline(found)).where("n > 0")
+    return rows(spark, folder, "documents", "doc_id", "text").select("doc_id", F.inline(found)).where("n > 0")
 
 
 @query("detect_values", f"SELECT type, m AS value, count(*) AS n FROM ({found_sql('pages', 'page_id', 'html')}) GROUP BY ALL")
@@ -45,12 +45,12 @@ def detect_values(spark, folder):
     found = F.flatten(
         F.array(*(_labelled(F.col("html"), e, "type") for e in D.ENTITIES))
     )
-    return table(spark, folder, "pages").select(F.inline(found)).groupBy("type", "value").agg(F.count("*").alias("n"))
+    return rows(spark, folder, "pages", "html").select(F.inline(found)).groupBy("type", "value").agg(F.count("*").alias("n"))
 
 
 @query("detect_spans")
 def detect_spans(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.inline(D.spans(F.col("text"))))
+    return rows(spark, folder, "documents", "doc_id", "text").select("doc_id", F.inline(D.spans(F.col("text"))))
 
 
 # Spans of one kind by adding up the lengths of what stands between the matches.
@@ -61,7 +61,7 @@ SELECT doc_id, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BE
 WINDOW w AS (PARTITION BY doc_id ORDER BY i) QUALIFY m IS NOT NULL
 """)
 def detect_positions(spark, folder):
-    out = table(spark, folder, "documents").select("doc_id", "text", F.inline(D.entity_spans(F.col("text"), D.IP)))
+    out = rows(spark, folder, "documents", "doc_id", "text").select("doc_id", "text", F.inline(D.entity_spans(F.col("text"), D.IP)))
     return out.select("doc_id", "start", F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("value"))
 
 
@@ -115,7 +115,7 @@ SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN (SELECT id, count(*)
 def detect_distinct_texts(spark, folder):
     """Each distinct text is examined once. Only texts with a finding come back, by digest, so a text
     that fills a third of the table meets at most one small row."""
-    docs = table(spark, folder, "documents").withColumn("digest", F.sha2("text", 256))
+    docs = rows(spark, folder, "documents", "doc_id", "text").withColumn("digest", F.sha2("text", 256))
     distinct = docs.groupBy("digest").agg(F.first("text").alias("text"))
     found = distinct.select("digest", F.size(D.spans(F.col("text"))).cast("long").alias("n")).where("n > 0")
     return docs.join(found, "digest", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
@@ -132,9 +132,9 @@ def detect_reach(spark, folder):
     profiles = derived(spark, folder, PROFILES).join(table(spark, folder, "customer").select(F.concat(F.lit("p"), "c_custkey").alias("id"), "c_acctbal"), "id")
     setting = F.when(F.col("detection").isin("off", "scan", "all"), F.col("detection")).otherwise("scan")
     policy = F.when(F.col("c_acctbal") < 0, "allow").when(F.col("c_acctbal") < 5000, "scan").otherwise("redact")
-    rows = profiles.select(setting.alias("setting"), policy.alias("policy"))
+    reach = profiles.select(setting.alias("setting"), policy.alias("policy"))
     examined = (F.col("policy") == "scan") | ((F.col("policy") == "allow") & (F.col("setting") == "all"))
-    return rows.groupBy("setting", "policy").agg(F.count("*").alias("columns"), F.count(F.when(examined, 1)).alias("examined"))
+    return reach.groupBy("setting", "policy").agg(F.count("*").alias("columns"), F.count(F.when(examined, 1)).alias("examined"))
 
 
 @query("unexamined_masked", """
@@ -153,7 +153,7 @@ LEFT JOIN (SELECT id, string_agg(type, ',' ORDER BY type) AS k FROM (SELECT DIST
 """)
 def screen_texts(spark, folder):
     kinds = D.kinds(D.spans(F.col("text")))
-    out = table(spark, folder, "documents").select("doc_id", F.array_join(kinds, ",").alias("kinds"))
+    out = rows(spark, folder, "documents", "doc_id", "text").select("doc_id", F.array_join(kinds, ",").alias("kinds"))
     return out.withColumn("accepted", F.col("kinds") == "")
 
 
@@ -177,7 +177,7 @@ def custom_detector(spark, folder):
     url = re.compile("https?://[a-z0-9./-]+")
     find = D.custom_detector(lambda text: [(*m.span(), "url", 1.0) for m in url.finditer(text)])
     spans = find(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", F.md5(D.redact_spans(F.col("text"), spans)).alias("digest"))
+    return rows(spark, folder, "documents", "doc_id", "text").select("doc_id", F.md5(D.redact_spans(F.col("text"), spans)).alias("digest"))
 
 
 @query("mask_scan_email", rf"SELECT doc_id, md5(regexp_replace(text, '{D.EMAIL.sql}', '⟨redacted:email_address⟩', 'g')) AS digest FROM documents")
@@ -201,7 +201,7 @@ FROM documents LEFT JOIN g ON id = doc_id
 
 @query("mask_scan_all_kinds", _SCANNED)
 def mask_scan_all_kinds(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = rows(spark, folder, "documents", "doc_id", "text")
     settings = Masking({"doc_id": ColumnPolicy("allow"), "text": ColumnPolicy("scan")})
     return mask(docs, settings).select("doc_id", F.md5("text").alias("digest"))
 
@@ -244,7 +244,7 @@ def cap_line(spark, folder):
 
 # Known values: addresses and numbers found in documents; output: pages, whose text shares some of them.
 def _truth(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = rows(spark, folder, "documents", "text")
     found = F.flatten(F.array(*(_labelled(F.col("text"), e, "kind") for e in D.ENTITIES)))
     return docs.select(F.inline(found)).distinct()
 
@@ -259,13 +259,13 @@ WITH known AS (SELECT DISTINCT type AS kind, lower(m) AS value FROM ({found_sql(
 
 @query("leak_counts", _LEAKS + "SELECT kind, count(value) AS leaks FROM (SELECT DISTINCT kind FROM known) LEFT JOIN hits USING (kind) GROUP BY kind")
 def leak_counts(spark, folder):
-    outputs = [table(spark, folder, "pages"), table(spark, folder, "documents").select("text")]
+    outputs = [rows(spark, folder, "pages", "html"), rows(spark, folder, "documents", "text")]
     return L.leak_counts(outputs, _truth(spark, folder))
 
 
 @query("leak_counts_masked", f"SELECT DISTINCT type AS kind, CAST(0 AS BIGINT) AS leaks FROM ({found_sql('documents', 'doc_id')})")
 def leak_counts_masked(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = rows(spark, folder, "documents", "doc_id", "text")
     masked = mask(docs, Masking({"doc_id": ColumnPolicy("allow"), "text": ColumnPolicy("scan")}))
     return L.leak_counts([masked], _truth(spark, folder))
 

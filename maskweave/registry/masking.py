@@ -13,7 +13,7 @@ from maskweave.operators import bounds as B
 from maskweave.operators import changes as C
 from maskweave.operators import jsonpaths as J
 from maskweave.operators import masking as M
-from maskweave.registry.base import ESTATE, FACTS, derived, key, query, sql_token, table, with_tables
+from maskweave.registry.base import ESTATE, FACTS, derived, key, query, rows, sql_token, table, with_tables
 from maskweave.sources.schema import json_safe
 
 ALLOW, SCAN, REDACT = (M.ColumnPolicy(p) for p in ("allow", "scan", "redact"))
@@ -147,11 +147,11 @@ FROM (SELECT *, CASE WHEN l_quantity > 40 THEN 3 WHEN l_quantity > 20 THEN 1 ELS
 """)
 def transforms_merged(spark, folder):
     q = F.col("l_quantity")
-    rows = table(spark, folder, "lineitem").select(
+    report = table(spark, folder, "lineitem").select(
         F.col("l_returnflag").alias("name"), F.when(q > 40, "redact").when(q > 20, "scan").otherwise("allow").alias("policy"),
         F.lit("").alias("namespace"), F.lit("catalog").alias("basis"), F.col("l_linenumber").cast("long").alias("spans"), F.col("l_orderkey").alias("position"),
     )
-    return M.merge_transforms(rows).select("name", "policy", "spans")
+    return M.merge_transforms(report).select("name", "policy", "spans")
 
 
 @query("transform_basis", with_tables("""
@@ -207,7 +207,7 @@ def degradations(spark, folder):
 SELECT event_id, '{{"k":' || coalesce(props ->> '$.k', 'null') || ',"⟨redacted⟩":"⟨redacted⟩","user":"' || {sql_token('user', 'user_id::VARCHAR')} || '","tags":["⟨redacted⟩",{{"t":"' || event_type || '","⟨redacted⟩":"⟨redacted⟩"}}]}}' AS doc FROM events
 """)
 def json_paths_props(spark, folder):
-    ev = table(spark, folder, "events")
+    ev = rows(spark, folder, "events", "event_id", "props", "value", "user_id", "event_type")
     doc = F.format_string(
         '{"k": %s, "value": %s, "user": %s, "tags": ["%s", {"t": "%s", "x": null}]}',
         F.get_json_object("props", "$.k"), F.col("value").cast("string"), F.col("user_id"), F.col("event_type"), F.col("event_type"),
@@ -331,8 +331,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_discount = 0
 def json_safe_numbers(spark, folder):
     d, t = F.col("l_discount"), F.col("l_tax")
     v = F.when(d == 0, F.lit(float("nan"))).when(t == 0, F.lit(float("inf"))).when(t > 0.07, F.lit(float("-inf"))).otherwise(d)
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", v.alias("v"), F.array(v).alias("a"))
-    return json_safe(rows).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "v", F.col("a")[0].alias("first"))
+    numbers = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", v.alias("v"), F.array(v).alias("a"))
+    return json_safe(numbers).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "v", F.col("a")[0].alias("first"))
 
 
 def _priced(spark, folder):
@@ -383,10 +383,10 @@ def update_commit(spark, folder):
     """An UPDATE, then a DELETE, then an INSERT."""
     o = C.updated(*_priced(spark, folder))
     o = C.deleted(o, F.col("o_custkey") < 100).select("o_orderkey", "o_totalprice", "o_orderpriority")
-    rows = table(spark, folder, "part").select(
+    added = table(spark, folder, "part").select(
         (-F.col("p_partkey") - 1).alias("o_orderkey"), F.col("p_retailprice").alias("o_totalprice"), F.col("p_type").alias("o_orderpriority")
     )
-    return C.inserted(o, rows)
+    return C.inserted(o, added)
 
 
 @query("merge_commit", """

@@ -9,7 +9,7 @@ from maskweave.functions import tokens as K
 from maskweave.operators import bindings as B
 from maskweave.operators import emission as E
 from maskweave.registry.base import (
-    CONN, ESTATE, SESSION, derived, key, keys, query, sql_tag, sql_token, table, with_tables,
+    CONN, ESTATE, SESSION, derived, key, keys, query, rows, sql_tag, sql_token, table, with_tables,
 )
 
 NOW = "2024-01-20 00:00:00"
@@ -29,7 +29,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment
 """)
 def token_join_segments(spark, folder):
     k = key(spark)
-    made = lambda c: K.token(k, "customer", K.normalise(F.col(c).cast("string"), compose=False))
+    made = lambda c: K.token(k, "customer", F.col(c).cast("string"))
     customers = table(spark, folder, "customer").select(made("c_custkey").alias("token"), "c_mktsegment")
     orders = table(spark, folder, "orders").select(made("o_custkey").alias("token"), "o_totalprice")
     return orders.join(customers, "token").groupBy("c_mktsegment").agg(
@@ -46,7 +46,7 @@ def token_values(spark, folder):
 @query("token_free_text", f"SELECT doc_id, {sql_token('text', 'trim(nfc_normalize(text), chr(32) || chr(9) || chr(10) || chr(13))')} AS token FROM documents")
 def token_free_text(spark, folder):
     k = key(spark)
-    return table(spark, folder, "documents").select("doc_id", K.token(k, "text", K.normalise(F.col("text"))).alias("token"))
+    return rows(spark, folder, "documents", "doc_id", "text").select("doc_id", K.token(k, "text", K.normalise(F.col("text"))).alias("token"))
 
 
 @query("token_session_differs", f"""
@@ -111,8 +111,8 @@ def token_number_texts(spark, folder):
     from maskweave.operators.masking import value_text
 
     k = key(spark)
-    li = table(spark, folder, "lineitem")
-    tok = lambda ns, c: K.token(k, ns, K.normalise(value_text(F.col(c), li.schema[c].dataType), compose=False))
+    li = rows(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    tok = lambda ns, c: K.token(k, ns, value_text(F.col(c), li.schema[c].dataType))
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", tok("qty", "l_quantity").alias("quantity"), tok("id", "l_partkey").alias("part"))
 
 
@@ -121,7 +121,7 @@ SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers FROM orders GROUP
 """)
 def token_count_distinct(spark, folder):
     k = key(spark)
-    o = table(spark, folder, "orders").select("o_orderpriority", K.token(k, "customer", K.normalise(F.col("o_custkey").cast("string"), compose=False)).alias("token"))
+    o = table(spark, folder, "orders").select("o_orderpriority", K.token(k, "customer", F.col("o_custkey").cast("string")).alias("token"))
     return o.groupBy("o_orderpriority").agg(F.count_distinct("token").alias("customers"))
 
 
@@ -234,8 +234,8 @@ def token_key_versions(spark, folder):
     name, bal = K.normalise(F.col("c_name")), F.col("c_acctbal")
     t1 = K.token(old, "person", name)
     tok = F.when(bal < 3000, t1).when(bal < 6000, K.token(new, "person", name)).otherwise(F.replace(t1, F.lit("⟨person1"), F.lit("⟨person7")))
-    rows = table(spark, folder, "customer").select("c_custkey", F.lit(CONN).alias("conn"), F.lit(SESSION).alias("session"), tok.alias("token"))
-    return B.by_version(rows, both).select("c_custkey", "token", "state")
+    made = table(spark, folder, "customer").select("c_custkey", F.lit(CONN).alias("conn"), F.lit(SESSION).alias("session"), tok.alias("token"))
+    return B.by_version(made, both).select("c_custkey", "token", "state")
 
 
 @query("token_as_filter", """
@@ -264,7 +264,7 @@ SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]{1,64}@(?:[A-Za
 def _known_emails(spark, folder):
     from maskweave.functions import detect as D
 
-    found = table(spark, folder, "documents").select(F.explode(D.matched(F.col("text"), D.EMAIL)).alias("value")).distinct()
+    found = rows(spark, folder, "documents", "text").select(F.explode(D.matched(F.col("text"), D.EMAIL)).alias("value")).distinct()
     k = key(spark)
     return found.select(
         "value", F.lower("value").alias("normalised"),
@@ -279,7 +279,7 @@ SELECT doc_id, md5(CASE WHEN len(m) = 0 THEN text ELSE list_reduce(list_prepend(
 """)
 def known_value_replace(spark, folder):
     entries = E.patterns(_known_emails(spark, folder))
-    out = E.replace_known(table(spark, folder, "documents"), ["text"], entries, counts=True)
+    out = E.replace_known(rows(spark, folder, "documents", "doc_id", "text"), ["text"], entries, counts=True)
     return out.select("doc_id", F.md5("text").alias("digest"), F.col("text_hits").cast("long").alias("hits"))
 
 
@@ -290,7 +290,7 @@ SELECT doc_id, md5(CASE WHEN len(m) = 0 THEN text ELSE list_reduce(list_prepend(
 """)
 def known_value_replace_by_join(spark, folder):
     entries = E.patterns(_known_emails(spark, folder))
-    out = E.replace_known(table(spark, folder, "documents"), ["text"], entries, counts=True, small=False)
+    out = E.replace_known(rows(spark, folder, "documents", "doc_id", "text"), ["text"], entries, counts=True, small=False)
     return out.select("doc_id", F.md5("text").alias("digest"), F.col("text_hits").cast("long").alias("hits"))
 
 
