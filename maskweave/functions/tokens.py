@@ -47,7 +47,9 @@ def key_rows(conn: str, session: str, versions: dict[int, bytes]) -> list[tuple]
 
 
 def key_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, KEY_SCHEMA)
+    """A key table made from rows. It is local to the driver's plan, which shows its columns only."""
+    frame = pd.DataFrame([(*r[:4], *map(bytes, r[4:])) for r in rows], columns=[c.split()[0] for c in KEY_SCHEMA.split(", ")])
+    return spark.createDataFrame(frame, KEY_SCHEMA)
 
 
 @dataclass(frozen=True)
