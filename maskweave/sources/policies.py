@@ -39,9 +39,9 @@ def refuse_invalid(entries: DataFrame) -> DataFrame:
     return entries.withColumn("policy", checked)
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all policy files under a path."""
-    files = spark.read.schema(FILE_SCHEMA).option("multiLine", True).json(path)
+def load(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Entries of all policy files under a path: a document per line, or one per file with ``multi_line``."""
+    files = spark.read.schema(FILE_SCHEMA).option("multiLine", multi_line).json(path)
     bad = F.coalesce(F.col("version"), F.lit(0)).isin(0, VERSION)
     version = F.when(bad, F.col("version")).otherwise(
         F.raise_error(F.concat(F.lit("unsupported version "), F.col("version").cast("string"))).cast("int")
