@@ -66,8 +66,13 @@ def current_key(keys: DataFrame, conn: str, session: str) -> Key:
 
     More than one current key for a session is an error at run time.
     """
-    row = keys.where((F.col("conn") == conn) & (F.col("session") == session) & F.col("current"))
-    return Key(*(row.select(c).scalar() for c in ("ipad", "opad", "version")))
+    return key_of(keys.where((F.col("conn") == conn) & (F.col("session") == session) & F.col("current")))
+
+
+def key_of(rows: DataFrame) -> Key:
+    """Key of a table with a single row, read once as a whole."""
+    row = rows.select(F.struct("ipad", "opad", "version").alias("key")).scalar()
+    return Key(row["ipad"], row["opad"], row["version"])
 
 
 def joined_key() -> Key:

@@ -276,7 +276,7 @@ def _replace_column_by_join(df: DataFrame, column: str, entries: DataFrame, coun
     repeated a great deal; the answer side has one row per text, so it can be split freely.
     """
     keyed = df.withColumn("_id", F.sha2(F.col(column), 256))
-    texts = keyed.where(F.col("_id").isNotNull()).groupBy(F.col("_id").alias("id")).agg(F.first(column).alias("text"))
+    texts = keyed.where(F.col("_id").isNotNull()).select(F.col("_id").alias("id"), F.col(column).alias("text")).distinct()
     protected = _bracket_spans(texts, entries)
     ranges = protected.groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
     hits = window_hits(texts, entries).join(ranges, "id", "left")

@@ -49,7 +49,7 @@ def leaked_values(outputs: list[DataFrame], truth: DataFrame) -> DataFrame:
     Each distinct text is searched once; a text repeated in a third of the cells is reduced first.
     """
     texts = reduce(DataFrame.unionByName, [strings_of(o) for o in outputs])
-    texts = texts.groupBy("id").agg(F.first("text").alias("text"))
+    texts = texts.distinct()
     truth = truth.persist()
     if fits_broadcast(truth_entries(truth), "pattern"):
         hits = _hits_with_edges(texts, truth_entries(truth))

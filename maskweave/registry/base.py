@@ -81,7 +81,7 @@ WORDS = (
 # Columns of a large estate of tables, one per part: names, types and statistics vary with the part.
 ESTATE = f"""
 SELECT concat('s', p_size % 4) AS schema,
-       concat(lower(p_type), '_', CASE WHEN word = 'name' THEN p_partkey ELSE p_size END) AS relation,
+       concat(lower(p_type), '_', CASE WHEN word = 'name' THEN p_partkey ELSE p_size END, '_', CAST(floor(p_partkey / 4000) AS BIGINT)) AS relation,
        CASE WHEN p_retailprice % 10 < 1 THEN 'v' WHEN p_retailprice % 10 < 2 THEN 'm' ELSE 'r' END AS kind,
        CASE WHEN word = 'name' THEN 'name' ELSE concat(word, '_', p_partkey) END AS column,
        CAST(p_partkey AS INT) AS position,
@@ -136,8 +136,8 @@ FROM events
 
 # Profiles of a source each, one per customer, on hosts that are nations.
 PROFILES = """
-SELECT concat('p', c_custkey) AS id, concat(c_mktsegment, '-', c_nationkey, '-', CAST(floor(c_acctbal / 1000) AS BIGINT)) AS name,
-       concat('h', c_nationkey) AS host_id, c_mktsegment AS database,
+SELECT concat('p', c_custkey) AS id, concat(c_mktsegment, '-', c_nationkey, '-', CAST(floor(c_acctbal / 10) AS BIGINT)) AS name,
+       concat('h', c_nationkey) AS host_id, concat(c_mktsegment, '_', CAST(floor(c_custkey / 4000) AS BIGINT)) AS database,
        CASE WHEN c_acctbal < 0 THEN '' WHEN c_acctbal < 3000 THEN 'always' WHEN c_acctbal < 5000 THEN 'never'
             WHEN c_acctbal < 8000 THEN 'uncertain' ELSE 'sometimes' END AS reads,
        CASE WHEN c_acctbal < 2000 THEN 'off' WHEN c_acctbal < 4000 THEN 'ask' WHEN c_acctbal < 6000 THEN 'allow' ELSE 'approve' END AS writes,

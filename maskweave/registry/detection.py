@@ -55,7 +55,7 @@ def detect_spans(spark, folder):
 
 # Spans of one kind by adding up the lengths of what stands between the matches.
 @query("detect_positions", rf"""
-SELECT doc_id, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, m AS value FROM (
+SELECT doc_id, CAST(sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, m AS value FROM (
   SELECT doc_id, unnest(regexp_extract_all(text, '{D.IP.sql}')) AS m, unnest(regexp_split_to_array(text, '{D.IP.sql}')) AS gap, unnest(range(1, len(regexp_split_to_array(text, '{D.IP.sql}')) + 1)) AS i
   FROM documents WHERE regexp_matches(text, '{D.IP.sql}'))
 WINDOW w AS (PARTITION BY doc_id ORDER BY i) QUALIFY m IS NOT NULL
@@ -116,7 +116,7 @@ def detect_distinct_texts(spark, folder):
     """Each distinct text is examined once. Only texts with a finding come back, by digest, so a text
     that fills a third of the table meets at most one small row."""
     docs = rows(spark, folder, "documents", "doc_id", "text").withColumn("digest", F.sha2("text", 256))
-    distinct = docs.groupBy("digest").agg(F.first("text").alias("text"))
+    distinct = docs.select("digest", "text").distinct()
     found = distinct.select("digest", F.size(D.spans(F.col("text"))).cast("long").alias("n")).where("n > 0")
     return docs.join(found, "digest", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -299,14 +299,14 @@ def leak_battery(spark, folder):
         "SELECT upper(c_name), lower(c_name), replace(c_name, '#', '') FROM customer",
         "SELECT 'name:' || c_name AS m FROM customer",
         "SELECT to_json(named_struct('e', c_name, 's', c_acctbal)) AS j FROM customer",
-        "SELECT c_nationkey, array_join(collect_list(c_name), ',') AS names FROM customer GROUP BY c_nationkey",
+        "SELECT floor(c_custkey / 100) AS part, array_join(collect_list(c_name), ',') AS names FROM customer GROUP BY 1",
         "SELECT * FROM customer_contacts",
         "SELECT concat_ws(' ', c_mktsegment, c_name) AS body FROM customer",
         "SELECT map(c_name, c_acctbal) AS metadata FROM customer",
         "SELECT o_orderkey, (SELECT max(c_name) FROM customer) AS note FROM orders",
         "SELECT c_name AS ref, c_name AS contact FROM customer",
         "SELECT c_name FROM customer UNION ALL SELECT cast(c_acctbal AS string) FROM customer",
-        "SELECT c_name, row_number() OVER (ORDER BY c_acctbal) AS place FROM customer",
+        "SELECT c_name, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal) AS place FROM customer",
         "SELECT try_cast(c_name AS int) AS n, cast(c_acctbal AS string) AS b FROM customer",
         "SELECT substr(c_name, 1, 18) AS area FROM customer",
     )

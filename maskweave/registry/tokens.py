@@ -229,7 +229,7 @@ FROM customer
 """)
 def token_key_versions(spark, folder):
     both = keys(spark, versions=(1, 2))
-    old = K.Key(*(both.where("version = 1").select(c).scalar() for c in ("ipad", "opad", "version")))
+    old = K.key_of(both.where("version = 1"))
     new = K.current_key(both, CONN, SESSION)
     name, bal = K.normalise(F.col("c_name")), F.col("c_acctbal")
     t1 = K.token(old, "person", name)

@@ -126,7 +126,9 @@ def upsert_log(stream: DataFrame, read: Callable[[], DataFrame | None], write: C
     """Keep the latest record of each id in a table: an outcome replaces its intent.
 
     ``read`` gives the table as it is, ``write`` stores the new version under the batch number. Writing
-    the same batch twice gives the same table, so a restart does no harm.
+    the same batch twice gives the same table, so a restart does no harm. Each batch writes a whole
+    version, so it suits a log of open requests. For a log without bound, append with
+    :func:`append_log` and choose the latest record when reading.
     """
 
     def merge(batch: DataFrame, number: int) -> None:

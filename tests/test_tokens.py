@@ -69,3 +69,12 @@ def test_null_stays_null_and_no_key_masks(spark):
     df = spark.createDataFrame([("a", 1), (None, None)], "t string, n int")
     out = mask(df, Masking({"t": ColumnPolicy("token", "x"), "n": ColumnPolicy("redact")})).collect()
     assert [tuple(r) for r in out] == [("⟨redacted⟩", "⟨redacted⟩"), (None, None)]
+
+
+def test_json_and_column_tokens_agree(spark):
+    from maskweave.operators.jsonpaths import mask_paths
+
+    key = K.current_key(table(spark, "s"), "c", "s")
+    df = spark.createDataFrame([('{"a": "Jane"}',)], "d string")
+    got = df.select(mask_paths(F.col("d"), {"$.a": ("token", "person")}, key)).first()[0]
+    assert got == '{"a":"' + expected("s", "person", "Jane") + '"}'
