@@ -114,10 +114,12 @@ SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN (SELECT id, count(*)
 """)
 def detect_distinct_texts(spark, folder):
     """Each distinct text is examined once. Only texts with a finding come back, by digest, so a text
-    that fills a third of the table meets at most one small row."""
+    that fills a third of the table meets at most one small row. Texts without one are dropped by the
+    explode: a filter would be pushed below the distinct, and examine every copy."""
     docs = rows(spark, folder, "documents", "doc_id", "text").withColumn("digest", F.sha2("text", 256))
     distinct = docs.select("digest", "text").distinct()
-    found = distinct.select("digest", F.size(D.spans(F.col("text"))).cast("long").alias("n")).where("n > 0")
+    counts = F.array(F.size(D.spans(F.col("text"))).cast("long"))
+    found = distinct.select("digest", F.explode(F.filter(counts, lambda n: n > 0)).alias("n"))
     return docs.join(found, "digest", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
