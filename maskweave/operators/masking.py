@@ -27,6 +27,11 @@ SENSITIVE_KEYS = (
 EGRESS_WORDS = ((P.REDACT, "redacted"), (P.TOKEN, "tokenized"), (P.SCAN, "scanned for PII spans"))
 
 
+# Why a layer that was set up did not run.
+NOT_EXAMINED = "free text was not examined, so its cells were redacted whole"
+STALE_CATALOG = "the catalog is older than the tables"
+
+
 @dataclass(frozen=True)
 class ColumnPolicy:
     """What to do with one output column, and which layer decided it."""
@@ -233,11 +238,11 @@ def degradations(report: DataFrame, fresh: DataFrame | None = None) -> DataFrame
     """One row per layer that was set up but did not run, so a narrower result never looks clean."""
     out = report.where(F.col("basis") == "unexamined").limit(1).select(
         F.lit("detector").alias("layer"),
-        F.lit("free text was not examined, so its cells were redacted whole").alias("reason"),
+        F.lit(NOT_EXAMINED).alias("reason"),
     )
     if fresh is not None:
         stale = fresh.where(~F.col("fresh")).limit(1).select(
-            F.lit("catalog").alias("layer"), F.lit("the catalog is older than the tables").alias("reason")
+            F.lit("catalog").alias("layer"), F.lit(STALE_CATALOG).alias("reason")
         )
         out = out.unionByName(stale)
     return out

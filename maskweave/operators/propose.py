@@ -13,7 +13,9 @@ from maskweave.functions import names as N
 from maskweave.functions.types import NUMERIC, TEXT
 from maskweave.operators.catalog import KEYS
 
+# The share of samples that makes a token, and why a column has no proposal.
 TOKEN_THRESHOLD = 0.90
+NOT_EXAMINED = "sampled values could not be examined, so their columns have no proposal"
 
 
 def sample_rates(samples: DataFrame, detector: Callable[[Column], Column] = D.spans) -> DataFrame:
@@ -86,6 +88,6 @@ def degradations(rates: DataFrame) -> DataFrame:
         rates.agg(F.max(~F.col("examined")).alias("bad")).where("bad")
         .select(
             F.lit("detector").alias("layer"),
-            F.lit("sampled values could not be examined, so their columns have no proposal").alias("reason"),
+            F.lit(NOT_EXAMINED).alias("reason"),
         )
     )

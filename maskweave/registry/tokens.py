@@ -337,10 +337,10 @@ def overlap_covered(spark, folder):
     return E.overlaps_by_window(hits).select(F.col("id").alias("p_partkey"), "start", "end", "covered")
 
 
-@query("case_folding")
+@query("case_folding", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}')) AS text_hits FROM documents""")
 def case_folding(spark, folder):
-    upper = table(spark, folder, "documents").select("doc_id", F.upper("text").alias("text"))
-    return E.replace_known(upper, ["text"], E.patterns(_known_emails(spark, folder)), counts=True).select("doc_id", "text_hits")
+    upper = rows(spark, folder, "documents", "doc_id", "text").withColumn("text", F.upper("text"))
+    return E.replace_known(upper, ["text"], E.patterns(_known_emails(spark, folder)), counts=True).select("doc_id", F.col("text_hits").cast("long").alias("text_hits"))
 
 
 _SHORT_CELLS = """
