@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm import mixing, quality_rules
+from maskweave.llm import bpe, jaccard, mixing, quality_rules
 from maskweave.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,22 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.measure(table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost"
     )
+
+
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents"))
+
+
+#: The vocabulary file of the byte-level BPE query.
+BPE_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    ranks = bpe.read_ranks(docs.sparkSession, BPE_PATH)
+    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+
+
+@query("op9_byte_bpe")
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_digests(table(spark, folder, "documents"))
