@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm import bpe, jaccard, mixing, quality_rules
+from maskweave.llm import bpe, jaccard, lm, mixing, pages, quality, quality_rules, token_counts, toxicity
 from maskweave.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,40 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def classified(docs: DataFrame, bound: float) -> DataFrame:
+    return docs.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= bound).cast("int").alias("predicted")
+    )
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return classified(toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels"))), 0.5)
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return classified(quality.score(docs, quality.fit(docs, table(spark, folder, "labels"))), 0.3)
+
+
+#: The vocabulary file of the word-piece counts.
+PIECES_PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    pieces, end = token_counts.word_end_vocabulary(PIECES_PATH)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, pieces, end).select("doc_id", "n_tokens")
+
+
+@query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
@@ -55,3 +89,10 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_digests(table(spark, folder, "documents"))
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    good = table(spark, folder, "labels").where((F.col("quality") == 1) & ~held_out())
+    return lm.score(docs, lm.fit(docs, good)).drop("text")
