@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm import bpe, jaccard, lm, mixing, pages, quality, quality_rules, token_counts, toxicity
+from maskweave.llm import bpe, forest, jaccard, lm, mixing, pages, quality, quality_rules, token_counts, toxicity
 from maskweave.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op5_embedding_forest")
+def op5_embedding_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
