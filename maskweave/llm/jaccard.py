@@ -8,10 +8,10 @@ Two texts link when their shingle sets have a Jaccard similarity of ``percent``
    prefix extended by one, so each shares a rare shingle there, which is indexed alone, or two frequent ones,
    which are indexed as a combination. Where a long set would have too many combinations, its frequent shingles
    are indexed alone, and so are those of shorter sets that a long one can link with.
-3. The index is ordered by key, size and set. Neighbours in this order are checked against each other, which
-   joins a group of near copies by a chain, not by all its pairs. Then all pairs of sets that share a key and are
-   not yet connected are checked. So no link between different components is lost, and pairs within a
-   component, which cannot change the answer, are never made.
+3. The index is ordered by key, size class and number of rare shingles. Each set is checked against the head of
+   its class and its neighbour, which joins a group of near copies by a star, not by all its pairs. Then all pairs
+   of sets that share a key and are not yet connected are checked. So no link between different components is
+   lost, and pairs within a component, which cannot change the answer, are never made.
 
 Sets are known by a 64-bit digest, shingles by a 64-bit hash. No step gathers a group: the index is dealt out
 by ranges, so that one key with many sets lies over several tasks.
@@ -142,14 +142,14 @@ def _frequent(docs: DataFrame, rules: JaccardRules) -> np.ndarray:
     return bitmap
 
 
-def _keys(s: np.ndarray, bitmap: np.ndarray, rules: JaccardRules) -> np.ndarray:
-    """The index keys of one set."""
+def _keys(s: np.ndarray, bitmap: np.ndarray, rules: JaccardRules) -> tuple[np.ndarray, int, int]:
+    """The index keys of one set, how many of its shingles are rare, and how many keys are rare shingles."""
     n = len(s)
     least = -(-rules.percent * n // 100)
     if least < 2:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), 0, 0
     cls = (s >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
-    heavy = (bitmap[cls >> 3] >> (7 - (cls & 7)).astype(np.uint8)) & 1
+    heavy = ((bitmap[cls >> 3] >> (7 - (cls & 7)).astype(np.uint8)) & 1).astype(np.int64)
     order = _mixed(s)
     prefix = np.lexsort((order, heavy))[: min(n, n - least + 2)]
     rare, often = s[prefix[heavy[prefix] == 0]], s[prefix[heavy[prefix] == 1]]
@@ -160,22 +160,44 @@ def _keys(s: np.ndarray, bitmap: np.ndarray, rules: JaccardRules) -> np.ndarray:
         found.append(_mixed(often[a] * np.uint64(3) + _mixed(often[b])))
     if 100 * n >= rules.percent * rules.combine_below:
         found.append(often)
-    return np.concatenate(found)
+    return np.concatenate(found), int(n - heavy.sum()), len(rare)
+
+
+def _outline(s: np.ndarray) -> bytes | None:
+    """How many shingles of a set fall in each of n / 8 to n / 4 parts of the hash space, a byte each."""
+    bits = max(3, len(s).bit_length() - 3)
+    counts = np.bincount((_mixed(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _may_link(x: bytes | None, y: bytes | None, n_x: int, n_y: int, percent: int) -> bool:
+    """Whether two sets can link by their outlines: part by part, they share no more than the smaller has there."""
+    if x is None or y is None:
+        return True
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    parts = min(len(a), len(b))
+    both = int(np.minimum(a.reshape(parts, -1).sum(axis=1), b.reshape(parts, -1).sum(axis=1)).sum())
+    return 100 * both >= percent * (n_x + n_y - both)
 
 
 def _index(docs: DataFrame, bitmap: np.ndarray, rules: JaccardRules) -> DataFrame:
-    """``(doc_id, sid, n, keys)`` per text; the keys of a set once in each task."""
+    """``(doc_id, sid, n, keys, ...)`` per text; what belongs to a set stands once in each task."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             for part in parts(batch):
-                sids, sizes, keys = [], [], []
+                sids, sizes, keys, rare, alone, outlines = [], [], [], [], [], []
                 for s in shingle_sets(part.column("text").to_pylist(), rules.width):
                     sid = xxhash.xxh64_intdigest(s.tobytes()) if len(s) else None
                     sizes.append(len(s))
-                    keys.append(None if sid is None or sid in seen else _keys(s, shared.value, rules).view(np.int64))
+                    new = sid is not None and sid not in seen
+                    found, n_rare, n_alone = _keys(s, shared.value, rules) if new else (None, None, None)
+                    keys.append(found.view(np.int64) if new else None)
+                    rare.append(n_rare)
+                    alone.append(n_alone)
+                    outlines.append(_outline(s) if new else None)
                     seen.add(sid)
                     sids.append(None if sid is None else int(np.uint64(sid).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
@@ -184,78 +206,115 @@ def _index(docs: DataFrame, bitmap: np.ndarray, rules: JaccardRules) -> DataFram
                         pa.array(sids, pa.int64()),
                         pa.array(sizes, pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(rare, pa.int64()),
+                        pa.array(alone, pa.int64()),
+                        pa.array(outlines, pa.binary()),
                     ],
-                    names=["doc_id", "sid", "n", "keys"],
+                    names=["doc_id", "sid", "n", "keys", "n_rare", "n_alone", "outline"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(keyed, f"doc_id {kind}, sid bigint, n bigint, keys array<bigint>")
+    out = docs.select("doc_id", "text").mapInArrow(
+        keyed, f"doc_id {kind}, sid bigint, n bigint, keys array<bigint>, n_rare bigint, n_alone bigint, outline binary"
+    )
     return written(out, "jaccard-index")
 
 
-def _shared_keys(index: DataFrame) -> DataFrame:
-    """``(key, n, sid, prev_sid, prev_n)``: the index without keys that only one set has, with each row's neighbour."""
+def _fits(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of one key can link, by (n, h) in two columns: similar sizes, and no more shared than h."""
+    small, large = np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 0], b[:, 0])
+    most = np.minimum(a[:, 1], b[:, 1])
+    return (100 * small >= percent * large) & ((100 + percent) * most >= percent * (small + large))
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the last row, until what follows it is known
-        prev = None  # the row before it
-        first = None  # the first key of the partition may go on in another one
 
-        def rows(block: np.ndarray, end: bool):
-            nonlocal prev, first
-            key, sid = block[:, 0], block[:, 2]
+def _shared_keys(index: DataFrame, rules: JaccardRules) -> DataFrame:
+    """``(key, n, h, sid, near)``: the index without keys that only one set has.
+
+    h bounds what a set shares with another through this key: all of it for a rare shingle, else its frequent
+    shingles, since sets that also share a rare one meet by that one. Rows of a key are in the order of size class
+    and then of rare shingles, fewest first: the first of a class is the text that edited copies come from, if it
+    is there. near: the heads of the row's class and of the class below, and the row before, where they can link.
+    """
+    percent = rules.percent
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_, class_, n_, h_, sid_ = 0, 1, 3, 4, 5
+        held = None  # the last row, until what follows it is known
+        before = head = below = None  # rows that the next block goes on from
+        first = None  # the partition's first and last key may go on in other partitions
+
+        def rows(block: np.ndarray, following: int | None) -> pa.RecordBatch | None:
+            """following: the key of the row after the block, None at the partition's end."""
+            nonlocal before, head, below, first
             if first is None:
-                first = key[0]
-            before = np.vstack([[prev if prev is not None else (key[0] ^ 1, 0, 0)], block[:-1]])
-            new = (before[:, 0] != key) | (before[:, 2] != sid)
-            prev = block[-1]
-            block, before = block[new], before[new]
+                first = block[0, key_]
+            start = before if before is not None else np.full(6, -1)
+            earlier = np.vstack([start, block[:-1]])
+            fresh = (earlier != block).any(axis=1)
+            fresh[0] |= before is None
+            block, earlier = block[fresh], earlier[fresh]
             if not len(block):
-                return None, None
-            same = before[:, 0] == block[:, 0]
-            following = np.append(same[1:], False)
-            open_ends = (block[:, 0] == first) | (end & (block[:, 0] == block[-1, 0]))
-            return block, np.column_stack([before, same, following | same | open_ends])
-
-        def batch_of(block, more):
-            keep = more[:, 4].astype(bool)
-            block, more = block[keep], more[keep]
-            none = ~more[:, 3].astype(bool)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(block[:, 0]), pa.array(block[:, 1]), pa.array(block[:, 2]),
-                    pa.array(more[:, 2], mask=none), pa.array(more[:, 1], mask=none),
-                ],
-                names=["key", "n", "sid", "prev_sid", "prev_n"],
-            )
+                return None
+            same_key = earlier[:, key_] == block[:, key_]
+            if before is None:
+                same_key[0] = False
+            new_run = ~same_key | (earlier[:, class_] != block[:, class_])
+            at = np.maximum.accumulate(np.where(new_run, np.arange(len(block)), -1))
+            none = np.full(6, -1)
+            heads = np.where((at >= 0)[:, None], block[at], none if head is None else head)
+            run_starts = np.flatnonzero(new_run)
+            # The head of the run before, for each run that this block starts.
+            previous = np.vstack([[head if head is not None else none], block[run_starts]])[: len(run_starts)]
+            run_of = np.cumsum(new_run) - 1
+            belows = np.where(
+                (run_of >= 0)[:, None],
+                previous[run_of] if len(run_starts) else none,
+                none if below is None else below,
+            )
+            usable = lambda other: (
+                (other[:, key_] == block[:, key_])
+                & (other[:, n_] > 0)
+                & (other[:, sid_] != block[:, sid_])
+                & _fits(other[:, [n_, h_]], block[:, [n_, h_]], percent)
+            )
+            others = [heads, belows, earlier]
+            near = np.stack([usable(o) for o in others], axis=1)
+            sids = np.stack([o[:, sid_] for o in others], axis=1)
+            before, head, below = block[-1], heads[-1], belows[-1]
+            keep = same_key | np.append(same_key[1:], following is not None and following == block[-1, key_])
+            keep |= (block[:, key_] == first) | ((following is None) & (block[:, key_] == block[-1, key_]))
+            if not keep.any():
+                return None
+            block, near, sids = block[keep], near[keep], sids[keep]
+            ends = np.append(0, np.cumsum(near.sum(axis=1))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(sids[near]))
+            columns = [pa.array(block[:, c]) for c in (key_, n_, h_, sid_)]
+            return pa.RecordBatch.from_arrays([*columns, lists], names=["key", "n", "h", "sid", "near"])
 
         for batch in batches:
-            got = np.column_stack([np.asarray(c) for c in batch.columns])
-            block = np.vstack([*held, got]) if held else got
-            if len(block) < 2:
-                held = [block]
-                continue
-            # Repeats of one (key, set) stand together; the last row waits for the next batch.
-            done, held = block[:-1], [block[-1:]]
-            follows = block[-1, 0] == done[-1, 0]
-            out, more = rows(done, False)
-            if out is not None:
-                more[-1, 4] |= follows & (block[-1, 0] == out[-1, 0])
-                if more[:, 4].any():
-                    yield batch_of(out, more)
-        if held:
-            out, more = rows(held[0], True)
-            if out is not None and more[:, 4].any():
-                yield batch_of(out, more)
-
-    ordered = (
-        index.where(F.size("keys") > 0)
-        .select(F.explode("keys").alias("key"), "n", "sid")
-        .repartitionByRange("key", "n", "sid")
-        .sortWithinPartitions("key", "n", "sid")
+            block = np.column_stack([np.asarray(c) for c in batch.columns])
+            block = block if held is None else np.vstack([held, block])
+            held = block[-1:]
+            if len(block) > 1 and (out := rows(block[:-1], block[-1, key_])) is not None:
+                yield out
+        if held is not None and (out := rows(held, None)) is not None:
+            yield out
+
+    listed = index.where(F.size("keys") > 0).select(
+        F.posexplode("keys").alias("place", "key"), "sid", "n", "n_rare", "n_alone"
+    )
+    rows = listed.select(
+        "key",
+        F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).alias("class") if percent < 100 else F.col("n").alias("class"),
+        "n_rare",
+        "n",
+        F.when(F.col("place") < F.col("n_alone"), F.col("n")).otherwise(F.col("n") - F.col("n_rare")).alias("h"),
+        "sid",
     )
+    order = ["key", "class", "n_rare", "n", "h", "sid"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return written(
-        ordered.mapInArrow(kept, "key bigint, n bigint, sid bigint, prev_sid bigint, prev_n bigint"), "jaccard-keys"
+        ordered.mapInArrow(kept, "key bigint, n bigint, h bigint, sid bigint, near array<bigint>"), "jaccard-keys"
     )
 
 
@@ -275,13 +334,26 @@ def bitmap_of(ids: DataFrame, column: str, per_row: int = 16, most_bits: int = 2
     return words, bits
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, rules: JaccardRules) -> DataFrame:
-    """Those of ``pairs (a, b)`` of set digests that link, by their whole sets."""
-    pairs = written(pairs, "jaccard-pairs")
+def _verified(docs: DataFrame, index: DataFrame, pairs: DataFrame, rules: JaccardRules) -> DataFrame:
+    """Those of ``pairs (a, b)`` of set digests that link: first by the bound of their outlines, then by whole sets."""
+    width, percent = rules.width, rules.percent
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n_x", "n_y")), strict=True)
+            mask = pa.array([_may_link(*r, percent) for r in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(mask)
+
+    outlines = index.where("keys IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.first("outline").alias("o"))
+    outlined = pairs.join(outlines.select(F.col("sid").alias("a"), F.col("o").alias("x"), F.col("n").alias("n_x")), "a").join(
+        outlines.select(F.col("sid").alias("b"), F.col("o").alias("y"), F.col("n").alias("n_y")), "b"
+    )
+    pairs = written(
+        outlined.select("a", "b", "x", "y", "n_x", "n_y").mapInArrow(bounded, "a bigint, b bigint"), "jaccard-pairs"
+    )
     ids = written(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "jaccard-ids")
     words, bits = bitmap_of(ids, "sid")
     shared = docs.sparkSession.sparkContext.broadcast(words)
-    width, percent = rules.width, rules.percent
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -318,32 +390,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, rules: JaccardRules) -> DataFra
     return written(both.select("a", "b", "x", "y").mapInArrow(linked, "a bigint, b bigint"), "jaccard-edges")
 
 
-def similar_size(a: str, b: str, percent: int):
-    a, b = F.col(a), F.col(b)
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-
-
 def links(docs: DataFrame, index: DataFrame, rules: JaccardRules) -> DataFrame:
     """Links between set digests that join all that is connected."""
-    keys = _shared_keys(index)
-    near = keys.where("prev_sid IS NOT NULL AND prev_sid <> sid").where(similar_size("n", "prev_n", rules.percent))
-    first = _verified(
-        docs, near.select(F.least("sid", "prev_sid").alias("a"), F.greatest("sid", "prev_sid").alias("b")).distinct(), rules
-    )
+    keys = _shared_keys(index, rules)
+    near = keys.select("sid", F.explode("near").alias("other"))
+    near = near.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+    first = _verified(docs, index, near, rules)
     label = components(first).select(F.col("id").alias("sid"), "component")
-    rows = keys.select("key", "n", "sid").join(label, "sid", "left")
+    rows = keys.select("key", "n", "h", "sid").join(label, "sid", "left")
     rows = rows.withColumn("component", F.coalesce("component", "sid"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
     rows = written(rows.join(mixed.select("key"), "key", "left_semi"), "jaccard-open")
-    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "sid", "component")]) for s in "ab")
-    rest = (
-        left.join(right, "key")
-        .where("sid_a < sid_b AND component_a <> component_b")
-        .where(similar_size("n_a", "n_b", rules.percent))
-        .select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
-        .distinct()
+    left, right = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "h", "sid", "component")]) for s in "ab")
+    fits = (
+        "sid_a < sid_b AND component_a <> component_b"
+        f" AND least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {rules.percent}"
+        f" AND least(h_a, h_b) * {100 + rules.percent} >= (n_a + n_b) * {rules.percent}"
     )
-    return first.unionAll(_verified(docs, rest, rules))
+    rest = left.join(right, "key").where(fits).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
+    return first.unionAll(_verified(docs, index, rest, rules))
 
 
 def join(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
@@ -364,3 +429,15 @@ def join(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
     linked = known.join(by_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = index.where("sid IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone)
+
+
+def first_of_each(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
+    """The rows of ``docs`` that stay when each component keeps the one with its smallest doc_id.
+
+    Texts without shingles all stay. Rows that repeat an id and a text stay once. Rows with a null id are not compared
+    and all stay.
+    """
+    named = docs.where("doc_id IS NOT NULL")
+    kept = join(named, rules).where("doc_id = component_id").select("doc_id").distinct()
+    first = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return first.unionAll(docs.where("doc_id IS NULL"))
