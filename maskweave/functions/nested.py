@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskweave.functions.detect import once
 from maskweave.functions.tokens import REDACTED
 
 MAX_DEPTH = 64
@@ -38,14 +39,24 @@ def map_strings(value: Column, dtype: T.DataType, fn: Callable[[Column], Column]
     """``value`` with ``fn`` applied to each string leaf; bytes are read as UTF-8 text.
 
     The expression follows the schema, so it stays native. A value nested deeper than 64 levels is
-    masked whole. Two map keys that become equal keep the last one, which needs
-    ``spark.sql.mapKeyDedupPolicy=LAST_WIN``.
+    masked whole. No map entry is lost: where several text keys of a map come out alike, those after
+    the first are numbered by their place.
     """
     if depth(dtype) > MAX_DEPTH:
         return F.when(value.isNotNull(), F.lit(REDACTED))
     return _rewrite(value, dtype, fn)
 
 
+def _told_apart(keys: Column) -> Column:
+    """Texts with each repeat of an earlier one as a marker with its place, which no other place has."""
+    return F.transform(
+        keys,
+        lambda k, i: F.when(F.array_position(keys, k) == i + 1, k).otherwise(
+            F.concat(F.lit("⟨redacted:"), (i + 1).cast("string"), F.lit("⟩"))
+        ),
+    )
+
+
 def _rewrite(value: Column, dtype: T.DataType, fn: Callable[[Column], Column]) -> Column:
     if not has_text(dtype):
         return value
@@ -60,7 +71,10 @@ def _rewrite(value: Column, dtype: T.DataType, fn: Callable[[Column], Column]) -
         if has_text(dtype.valueType):
             out = F.transform_values(out, lambda _, v: _rewrite(v, dtype.valueType, fn))
         if has_text(dtype.keyType):
-            out = F.transform_keys(out, lambda k, _: _rewrite(k, dtype.keyType, fn))
+            keys = F.transform(F.map_keys(out), lambda k: _rewrite(k, dtype.keyType, fn))
+            if isinstance(dtype.keyType, T.StringType):
+                keys = once(keys, _told_apart)
+            out = F.map_from_arrays(keys, F.map_values(out))
         return out
     fields = [_rewrite(value[f.name], f.dataType, fn).alias(f.name) for f in dtype.fields]
     return F.when(value.isNotNull(), F.struct(*fields))

@@ -30,6 +30,7 @@ def mint(
     """Candidate bindings of input values: (session, conn, namespace, value, seq) in, with a token out.
 
     The stored value is normalised without folding case; the hashed one follows its namespace's rule.
+    A row with a bad namespace, an empty connection or no key has no token, and is shown as the marker.
     """
     stored = K.normalise(F.col("value"), False, compose)
     keyed = with_keys(inputs, keys).withColumn("value", stored)
@@ -37,8 +38,8 @@ def mint(
     keyed = keyed.withColumn("normalised", F.when(folded, F.lower("value")).otherwise(F.col("value")))
     token = K.token(K.joined_key(), F.col("namespace"), F.col("normalised"), hex_len)
     valid = P.valid_namespace(F.col("namespace")) & (F.col("conn") != "")
-    return keyed.where(valid).select(
-        "session", "conn", token.alias("token"), "namespace", "value", "normalised",
+    return keyed.select(
+        "session", "conn", F.when(valid, token).alias("token"), "namespace", "value", "normalised",
         F.lit(P.TOKEN).alias("policy"), "version", "seq",
         (now + F.make_interval(secs=F.lit(ttl))).alias("expires"),
     )
@@ -50,7 +51,7 @@ def bind(candidates: DataFrame) -> DataFrame:
     A repeated value extends the lifetime. Repeats are reduced map-side, so one value held by a third
     of the rows costs one row per partition in the shuffle.
     """
-    same = candidates.groupBy(*BIND_KEYS, "namespace", "normalised").agg(
+    same = candidates.where("token IS NOT NULL").groupBy(*BIND_KEYS, "namespace", "normalised").agg(
         F.min_by(F.struct("value", "conn", "policy", "version", "seq"), F.struct("seq", "value")).alias("b"),
         F.max("expires").alias("expires"),
     )
@@ -76,7 +77,7 @@ def tokens_or_redacted(candidates: DataFrame, bindings: DataFrame) -> DataFrame:
     mine = F.struct("namespace", "normalised")
     lost = F.col("owner").isNotNull() & (F.col("owner") != mine)
     return joined.withColumn("collision", lost).withColumn(
-        "shown", F.when(lost, F.lit(K.REDACTED)).otherwise(F.col("token"))
+        "shown", F.when(lost, F.lit(K.REDACTED)).otherwise(F.coalesce("token", F.lit(K.REDACTED)))
     ).drop("owner")
 
 

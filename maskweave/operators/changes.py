@@ -63,7 +63,9 @@ def upserted(df: DataFrame, source: DataFrame, keys: list[str], delete: Column |
         s = s.withColumn("_delete", F.lit(False))
     renamed = s.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in values), "_matched", "_delete")
     t = df.withColumn("_present", F.lit(True))
-    out = t.join(renamed, keys, "full").where(~F.coalesce(F.col("_delete"), F.lit(False)))
+    # Only a row that was there can be deleted: an unmatched source row is added, whatever the condition says.
+    gone = F.col("_present") & F.col("_delete")
+    out = t.join(renamed, keys, "full").where(~F.coalesce(gone, F.lit(False)))
     merged = {c: F.when(F.col("_matched"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in values}
     return out.select(*(merged.get(c, F.col(c)) for c in df.columns))
 

@@ -12,17 +12,21 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Callable
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskweave.functions.detect import detection_reach, examines, redact_text
+from maskweave.functions.detect import detection_reach, examines, redact_found, redact_spans, redact_text, spans
 from maskweave.functions.policy import ALLOW, POLICIES, REDACT, SCAN, TOKEN
 from maskweave.functions.tokens import CLOSE, OPEN, REDACTED, TAG_HEX, Key
 
 MAX_DEPTH = 64
+#: Where an examined leaf goes into a document; a written document holds no control character.
+_HOLE = "\x00"
+PIECES = T.ArrayType(T.StructType([T.StructField("fixed", T.StringType()), T.StructField("leaf", T.StringType())]))
 
 
 class Raw(str):
@@ -85,7 +89,7 @@ def mask_document(text: str, paths: dict[str, tuple[str, str]], make_token, scan
         if policy == TOKEN and namespace:
             return _quote(make_token(namespace, node if is_text else _raw(node)))
         if policy in (ALLOW, SCAN):
-            return _quote(scan(policy, node)) if is_text else _raw(node)
+            return scan(policy, node) if is_text else _raw(node)
         return _quote(REDACTED)
 
     try:
@@ -116,35 +120,65 @@ def mask_paths(
     detection: str = "scan",
     floor: str = ALLOW,
     fold: frozenset[str] = frozenset(),
+    detector: Callable[[Column], Column] | None = spans,
+    hex_len: int = TAG_HEX,
 ) -> Column:
-    """JSON text with each path masked by its policy. The key arrives as columns, never in a closure."""
+    """JSON text with each path masked by its policy. The key arrives as columns, never in a closure.
+
+    Texts that are examined go through ``detector``: one that is a column function gets them as a column, between
+    the pieces of the document, which needs a key that is not a subquery. Without a detector, or where it gives no
+    answer, they are masked whole.
+    """
     resolved = _resolved(paths, floor)
     reach = detection_reach(detection)
+    unseen = detector is None or reach == "off"
+    # The built-in patterns, and a recogniser written in Python, are called where the leaves are.
+    find = None if unseen else getattr(detector, "one", None)
+    own = redact_text if detector is spans else find and (lambda leaf: redact_found(leaf, find(leaf)))
 
-    def scan(policy: str, text: str) -> str:
-        if not examines(policy, True, reach):
-            return text
-        return REDACTED if reach == "off" and text else redact_text(text)
-
-    @F.pandas_udf(T.StringType())
+    @F.pandas_udf(PIECES)
     def walk(texts: pd.Series, ipad: pd.Series, opad: pd.Series, version: pd.Series) -> pd.Series:
         def one(text, i, o, v):
+            found: list[str] = []
+
+            def scan(policy: str, leaf: str) -> str:
+                if not leaf or not examines(policy, True, reach):
+                    return _quote(leaf)
+                if unseen:
+                    return _quote(REDACTED)
+                if own is not None:
+                    return _quote(own(leaf))
+                found.append(leaf)
+                return _HOLE
+
             def make_token(namespace: str, raw: str) -> str:
                 if i is None or o is None:
                     return REDACTED
                 normal = unicodedata.normalize("NFC", raw).strip()
                 normal = normal.lower() if namespace in fold else normal
                 inner = hashlib.sha256(bytes(i) + (namespace + normal).encode()).digest()
-                tag = hashlib.sha256(bytes(o) + inner).hexdigest()[: TAG_HEX]
+                tag = hashlib.sha256(bytes(o) + inner).hexdigest()[:hex_len]
                 return f"{OPEN}{namespace}{int(v)}:{tag}{CLOSE}"
 
-            return None if text is None else mask_document(text, resolved, make_token, scan)
+            if text is None:
+                return None
+            fixed = mask_document(text, resolved, make_token, scan).split(_HOLE)
+            leaves = found if len(fixed) == len(found) + 1 else []
+            return [{"fixed": f, "leaf": x} for f, x in zip_longest(fixed, leaves)]
 
         return pd.Series([one(*row) for row in zip(texts, ipad, opad, version)], dtype=object)
 
+    def shown(piece: Column) -> Column:
+        masked = F.to_json(F.array(redact_spans(piece["leaf"], detector(piece["leaf"]))))
+        quoted = F.substr(masked, F.lit(2), F.length(masked) - 2)
+        return F.concat(piece["fixed"], F.when(piece["leaf"].isNull(), F.lit("")).otherwise(quoted))
+
     none = F.lit(None)
     k = key or Key(none.cast("binary"), none.cast("binary"), none.cast("int"))
-    return walk(value, k.ipad, k.opad, k.version)
+    pieces = walk(value, k.ipad, k.opad, k.version)
+    if unseen or own is not None:
+        return F.get(pieces, F.lit(0))["fixed"]
+    return F.array_join(F.transform(pieces, shown), "")
 
 
 def mask_known_members(value: Column, members: dict[str, Callable[[Column], Column]], hidden: str = REDACTED) -> Column:

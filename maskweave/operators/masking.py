@@ -88,7 +88,9 @@ def mask_column(value: Column, dtype: T.DataType, p: ColumnPolicy, settings: Mas
     """Masked form of one column under a resolved policy. Null stays null."""
     marker = F.when(value.isNotNull(), F.lit(K.REDACTED))
     if p.paths:
-        return mask_paths(value, p.paths, settings.key, settings.detection, settings.floor, settings.fold)
+        return mask_paths(
+            value, p.paths, settings.key, settings.detection, settings.floor, settings.fold, settings.detector, settings.hex_len
+        )
     if p.policy == P.TOKEN:
         if settings.key is None:
             return marker

@@ -332,18 +332,45 @@ def flagged_filters(found: Lineage, catalog: Catalog) -> list[tuple[str, str, st
     return out
 
 
+# Spark's parsed nodes of statements that write rows, and of queries. What is on neither list is DDL.
+WRITES = {
+    "InsertIntoStatement": "INSERT", "InsertIntoDir": "INSERT", "UpdateTable": "UPDATE", "DeleteFromTable": "DELETE",
+    "MergeIntoTable": "MERGE",
+}
+QUERIES = frozenset(
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Tail Distinct Deduplicate Union Except Intersect Join LateralJoin "
+    "AsOfJoin SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedInlineTable ResolvedInlineTable "
+    "UnresolvedTableValuedFunction UnresolvedTVFAliases LocalRelation OneRowRelation Range Generate UnresolvedHaving "
+    "WithWindowDefinition UnresolvedWith Pivot UnresolvedPivot Unpivot UnresolvedUnpivot Sample Window "
+    "RepartitionByExpression Repartition RebalancePartitions UnresolvedHint RelationTimeTravel ScriptTransformation "
+    "UnresolvedOrdinal UnionLoop UnresolvedWithCTERelations TimeTravelRelation".split()
+)
+
+
 def statement_kind(spark: SparkSession, sql: str) -> str:
-    """Kind of one statement as Spark's own parser reads it."""
-    name = _class(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
-    # Spark's parsed roots of statements that write rows.
-    kinds = {
-        "InsertIntoStatement": "INSERT", "UpdateTable": "UPDATE", "DeleteFromTable": "DELETE", "MergeIntoTable": "MERGE",
-        "UnresolvedWith": "SELECT", "Project": "SELECT",
-    }
-    if name in kinds:
-        return kinds[name]
-    ddl = name.endswith(("Command", "Table", "View", "Namespace", "Function", "Partition", "Columns", "Column"))
-    return "DDL" if ddl else "SELECT"
+    """Kind of one statement as Spark's own parser reads it; nothing is executed.
+
+    The whole parsed tree counts, so a write behind WITH or FROM is a write. Only a tree made of known query nodes
+    is a SELECT; scripts, commands and all else are DDL.
+    """
+    nodes, names = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)], []
+    while nodes:
+        node = nodes.pop()
+        names.append(_class(node))
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    written = [WRITES[n] for n in names if n in WRITES]
+    if written:
+        return written[0]
+    return "SELECT" if all(n in QUERIES for n in names) else "DDL"
+
+
+def query_only(spark: SparkSession, sql: str) -> str:
+    """``sql`` if it is a query; anything that Spark would execute at once is refused."""
+    kind = statement_kind(spark, sql)
+    if kind != "SELECT":
+        raise ValueError(f"only a query can run here, not {kind}")
+    return sql
 
 
 def dry_run(

@@ -392,7 +392,7 @@ def update_commit(spark, folder):
 @query("merge_commit", """
 SELECT coalesce(t.p_partkey, s.p_partkey) AS p_partkey, CASE WHEN s.p_partkey IS NOT NULL THEN s.p_name ELSE t.p_name END AS p_name, CASE WHEN s.p_partkey IS NOT NULL THEN s.p_size ELSE t.p_size END AS p_size
 FROM part t FULL JOIN (SELECT p_partkey + 50 AS p_partkey, upper(p_name) AS p_name, p_size + 1 AS p_size FROM part WHERE p_size > 20) s ON s.p_partkey = t.p_partkey
-WHERE s.p_partkey IS NULL OR s.p_size <= 45
+WHERE s.p_partkey IS NULL OR t.p_partkey IS NULL OR s.p_size <= 45
 """)
 def merge_commit(spark, folder):
     part = table(spark, folder, "part").select("p_partkey", "p_name", "p_size")

@@ -7,13 +7,14 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from maskweave.operators.bounds import ceiling
+from maskweave.plans.lineage import query_only
 
 
 def run(spark: SparkSession, sql: str, params: dict[str, Any] | None = None, max_rows: int = 0, allowed: int = 0) -> DataFrame:
-    """Result up to the row ceiling. Parameters are bound, so a value never becomes statement text."""
-    return spark.sql(sql, args=params or {}).limit(ceiling(max_rows, allowed))
+    """Result of a query up to the row ceiling. Parameters are bound, so a value never becomes statement text."""
+    return spark.sql(query_only(spark, sql), args=params or {}).limit(ceiling(max_rows, allowed))
 
 
 def describe(spark: SparkSession, sql: str, params: dict[str, Any] | None = None) -> list[tuple[str, str]]:
     """Name and type of each output column; analysis only, no job."""
-    return [(f.name, f.dataType.simpleString()) for f in spark.sql(sql, args=params or {}).schema.fields]
+    return [(f.name, f.dataType.simpleString()) for f in spark.sql(query_only(spark, sql), args=params or {}).schema.fields]
