@@ -95,6 +95,10 @@ def _nfc(values: pd.Series) -> pd.Series:
 _MAY_COMPOSE = "[^\\x00-\\u017F]"
 
 
+#: The characters of Unicode's White_Space property, for trimming in Python as trim_space does.
+SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_space(value: Column) -> Column:
     """Trim every Unicode space, where the built-in trim only knows U+0020."""
     return F.regexp_replace(value, "(?U)^\\s+|\\s+$", "")

@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskweave.functions.tokens import OPEN, REDACTED, trim_space
+from maskweave.functions.tokens import OPEN, REDACTED, SPACE_CHARS, trim_space
 from maskweave.session import fits_broadcast
 
 try:
     import ahocorasick
-except ImportError:  # the alternation below gives the same answer, slower
+except ImportError:  # looking up each length at each place gives the same answer, slower
     ahocorasick = None
 
 MIN_MATCH_BYTES = 4
@@ -65,23 +65,25 @@ class Index:
         self.short = {p: t for p, t, short in entries if short}
         self.long = {p: t for p, t, short in entries if not short}
         self.tokens = {t for _, t, _ in entries}
-        self.automaton = self.regex = None
+        self.lengths = sorted({len(p) for p in self.long})
+        self.automaton = None
         if self.long and ahocorasick:
             self.automaton = ahocorasick.Automaton()
             for p, t in self.long.items():
                 self.automaton.add_word(p, (len(p), t))
             self.automaton.make_automaton()
-        elif self.long:
-            self.regex = re.compile("|".join(re.escape(p) for p in sorted(self.long, key=len, reverse=True)))
 
     def all_hits(self, folded: str) -> Iterator[tuple[int, int, str]]:
         """Every match, nested ones included."""
         if self.automaton:
             for end, (n, t) in self.automaton.iter(folded):
                 yield end + 1 - n, end + 1, t
-        elif self.regex:
-            for m in self.regex.finditer(folded):
-                yield m.start(), m.end(), self.long[m.group()]
+        else:
+            for start in range(len(folded)):
+                for n in self.lengths:
+                    if t := self.long.get(folded[start : start + n]):
+                        if start + n <= len(folded):
+                            yield start, start + n, t
 
     def hits(self, folded: str) -> list[tuple[int, int, str]]:
         out, last = [], 0
@@ -111,7 +113,7 @@ class Index:
         keep = self.protected(text) if OPEN in text else []
         if not keep and self.short:
             low = text.lower()
-            for form in (low, low.strip()):
+            for form in (low, low.strip(SPACE_CHARS)):
                 if form in self.short:
                     return self.short[form], 1
         out, at, n = [], 0, 0

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from maskweave.functions.detect import detection_reach, examines, redact_found, redact_spans, redact_text, spans
 from maskweave.functions.policy import ALLOW, POLICIES, REDACT, SCAN, TOKEN
-from maskweave.functions.tokens import CLOSE, OPEN, REDACTED, TAG_HEX, Key
+from maskweave.functions.tokens import CLOSE, OPEN, REDACTED, SPACE_CHARS, TAG_HEX, Key
 
 MAX_DEPTH = 64
 #: Where an examined leaf goes into a document; a written document holds no control character.
@@ -154,7 +154,7 @@ def mask_paths(
             def make_token(namespace: str, raw: str) -> str:
                 if i is None or o is None:
                     return REDACTED
-                normal = unicodedata.normalize("NFC", raw).strip()
+                normal = unicodedata.normalize("NFC", raw).strip(SPACE_CHARS)
                 normal = normal.lower() if namespace in fold else normal
                 inner = hashlib.sha256(bytes(i) + (namespace + normal).encode()).digest()
                 tag = hashlib.sha256(bytes(o) + inner).hexdigest()[:hex_len]

@@ -77,10 +77,17 @@ def resolve(settings: Masking, name: str, dtype: T.DataType, metadata: dict | No
 
 def value_text(value: Column, dtype: T.DataType) -> Column:
     """Text that a token is made of. A whole number has one text, whatever its type, so that a key
-    stored as a fraction in one table and as an integer in another still joins."""
+    stored as a fraction in one table and as an integer in another still joins. A fraction with a
+    fixed number of digits loses the zeros at its end, as a floating one has none."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-        return F.when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))
+        whole = value == F.floor(value)
+        return (
+            F.when(whole & (F.abs(value) < 9e18), value.cast("long").cast("string"))
+            .when(whole & (F.abs(value) < 1e37), value.cast("decimal(38,0)").cast("string"))
+            .otherwise(value.cast("string"))
+        )
+    if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
+        return F.regexp_replace(value.cast("string"), r"\.?0+$", "")
     return value if isinstance(dtype, T.StringType) else value.cast("string")
 
 

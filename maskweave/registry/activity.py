@@ -54,11 +54,11 @@ def statement_shapes(spark, folder):
 
 @query("strip_comments", r"""
 SELECT o_orderkey, 'SELECT id FROM orders WHERE o_orderkey = ' || o_orderkey || ' AND p = E''it\''s ' || o_custkey || '''' AS text FROM orders WHERE o_orderstatus = 'O'
-UNION ALL SELECT o_orderkey, 'delete from orders where k in (0x1F, .5, 1_000, ' || o_orderkey || ', ''O''''Brien'', U&''' || o_custkey || ''')' FROM orders WHERE o_orderstatus = 'P'
+UNION ALL SELECT o_orderkey, 'delete from orders where k in (0x1F, .5, 1_000, ' || o_orderkey || ', ''O''''Brien'', U&''' || o_custkey || ''')' FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
+UNION ALL SELECT o_orderkey, 'WITH t AS (SELECT "Name", "o_orderkey" FROM orders WHERE total > ' || o_totalprice || ') UPDATE t SET note = $q$ hidden ' || o_custkey || ' $q$, n = $1' FROM orders WHERE o_orderstatus = 'F'
 """)
 def strip_comments(spark, folder):
-    out = _statements(spark, folder).where("o_orderstatus <> 'F'")
-    return out.select("o_orderkey", S.strip_comments(F.col("statement")).alias("text"))
+    return _statements(spark, folder).select("o_orderkey", S.strip_comments(F.col("statement")).alias("text"))
 
 
 @query("statement_type", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'SELECT' WHEN 'F' THEN 'MERGE' ELSE 'DDL' END AS kind FROM orders")
@@ -76,14 +76,13 @@ _REASONS = """concat_ws(',', CASE WHEN statement_type = 'DDL' THEN 'ddl' END, CA
   CASE WHEN statement_type <> 'DDL' AND writes AND w NOT IN ('ask', 'allow') THEN 'writes_off' END,
   CASE WHEN statement_type <> 'DDL' AND NOT writes AND r IN ('uncertain', '') AND uncertain THEN 'volatile_call' END,
   CASE WHEN statement_type <> 'DDL' AND NOT writes AND r NOT IN ('uncertain', '', 'never') THEN 'reads_ask' END)"""
-_JOINED = "FROM f JOIN (SELECT id AS connection, reads AS r, writes AS w FROM p) USING (connection)"
+_JOINED = "FROM (SELECT f.*, coalesce(p.reads, '') AS r, coalesce(p.writes, '') AS w FROM f LEFT JOIN p ON p.id = f.connection) f"
 
 
 @query("triage_statements", with_tables(f"SELECT f.id, {_OUTCOME} AS outcome, {_REASONS} AS reasons {_JOINED}", f=FACTS, p=PROFILES))
 def triage_statements(spark, folder):
     profiles = derived(spark, folder, PROFILES).withColumnRenamed("writes", "writes_setting")
-    facts = derived(spark, folder, FACTS).join(profiles.select(F.col("id").alias("connection")), "connection", "left_semi")
-    return T.triage(facts, profiles).select("id", "outcome", F.array_join("reasons", ",").alias("reasons"))
+    return T.triage(derived(spark, folder, FACTS), profiles).select("id", "outcome", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("statement_reasons", with_tables("""

@@ -95,3 +95,25 @@ def test_dry_run_judges_and_never_executes(spark, tmp_path, sql, kind):
             queries.run(spark, sql)
         with pytest.raises(ValueError):
             queries.describe(spark, sql)
+
+
+def test_whole_numbers_have_one_text(spark):
+    from pyspark.sql import types as T
+
+    from maskweave.operators.masking import value_text
+
+    rows = [(5, "5.00", 5.0), (10**15, "1000000000000000.00", 1e15), (2**60, str(2**60), float(2**60)), (120, "120.00", 120.0), (0, "0.00", 0.0)]
+    df = spark.createDataFrame(rows, "b bigint, s string, d double").withColumn("c", F.col("s").cast("decimal(38,2)"))
+    kinds = {"b": T.LongType(), "d": T.DoubleType(), "c": T.DecimalType(38, 2)}
+    for r in df.select(*(value_text(F.col(k), t).alias(k) for k, t in kinds.items())).collect():
+        assert r.b == r.c == r.d
+    assert df.limit(1).select(value_text(F.lit("5.50").cast("decimal(9,2)"), T.DecimalType(9, 2))).first()[0] == "5.5"
+
+
+def test_search_without_the_optional_library(monkeypatch):
+    from maskweave.operators import emission as E
+
+    monkeypatch.setattr(E, "ahocorasick", None)
+    index = E.Index([("abcdef", "1", False), ("cdefgh", "2", False), ("bcde", "3", False), ("ab", "4", True)])
+    assert sorted(index.all_hits("abcdefgh")) == [(0, 6, "1"), (1, 5, "3"), (2, 8, "2")]
+    assert index.replace("\x1cab") == ("\x1cab", 0) and index.replace(" ab ") == ("4", 1)
