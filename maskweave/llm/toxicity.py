@@ -284,17 +284,12 @@ def train(texts: list[str], labels: list[int], rules: ToxicityRules = ToxicityRu
     slots = whole, grams, at = _slots(words, rules)
     net = Network(rules)
     # Odds of n-grams: in how many texts of each class they are.
-    text_of = np.repeat(np.arange(len(texts)), lengths)
-    pairs = np.unique(text_of.astype(np.int64) * len(words) + ids)
-    text, word = pairs // len(words), pairs % len(words)
     counts = np.diff(at)
-    size = 1 << rules.gram_bits
-    gram_pairs = np.unique(
-        np.repeat(text, counts[word]) * size
-        + grams[np.repeat(at[word] - np.cumsum(counts[word]) + counts[word], counts[word]) + np.arange(counts[word].sum())]
-    )
-    label_of = target[gram_pairs // size]
-    seen = [np.bincount(gram_pairs % size, weights=label_of == k, minlength=size) for k in (0, 1)]
+    seen = np.zeros((2, 1 << rules.gram_bits))
+    for some, label in zip(np.split(ids, np.cumsum(lengths)[:-1]), target, strict=True):
+        used = np.unique(some)
+        picks = np.repeat(at[used] - np.cumsum(counts[used]) + counts[used], counts[used])
+        seen[int(label), np.unique(grams[picks + np.arange(len(picks))])] += 1
     odds = np.log((seen[1] + 0.5) / (target.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - target).sum() + 1))
     word_odds = np.maximum.reduceat(odds[grams], at[:-1])
     speaks = np.where(spans >= 0, word_odds[ids[np.maximum(spans, 0)]], -np.inf).max(axis=1)
