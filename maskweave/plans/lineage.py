@@ -221,13 +221,30 @@ class _Reader:
         return None
 
     def table_name(self, node) -> str:
-        if hasattr(node, "catalogTable") and node.catalogTable().isDefined():
-            return node.catalogTable().get().identifier().table()
+        """A relation's name: from its catalog, or the last part of its path. One that has neither goes by its class,
+        which no catalog entry has, so its columns are redacted. A Java object claims every attribute: go by class."""
+        kind = _class(node)
         try:
-            path = node.relation().location().rootPaths().apply(0).getName()
-            return path.split(".")[0]
+            if kind == "HiveTableRelation":
+                return node.tableMeta().identifier().table()
+            if kind in ("DataSourceV2Relation", "StreamingRelationV2"):
+                known = node.identifier()
+                # A table without a catalog is called by its format and its paths.
+                return known.get().name() if known.isDefined() else _file_name(node.table().name())
+            if kind == "StreamingRelation":
+                source = node.dataSource()
+                known = source.catalogTable()
+                return known.get().identifier().table() if known.isDefined() else _file_name(source.options().get("path").get())
+            if node.catalogTable().isDefined():
+                return node.catalogTable().get().identifier().table()
+            return _file_name(node.relation().location().rootPaths().apply(0).getName())
         except Exception:  # noqa: BLE001 - other sources have no path
-            return _class(node)
+            return kind
+
+
+def _file_name(path: str) -> str:
+    """The last part of a path or of a list of paths, without its endings."""
+    return path.rstrip("/").rpartition("/")[2].split(".")[0]
 
 
 def lineage(df: DataFrame, tables: frozenset[str] = frozenset()) -> Lineage:

@@ -54,3 +54,21 @@ def test_parameter_policy_without_relations(views):
     found = G.lineage(views.sql("SELECT concat('hi ', :v) AS x", args={"v": "secret"}), TABLES)
     out = G.output_policies(found, CATALOG, parameter_policy="token")
     assert [(p.policy, p.basis) for p in out] == [("redact", "parameter")]
+
+
+def test_other_relations_are_named_and_policed(spark, tmp_path):
+    path = str(tmp_path / "people.parquet")
+    spark.createDataFrame([(1, "a@b.example")], "id int, email string").write.parquet(path)
+    catalog = {("people", "id"): ColumnPolicy("allow"), ("people", "email"): ColumnPolicy("token", "email")}
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    spark.conf.set("spark.sql.sources.useV1SourceList", "")
+    try:
+        found = G.lineage(spark.read.parquet(path).select("id", "email"))
+    finally:
+        spark.conf.set("spark.sql.sources.useV1SourceList", before)
+    assert found.relations == ["people"] and [p.policy for p in G.output_policies(found, catalog)] == ["allow", "token"]
+    files = spark.readStream.schema("id int, email string").parquet(path).select("id", "email")
+    found = G.lineage(files)
+    assert found.relations == ["people"] and [p.policy for p in G.output_policies(found, catalog)] == ["allow", "token"]
+    rate = G.lineage(spark.readStream.format("rate").load().select("value"))
+    assert [p.policy for p in G.output_policies(rate, catalog)] == ["redact"]
