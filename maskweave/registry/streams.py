@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,13 +13,13 @@ from maskweave.streaming import streams as S
 
 
 def _folder(spark) -> str:
-    """A new folder for a stream's state and output: below the cluster's checkpoint folder where it has
-    one, so that all executors see it."""
+    """A new folder for a stream's state and output: below the cluster's checkpoint folder, which all executors see.
+    Only a local session may go without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        import uuid
-
         return f"{base.rstrip('/')}/maskweave-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return tempfile.mkdtemp(prefix="maskweave-stream-")
 
 
