@@ -17,7 +17,10 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,9 +114,9 @@ def lines_of(page: str | None) -> list[tuple[str, str, str]]:
     return out
 
 
-def common(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
+def common(a: list, b: list) -> tuple[set[int], set[int]]:
     """The places of a longest common subsequence in both lists (by longest increasing chains of matching places)."""
-    places: dict[str, list[int]] = {}
+    places: dict = {}
     for j in range(len(b) - 1, -1, -1):
         places.setdefault(b[j], []).append(j)
     ends: list[int] = []
@@ -137,87 +140,73 @@ def common(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
     return left, right
 
 
-def main_text(lines: list[tuple[str, str, str]], shared: set[int]) -> str:
-    """The text of a page whose lines at ``shared`` stand on its neighbour too."""
-    own = [k for k, (_, zone, _) in enumerate(lines) if zone != "chrome"]
+def dropped(a: list[tuple[int, str]], shared: set[int]) -> list[int]:
+    """Which of a page's own lines go, counted without chrome, when those at ``shared`` stand on its neighbour too."""
+    own = [k for k, (_, zone) in enumerate(a) if zone != "c"]
     if all(k in shared for k in own):
-        shared = set()
-    return "\n\n".join(lines[k][2] for k in own if k not in shared or lines[k][1] == "prose")
+        return []  # a copy of its neighbour, not a template
+    return [n for n, k in enumerate(own) if k in shared and a[k][1] != "p"]
+
+
+_PLACE = r"^(?:[A-Za-z][\w+.-]*:)?(?://)?([^/?#]*)([^?#]*)"
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text)`` for each row of ``pages (page_id, url, html)``: the main text, empty if there is none.
 
-    Pages of a host are ranked by URL path by a sort over ranges, so that a large host lies over many tasks; the
-    pages of ranks 2k and 2k + 1 are a pair, and an odd last page joins the pair before it. Null or empty html has an
-    empty text, a null url is a host of its own, repeated rows come out as often as they come in, and a page
-    without a neighbour has its text by its markup alone.
+    Distinct pages of a host are ranked by URL path by a sort over ranges, so that a large host lies over many tasks;
+    the pages of ranks 2k and 2k + 1 are a pair, and an odd last page is compared with the one before it. Only
+    hashes of lines travel for this; the text of a page moves once, to meet the lines that it loses.
+    Null or empty html has an empty text, a null url is a host of its own, repeated rows come out as often as they
+    come in, and a page without a neighbour has its text by its markup alone.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
+    known = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("id"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 lines = [lines_of(x) for x in some.column("html").to_pylist()]
-                columns = [pa.array([[x[k] for x in page] for page in lines], pa.list_(pa.string())) for k in range(3)]
+                hashes = [[xxhash.xxh64_intdigest(key) - (1 << 63) for key, _, _ in page] for page in lines]
+                zones = ["".join(zone[0] for _, zone, _ in page) for page in lines]
+                columns = [pa.array(hashes, pa.list_(pa.int64())), pa.array(zones, pa.string())]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("page_id"), some.column("url"), *columns], names=["page_id", "url", "keys", "zones", "texts"]
+                    [some.column("id"), some.column("url"), *columns], names=["id", "url", "keys", "zones"]
                 )
 
-    cut_lines = pages.select("page_id", "url", "html").mapInArrow(
-        cut, f"page_id {kind}, url string, keys array<string>, zones array<string>, texts array<string>"
-    )
-    place = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][\w+.-]*:)?(?://)?([^/?#]*)([^?#]*)", 2)
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][\w+.-]*:)?(?://)?([^/?#]*)", 1))
-    table = written(
-        cut_lines.select(F.monotonically_increasing_id().alias("row"), "*", host.alias("host"), place.alias("path")),
-        "page-lines",
-    )
-    by_place = table.select("row", "host", "path").repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
-    local = written(
-        by_place.select("row", "host", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")),
-        "page-ranks",
-    )
-    # Where each range starts in the whole order: one row per range.
-    counts = local.groupBy("part").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    ranked = local.join(F.broadcast(starts), "part").select(
-        "row", "host", (F.col("start") + F.col("seq") - F.col("first")).alias("rank")
-    )
-    hosts = ranked.groupBy("host").agg(F.min("rank").alias("low"), F.count("*").alias("n"))
-    paired = ranked.join(hosts, "host").select(
-        "row",
-        F.greatest(
-            F.lit(0), F.least(F.floor((F.col("rank") - F.col("low")) / 2), F.floor(F.col("n") / 2) - 1)
-        ).alias("pair"),
-        "rank",
-    )
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                own = [
+                    pack.compress("\n".join(text for _, zone, text in lines_of(x) if zone != "chrome").encode())
+                    for x in some.column("html").to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("id"), some.column("page_id"), some.column("url"), pa.array(own, pa.binary())],
+                    names=["id", "page_id", "url", "own"],
+                )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
 
         def done():
-            lines = [list(zip(r["keys"], r["zones"], r["texts"], strict=True)) for r in rows]
             shared: list[set[int]] = [set() for _ in rows]
-            # A page meets its partner; a third page meets the one before it.
             for a, b in zip(range(len(rows)), range(1, len(rows)), strict=False):
-                left, right = common([x[0] for x in lines[a]], [x[0] for x in lines[b]])
+                left, right = common(rows[a]["keys"], rows[b]["keys"])
                 shared[b] = right
-                if a % 2 == 0:
+                if a == 0:
                     shared[a] = left
+            lost = [dropped(list(zip(r["keys"], r["zones"], strict=True)), x) for r, x in zip(rows, shared, strict=True)]
+            some = [(r["id"], x) for r, x in zip(rows, lost, strict=True) if x]
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r["page_id"] for r in rows], schema.field("page_id").type),
-                    pa.array([r["url"] for r in rows], pa.string()),
-                    pa.array([main_text(x, s) for x, s in zip(lines, shared, strict=True)], pa.string()),
-                ],
-                names=["page_id", "url", "text"],
+                [pa.array([i for i, _ in some], pa.int64()), pa.array([x for _, x in some], pa.list_(pa.int32()))],
+                names=["id", "lost"],
             )
 
         for batch in batches:
-            schema = batch.schema
             for r in batch.to_pylist():
                 if rows and (r["host"], r["pair"]) != group:
                     yield done()
@@ -227,11 +216,55 @@ def extract(pages: DataFrame) -> DataFrame:
         if rows:
             yield done()
 
-    return (
-        table.drop("path")
-        .join(paired, "row")
+    address = F.coalesce("url", F.lit(""))
+    outlines = (
+        known.select("id", "url", "html")
+        .mapInArrow(outlined, "id bigint, url string, keys array<bigint>, zones string")
+        .select(
+            "id",
+            F.lower(F.regexp_extract(address, _PLACE, 1)).alias("host"),
+            F.regexp_extract(address, _PLACE, 2).alias("path"),
+            "keys",
+            "zones",
+        )
+        .dropDuplicates(["id"])
+    )
+    order = ["host", "path", "id"]
+    local = written(
+        written(outlines, "page-outlines")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("id", "host", "keys", "zones", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")),
+        "page-order",
+    )
+    # Where each range starts in the whole order: one row per range.
+    counts = local.groupBy("part").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    ranked = local.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("seq") - F.col("first"))
+    hosts = ranked.groupBy("host").agg(F.min("rank").alias("low"), F.count("*").alias("n"))
+    pair = F.least(F.floor((F.col("rank") - F.col("low")) / 2), F.floor(F.col("n") / 2) - 1)
+    lost = (
+        ranked.join(hosts, "host")
+        .select("id", "host", F.greatest(F.lit(0), pair).alias("pair"), "rank", "keys", "zones")
         .repartition("host", "pair")
         .sortWithinPartitions("host", "pair", "rank")
-        .select("page_id", "url", "host", "pair", "keys", "zones", "texts")
-        .mapInArrow(compared, f"page_id {kind}, url string, text string")
+        .mapInArrow(compared, "id bigint, lost array<int>")
+    )
+
+    @F.pandas_udf("string")
+    def rendered(own: pd.Series, lost: pd.Series) -> pd.Series:
+        unpack = zstandard.ZstdDecompressor()
+
+        def text(packed: bytes, gone) -> str:
+            lines = unpack.decompress(packed).decode()
+            gone = set() if gone is None else {int(k) for k in gone}
+            return "\n\n".join(x for k, x in enumerate(lines.split("\n")) if k not in gone) if lines else ""
+
+        return pd.Series([text(a, b) for a, b in zip(own, lost, strict=True)])
+
+    return (
+        known.mapInArrow(texts, f"id bigint, page_id {kind}, url string, own binary")
+        .join(lost, "id", "left")
+        .select("page_id", "url", rendered("own", "lost").alias("text"))
     )
