@@ -36,7 +36,7 @@ class ToxicityRules:
     word_bits: int = 15
     gram_bits: int = 16
     rows: int = 2500
-    characters: int = 12_000
+    characters: int = 8_000
     rounds: int = 3
     epochs: int = 4
     batch: int = 192
@@ -49,8 +49,15 @@ class ToxicityRules:
             raise ValueError("windows must overlap or meet")
 
 
-def _slots(words: list[str], rules: ToxicityRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For distinct words: word slot, flat n-gram slots (3 to 5 characters, ends marked), and where each word's start."""
+def _slots(words: list[str], rules: ToxicityRules, part: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct words: word slot, flat n-gram slots (3 to 5 characters, ends marked), and where each word's start.
+    Words are taken in parts, so that memory beyond the answer is bounded."""
+    some = [_slots_of(words[a : a + part], rules) for a in range(0, len(words), part)] or [_slots_of([], rules)]
+    counts = np.concatenate([c for _, _, c in some])
+    return np.concatenate([w for w, _, _ in some]), np.concatenate([g for _, g, _ in some]), np.append(0, np.cumsum(counts))
+
+
+def _slots_of(words: list[str], rules: ToxicityRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     marked = [f"<{w.lower().strip(TRIM) or '-'}>" for w in words]
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -77,8 +84,7 @@ def _slots(words: list[str], rules: ToxicityRules) -> tuple[np.ndarray, np.ndarr
         whole = (whole * prime >> np.uint64(64 - rules.word_bits)).astype(np.int64)
     grams, owner = np.concatenate(slots), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    counts = np.bincount(owner, minlength=len(words))
-    return whole, grams[order], np.concatenate([[0], np.cumsum(counts)])
+    return whole.astype(np.int32), grams[order].astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 def windows_of(lengths: list[int], rules: ToxicityRules) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +95,11 @@ def windows_of(lengths: list[int], rules: ToxicityRules) -> tuple[np.ndarray, np
         if n:
             starts = np.arange(0, max(1, n - rules.window + rules.stride), rules.stride)
             span = starts[:, None] + np.arange(rules.window)
-            spans.append(np.where(span < n, span + at, -1))
-            owners.append(np.full(len(starts), k))
+            spans.append(np.where(span < n, span + at, -1).astype(np.int32))
+            owners.append(np.full(len(starts), k, np.int32))
         at += n
     if not spans:
-        return np.empty((0, rules.window), np.int64), np.empty(0, np.int64)
+        return np.empty((0, rules.window), np.int32), np.empty(0, np.int32)
     return np.concatenate(spans), np.concatenate(owners)
 
 
@@ -248,10 +254,9 @@ def _summed(slots: np.ndarray, grad: np.ndarray) -> np.ndarray:
 
 def _numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, list[int]]:
     """Distinct words, the words of all texts as numbers, and the texts' lengths."""
-    words = [(t or "").split() for t in texts]
     known: dict[str, int] = {}
-    ids = np.fromiter((known.setdefault(w, len(known)) for ws in words for w in ws), np.int64)
-    return list(known), ids, [len(ws) for ws in words]
+    ids = [np.fromiter((known.setdefault(w, len(known)) for w in (t or "").split()), np.int32) for t in texts]
+    return list(known), np.concatenate(ids) if ids else np.empty(0, np.int32), [len(x) for x in ids]
 
 
 @dataclass
@@ -292,7 +297,8 @@ def train(texts: list[str], labels: list[int], rules: ToxicityRules = ToxicityRu
         seen[int(label), np.unique(grams[picks + np.arange(len(picks))])] += 1
     odds = np.log((seen[1] + 0.5) / (target.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - target).sum() + 1))
     word_odds = np.maximum.reduceat(odds[grams], at[:-1])
-    speaks = np.where(spans >= 0, word_odds[ids[np.maximum(spans, 0)]], -np.inf).max(axis=1)
+    of_words = word_odds.astype(np.float32)[ids]
+    speaks = np.array([of_words[s[s >= 0]].max() for s in spans])
     first = np.flatnonzero(np.diff(owners, prepend=-1))
     n_windows = np.diff(np.append(first, len(owners)))
 
