@@ -340,7 +340,8 @@ def train(texts: list[str], labels: list[int], rules: ToxicityRules = ToxicityRu
 
 
 def _cut(logits: np.ndarray, truth: np.ndarray) -> float:
-    """The logit between the classes where the shares found and spared are highest, in the middle of the gap."""
+    """The logit between the classes where the shares found and spared are highest, at three quarters of the gap: a clean
+    text takes the highest of many windows, so unseen ones reach further up than unseen toxic ones reach down."""
     order = np.argsort(logits)
     logits, truth = logits[order], truth[order]
     spared = np.append(0, np.cumsum(truth == 0)) / max(1, (truth == 0).sum())
@@ -348,7 +349,7 @@ def _cut(logits: np.ndarray, truth: np.ndarray) -> float:
     k = int(np.argmax(spared + found))
     low = logits[k - 1] if k else logits[0] - 1
     high = logits[k] if k < len(logits) else logits[-1] + 1
-    return float(low + high) / 2
+    return float(low + 0.75 * (high - low))
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, characters: int | None = None) -> DataFrame:
