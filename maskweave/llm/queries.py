@@ -64,7 +64,27 @@ def op5_embedding_forest(spark: SparkSession, folder: str) -> DataFrame:
     return forest.near_duplicates(table(spark, folder, "embeddings"))
 
 
-@query("op6_mixing")
+#: The same mix by sorts and windows over whole sources.
+_MIX = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+r AS (SELECT *, source_size * CAST(2 AS DOUBLE) / weight AS reach FROM w),
+l AS (SELECT *, ((SELECT sum(source_size) FROM r) * CAST(1.5 AS DOUBLE) - coalesce(sum(source_size) OVER o, 0) * CAST(2 AS DOUBLE))
+    / ((SELECT sum(weight) FROM r) - coalesce(sum(weight) OVER o, 0)) AS level
+    FROM r WINDOW o AS (ORDER BY reach, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(source_size * CAST(2 AS DOUBLE),
+    coalesce((SELECT level FROM l WHERE reach > level ORDER BY reach, source_size, level LIMIT 1) * weight, source_size * CAST(2 AS DOUBLE))) AS target FROM l),
+p AS (SELECT d.*, source_size, target, row_number() OVER (PARTITION BY d.source ORDER BY size, k) - 1 AS place,
+    CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+    CAST(CAST('0x' || substr(md5('mix/' || coalesce('s' || d.source, '')), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296 AS start
+    FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, size * CAST(least(floor(start + (place + 1) * rate) - floor(start + place * rate), ceil(rate)) AS BIGINT) AS taken FROM p
+"""
+
+
+@query("op6_mixing", _MIX)
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
