@@ -83,7 +83,8 @@ def fit(docs: DataFrame, target_ids: DataFrame, rules: LmRules = LmRules()) -> M
     Each task counts into tables of fixed size and sends them as compressed slices; the slices are added up by a
     streaming pass over each slice's rows, and the sums, of fixed size, become the model. Null ids are in no target.
     """
-    marked = target_ids.select("doc_id").distinct().withColumn("target", F.lit(True))
+    # A merge at every size: the targets grow with the input, so they are never broadcast.
+    marked = target_ids.select("doc_id").distinct().withColumn("target", F.lit(True)).hint("merge")
     source = docs.select("doc_id", "text").join(marked, "doc_id", "left").select("text", "target")
     sizes = {"words": 1 << rules.word_bits, "pairs": 1 << rules.pair_bits, "texts": 1}
 
