@@ -120,4 +120,4 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     good = table(spark, folder, "labels").where((F.col("quality") == 1) & ~held_out())
-    return lm.score(docs, lm.fit(docs, good)).drop("text")
+    return lm.fit_and_score(docs, good).drop("text")

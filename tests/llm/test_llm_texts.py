@@ -359,3 +359,28 @@ def test_lm_losses_by_hand(spark, odd, none):
     assert (got[3].n_tokens, got[3].difference, got[4].n_tokens) == (0, 0.0, 0)
     assert lm.score(odd, model).count() == len(odd_rows())
     assert lm.score(none, lm.fit(none, none)).count() == 0
+
+
+def test_lm_counts_do_not_share_slots(spark):
+    """More distinct words than a table of 2^18 slots holds: a pair that is in no target text gets no count of another."""
+    import math
+
+    n = 400_000
+    words = [f"w{k}" for k in range(n)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[::-1])), (3, "w7 w3 w9 w1")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lm.score(docs, lm.fit(docs, spark.createDataFrame([(1,)], "doc_id bigint"))).collect()}
+    even = 0.05 / (1 << 18)
+    assert got[3].target_loss == pytest.approx(-math.log(0.35 / n + even), rel=1e-9)
+    assert got[2].target_loss == pytest.approx(-math.log(0.35 / n + even), rel=1e-9)
+    seen = -((n - 1) * math.log(0.6 + 0.35 / n + even) + math.log(0.6 + 0.35 / n + even)) / n
+    assert got[1].target_loss == pytest.approx(seen, rel=1e-9)
+
+
+def test_lm_grams_travel_once_or_twice(spark, odd, none):
+    targets = spark.createDataFrame([(1,), (3,), (None,)], "doc_id bigint")
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b b"), (2, "a b a"), (None, "a c"), (4, None), (5, " ")], "doc_id bigint, text string")
+    for rows in (docs, odd, none):
+        two = lm.score(rows, lm.fit(rows, targets)).drop("text").collect()
+        one = lm.fit_and_score(rows, targets).drop("text").collect()
+        assert Counter(map(str, one)) == Counter(map(str, two))
