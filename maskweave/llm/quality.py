@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from maskweave.llm.toxicity import learning_rows
+from maskweave.llm.toxicity import learning_labels, learning_rows
 
 FEATURES = (
     "log_words", "mean_word", "distinct_share", "stutter_share", "top_share", "symbol_share", "upper_share",
@@ -36,7 +36,8 @@ _KINDS = {
 
 @dataclass(frozen=True)
 class TreeRules:
-    """rows: most labelled rows of a class that are learned from, chosen by a hash of the id."""
+    """rows: most labelled rows of a class that are learned from, chosen by a hash of the id. They are weighted by their
+    class's share of all labelled rows, so that scores do not depend on whether a class has more."""
 
     trees: int = 80
     depth: int = 4
@@ -102,10 +103,15 @@ class Trees:
         return 1 / (1 + np.exp(-(self.base + self.leaf[tree, at - inner].sum(axis=1))))
 
 
-def boost(rows: np.ndarray, target: np.ndarray, rules: TreeRules = TreeRules()) -> Trees:
-    """Gradient boosting of the logistic loss on binned features. Without both classes: no trees, their share."""
+def boost(
+    rows: np.ndarray, target: np.ndarray, rules: TreeRules = TreeRules(), weight: np.ndarray | None = None
+) -> Trees:
+    """Gradient boosting of the logistic loss on binned features. Without both classes: no trees, their share.
+
+    ``weight``: of each row, 1 on average."""
     target = np.asarray(target, np.float64)
-    share = (target.sum() + 0.5) / (len(target) + 1) if len(target) else 0.5
+    weight = np.ones(len(target)) if weight is None else weight
+    share = ((weight * target).sum() + 0.5) / (weight.sum() + 1) if len(target) else 0.5
     base = float(np.log(share / (1 - share)))
     inner, leaves = (1 << rules.depth) - 1, 1 << rules.depth
     if len({*target.tolist()}) < 2:
@@ -118,7 +124,7 @@ def boost(rows: np.ndarray, target: np.ndarray, rules: TreeRules = TreeRules())
     score = np.full(len(rows), base)
     for t in range(rules.trees):
         p = 1 / (1 + np.exp(-score))
-        gradient, hessian = target - p, p * (1 - p)
+        gradient, hessian = weight * (target - p), weight * p * (1 - p)
         at = np.zeros(len(rows), np.int64)
         for level in range(rules.depth):
             first, nodes = (1 << level) - 1, 1 << level
@@ -154,7 +160,9 @@ def _features(texts: pd.Series) -> pd.Series:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: TreeRules = TreeRules()) -> Trees:
-    """Learn from a bounded sample of labelled rows; only their features come to the driver."""
+    """Learn from a bounded sample of labelled rows; only their features come to the driver.
+
+    Both classes are counted in the whole learning fold, and a row weighs what its class's sample stands for."""
     rows = (
         learning_rows(docs, labels, "quality", rules.rows)
         .select("doc_id", "label", _features("text").alias("features"))
@@ -162,7 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, rules: TreeRules = TreeRules()) -> T
         .toPandas()
     )
     features = np.array(rows["features"].tolist(), np.float64).reshape(-1, len(FEATURES))
-    return boost(features, rows["label"].to_numpy(), rules)
+    target = rows["label"].to_numpy()
+    counts = {r.label: r["count"] for r in learning_labels(labels, "quality").groupBy("label").count().collect()}
+    weight = np.array([counts[k] / min(counts[k], rules.rows) for k in target.tolist()], np.float64)
+    return boost(features, target, rules, weight / weight.mean() if len(weight) else weight)
 
 
 def score(docs: DataFrame, model: Trees, out: str = "score") -> DataFrame:

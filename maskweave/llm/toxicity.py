@@ -352,12 +352,17 @@ def _cut(logits: np.ndarray, truth: np.ndarray) -> float:
     return float(low + 0.75 * (high - low))
 
 
+def learning_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``(doc_id, label)``: the labels outside the held-out fold, one of each id."""
+    return labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("label"))
+
+
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, characters: int | None = None) -> DataFrame:
     """``(text, label)``: labelled texts outside the held-out fold, at most ``rows`` of a class, by a hash of the id.
 
     The chosen ids are a bounded set, so they meet the texts in a broadcast join.
     """
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    known = learning_labels(labels, label)
     picked = None
     for k in (0, 1):
         some = known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

@@ -384,3 +384,12 @@ def test_lm_grams_travel_once_or_twice(spark, odd, none):
         two = lm.score(rows, lm.fit(rows, targets)).drop("text").collect()
         one = lm.fit_and_score(rows, targets).drop("text").collect()
         assert Counter(map(str, one)) == Counter(map(str, two))
+
+
+def test_quality_keeps_class_shares_over_the_cap(spark):
+    """Equal texts, three of four labelled 1: the score is their share, whether or not the cap takes as many of each class."""
+    docs = spark.range(1000).selectExpr("id AS doc_id", "'the same few words' AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 4 > 0 AS int) AS quality")
+    for rows in (8000, 100):
+        model = quality.fit(docs, labels, quality.TreeRules(rows=rows))
+        assert quality.score(docs.limit(1), model).first().score == pytest.approx(0.75, abs=0.03)
