@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm import bpe, forest, jaccard, lexical, lm, mixing, negatives, pages, quality, quality_rules, token_counts, toxicity
+from maskweave.llm import bpe, forest, jaccard, lexical, lm, mixing, negatives, pages, quality, quality_rules, token_counts, toxicity, warc
 from maskweave.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,19 @@ FROM s WHERE score > 0 QUALIFY rank <= 10
 def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     index = lexical.build(table(spark, folder, "documents"))
     return lexical.search(index, table(spark, folder, "benchmark"))
+
+
+#: The same roles without the archives.
+_WARC = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM f
+"""
+
+
+@query("op12_warc", _WARC)
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages_of = table(spark, folder, "pages")
+    return warc.payloads(warc.read(warc.write(pages_of)), pages_of.schema["page_id"].dataType.simpleString())
