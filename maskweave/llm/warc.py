@@ -44,10 +44,6 @@ class WarcRules:
     date: str = "2024-01-01T00:00:00Z"
 
 
-def _record_id(run: str, row: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{run}/{row}')}>"
-
-
 def _record(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", str(len(block)))] if v is not None)
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -58,14 +54,16 @@ def _gzipped(record: bytes, level: int) -> bytes:
     return z.compress(record) + z.flush()
 
 
-def roles(numbered: DataFrame, rules: WarcRules) -> DataFrame:
-    """Rows that revisit another, (row, first_row, first_id, first_url): of the rows of a payload, all but the one with the
-    smallest id. Null ids come last, a repeated id goes by row."""
-    thin = numbered.where(F.col("n") >= rules.least).select("row", "id", "url", "n", "digest")
-    key = F.struct(F.col("id").isNull().alias("none"), "id", "row", "url")
+def roles(records: DataFrame, rules: WarcRules) -> DataFrame:
+    """Records that revisit another, (record_id, first_record, first_url): of the rows of a payload, all but the
+    one with the smallest id. Null ids come last, a repeated id goes by the record's own id."""
+    thin = records.where(F.col("n") >= rules.least).select("record_id", "id", "url", "n", "digest")
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "record_id", "url")
     firsts = thin.groupBy("digest", "n").agg(F.min(key).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    same = thin.select("row", "digest", "n").join(firsts, ["digest", "n"]).where("row != first.row")
-    return same.select("row", F.col("first.row").alias("first_row"), F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
+    same = thin.select("record_id", "digest", "n").join(firsts, ["digest", "n"]).where("record_id != first.record_id")
+    return same.select(
+        "record_id", F.col("first.record_id").alias("first_record"), F.col("first.url").alias("first_url")
+    )
 
 
 def write(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", rules: WarcRules = WarcRules()) -> DataFrame:
@@ -75,24 +73,32 @@ def write(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "
     bytes, that with the smallest id is a response, and the others revisit it; all smaller ones are responses. A repeated
     row is a record each time. An id goes into the field ``Page-ID``, percent-encoded, and no field for null; a null URL
     has no field. An empty table has no archive. Only files that are in the list count: a task that was lost leaves
-    others behind. Other columns are not read.
+    others behind. Other columns are not read. A payload is compressed where it is read, and travels so.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     source = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), payload.alias("payload"))
-    numbered = written(
-        source.select(
-            F.monotonically_increasing_id().alias("row"), "*", F.octet_length("payload").cast("long").alias("n"),
-            F.sha2("payload", 256).alias("digest"),
-        ),
-        "warc-rows",
-    )
-    run = uuid.uuid4().hex
-    folder = f"{shared_folder(spark)}/warc-{run}"
-    records = numbered.join(roles(numbered, rules), "row", "left").select(
-        "row", F.col("id").cast("string").alias("id"), "url", "digest", "payload", "first_row",
-        F.col("first_id").cast("string").alias("first_id"), "first_url",
+    kind = source.schema["id"].dataType.simpleString()
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+
+    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch, made = whole.slice(at, 64), []
+                for row in _rows(batch):
+                    data = row["payload"]
+                    row |= {"record_id": f"<urn:uuid:{uuid.uuid4()}>", "n": len(data), "digest": hashlib.sha256(data).hexdigest()}
+                    made.append((row["n"], row["digest"], row["record_id"], _gzipped(_page_record(row, data, rules), rules.level)))
+                n, digest, record, member = zip(*made, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), batch.column("url"), pa.array(n, pa.int64()), pa.array(digest), pa.array(record), pa.array(member, pa.binary())],
+                    names=["id", "url", "n", "digest", "record_id", "member"],
+                )
+
+    made = written(
+        source.mapInArrow(responses, f"id {kind}, url string, n bigint, digest string, record_id string, member binary"), "warc-members"
     )
+    records = made.join(roles(made, rules), "record_id", "left").withColumn("id", F.col("id").cast("string"))
 
     def archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = FileSystem.from_uri(folder)
@@ -111,7 +117,8 @@ def write(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                     info = [("WARC-Type", "warcinfo"), ("WARC-Date", rules.date), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("Content-Type", "application/warc-fields")]
                     size += out.write(_gzipped(_record(info, b"format: WARC File Format 1.1\r\n"), rules.level))
-                size += out.write(_gzipped(_page_record(run, row, rules), rules.level))
+                again = row["first_record"] is not None
+                size += out.write(_gzipped(_page_record(row, b"", rules), rules.level) if again else row["member"])
                 count += 1
                 if size >= rules.file:
                     yield done()
@@ -132,26 +139,26 @@ def _uri(url: str | None) -> str | None:
     return None if url is None else quote(url, safe=_URI)
 
 
-def _page_record(run: str, row: dict, rules: WarcRules) -> bytes:
-    again = row["first_row"] is not None
+def _page_record(row: dict, body: bytes, rules: WarcRules) -> bytes:
+    """The record of a page, a revisit if ``row`` names a first record."""
+    again = row.get("first_record")
     fields = [
         ("WARC-Type", "revisit" if again else "response"),
         ("WARC-Date", rules.date),
-        ("WARC-Record-ID", _record_id(run, row["row"])),
+        ("WARC-Record-ID", row["record_id"]),
         ("WARC-Target-URI", _uri(row["url"])),
         ("WARC-Payload-Digest", f"sha256:{row['digest']}"),
-        ("Page-ID", None if row["id"] is None else quote(row["id"], safe="")),
+        ("Page-ID", None if row["id"] is None else quote(str(row["id"]), safe="")),
         ("Content-Type", "application/http;msgtype=response"),
     ]
     if again:
         fields += [
             ("WARC-Profile", REVISIT),
-            ("WARC-Refers-To", _record_id(run, row["first_row"])),
+            ("WARC-Refers-To", again),
             ("WARC-Refers-To-Target-URI", _uri(row["first_url"])),
             ("WARC-Refers-To-Date", rules.date),
         ]
-    body = b"" if again else row["payload"]
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(row['payload'])}\r\n\r\n"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['n']}\r\n\r\n"
     return _record(fields, http.encode() + body)
 
 
