@@ -184,4 +184,5 @@ SELECT page_id, payload_bytes, payload_digest,
 @query("op12_warc", _WARC)
 def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages_of = table(spark, folder, "pages")
-    return warc.payloads(warc.read(warc.write(pages_of)), pages_of.schema["page_id"].dataType.simpleString())
+    records = warc.read(warc.write(pages_of), with_payload=False)
+    return warc.payloads(records, pages_of.schema["page_id"].dataType.simpleString())

@@ -245,7 +245,8 @@ def _first_record(file, at: int, end: int) -> int | None:
 
 _RECORD = (
     "path string, offset bigint, place int, next bigint, record_type string, record_id string, target_uri string, "
-    "refers_to string, page_id string, payload_digest string, payload binary, damaged boolean"
+    "refers_to string, page_id string, payload_digest string, payload_bytes bigint, payload_sha256 string, payload binary, "
+    "damaged boolean"
 )
 _NAMES = [x.split()[0] for x in _RECORD.split(", ")]
 
@@ -288,6 +289,8 @@ def _read(fields: dict[str, str], block: bytes) -> dict:
         "refers_to": fields.get("warc-refers-to"),
         "page_id": None if page is None else unquote(page),
         "payload_digest": fields.get("warc-payload-digest"),
+        "payload_bytes": len(payload),
+        "payload_sha256": hashlib.sha256(payload).hexdigest(),
         "payload": payload,
     }
 
@@ -297,7 +300,7 @@ def _schema() -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in _RECORD.split(", "))])
 
 
-def _ranges_read(ranges: DataFrame, tasks: int) -> DataFrame:
+def _ranges_read(ranges: DataFrame, tasks: int, with_payload: bool) -> DataFrame:
     """Records of ``ranges (path, start, end)``."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,6 +311,8 @@ def _ranges_read(ranges: DataFrame, tasks: int) -> DataFrame:
                 some, size = [], 0
                 with store.open_input_file(path) as file:
                     for x in records_of(file, row["start"], row["end"]):
+                        if not with_payload:
+                            x.pop("payload", None)
                         some.append({n: x.get(n) for n in _NAMES} | {"path": row["path"]})
                         size += len(x.get("payload") or b"")
                         if size > 1 << 22 or len(some) >= 256:
@@ -319,24 +324,25 @@ def _ranges_read(ranges: DataFrame, tasks: int) -> DataFrame:
     return ranges.repartition(tasks, "path", "start").mapInArrow(scanned, _RECORD)
 
 
-def read(files: DataFrame, rules: WarcRules = WarcRules()) -> DataFrame:
+def read(files: DataFrame, rules: WarcRules = WarcRules(), with_payload: bool = True) -> DataFrame:
     """All records of the archives ``files (path, bytes)``, each once, written to the shared folder.
 
     ``path, offset, place``: where it is, ``place`` being its number in a member that holds several; ``payload``: the
-    block, without the HTTP header where it has one; ``damaged``: a member that can't be read. No files give no rows.
+    block, without the HTTP header where it has one, null unless ``with_payload``; ``payload_bytes, payload_sha256``: of what
+    was read; ``payload_digest``: what the header states; ``damaged``: a member that can't be read. No files give no rows.
     """
     spans = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(rules.span).cast("long"))
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(spans).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + rules.span, F.col("bytes")).alias("end"))
     tasks = min(max(1, ranges.count()), 20_000)
-    found = written(_ranges_read(ranges, tasks), "warc-records")
+    found = written(_ranges_read(ranges, tasks, with_payload), "warc-records")
     ends = found.where("next is not null").select("path", F.col("next").alias("offset"))
     lost = found.where("offset > 0").select("path", "offset").join(ends, ["path", "offset"], "left_anti").select("path").distinct()
     again = written(files.join(lost, "path", "left_semi").select("path", F.lit(0).cast("long").alias("start"), F.col("bytes").alias("end")), "warc-again")
     n = again.count()
     if not n:
         return found
-    return found.join(again.select("path"), "path", "left_anti").unionByName(written(_ranges_read(again, min(n, 20_000)), "warc-records"))
+    return found.join(again.select("path"), "path", "left_anti").unionByName(written(_ranges_read(again, min(n, 20_000), with_payload), "warc-records"))
 
 
 def payloads(records: DataFrame, id_type: str = "bigint") -> DataFrame:
@@ -348,14 +354,14 @@ def payloads(records: DataFrame, id_type: str = "bigint") -> DataFrame:
     """
 
     wanted = F.col("record_type").isin("response", "revisit") | F.col("damaged")
-    digest = F.sha2("payload", 256)
+    digest = F.col("payload_sha256")
     said = F.lower(F.substring_index("payload_digest", ":", -1))
     broken = F.col("damaged") | ((F.col("record_type") == "response") & (said != digest))
     own = records.where(wanted).select(
         F.col("page_id").cast(id_type).alias("page_id"), "record_type", "record_id", "refers_to",
         F.when(broken, F.raise_error(F.concat(F.lit("a record can't be read: "), "path", F.lit(" "), F.col("offset").cast("string"))).cast("string"))
         .otherwise(digest).alias("digest"),
-        F.octet_length("payload").cast("long").alias("bytes"),
+        F.col("payload_bytes").alias("bytes"),
     )
     responses = own.where("NOT record_type <=> 'revisit'")
     first = responses.select(
