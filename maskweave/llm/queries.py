@@ -108,7 +108,7 @@ BPE_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     ranks = bpe.read_ranks(docs.sparkSession, BPE_PATH)
-    return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return bpe.encode_digests(docs, ranks, public_tokenizers.PATTERN)
 
 
 @query("op9_byte_bpe")

@@ -209,6 +209,8 @@ def test_bpe_equals_library(spark, odd, documents, none):
             digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
             want.append((r.doc_id, len(ids), digest, hashlib.sha256((r.text or "").encode()).hexdigest()))
         assert sorted(map(str, (tuple(r) for r in bpe_digests(docs).collect()))) == sorted(map(str, want))
+        lists = bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+        assert sorted(map(str, (tuple(r) for r in lists.collect()))) == sorted(map(str, want))
     encoded = bpe.encode(odd, ranks, public_tokenizers.PATTERN)
     back = sorted(bytes(r.decoded) for r in bpe.decode(encoded, ranks).collect())
     assert back == sorted((t or "").encode() for _, t, *_ in odd_rows())
