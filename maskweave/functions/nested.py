@@ -35,27 +35,55 @@ def has_text(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StringType, T.BinaryType))
 
 
+def leaves(value: Column, dtype: T.DataType) -> Column:
+    """All texts inside a value that are not null, in an array: those that :func:`map_strings` hands to its function."""
+    if depth(dtype) > MAX_DEPTH:
+        return F.array().cast("array<string>")
+    return F.filter(_leaves(value, dtype), lambda s: s.isNotNull())
+
+
+def _leaves(value: Column, dtype: T.DataType) -> Column:
+    none = F.array().cast("array<string>")
+    if not has_text(dtype):
+        return none
+    if isinstance(dtype, T.StringType):
+        return F.array(value)
+    if isinstance(dtype, T.BinaryType):
+        return F.array(F.decode(value, "UTF-8"))
+    if isinstance(dtype, T.ArrayType):
+        return F.coalesce(F.flatten(F.transform(value, lambda v: _leaves(v, dtype.elementType))), none)
+    if isinstance(dtype, T.MapType):
+        sides = [_leaves(F.map_keys(value), T.ArrayType(dtype.keyType)), _leaves(F.map_values(value), T.ArrayType(dtype.valueType))]
+        return F.coalesce(F.concat(*sides), none)
+    return F.concat(*(_leaves(value[f.name], f.dataType) for f in dtype.fields))
+
+
 def map_strings(value: Column, dtype: T.DataType, fn: Callable[[Column], Column]) -> Column:
     """``value`` with ``fn`` applied to each string leaf; bytes are read as UTF-8 text.
 
     The expression follows the schema, so it stays native. A value nested deeper than 64 levels is
-    masked whole. No map entry is lost: where several text keys of a map come out alike, those after
-    the first are numbered by their place.
+    masked whole. No map entry is lost: where several keys of a map come out alike, the texts of those after
+    the first become markers with a number that no key of the map has.
     """
     if depth(dtype) > MAX_DEPTH:
         return F.when(value.isNotNull(), F.lit(REDACTED))
     return _rewrite(value, dtype, fn)
 
 
-def _told_apart(keys: Column) -> Column:
-    """Texts with each repeat of an earlier one as a marker with its place, which no other place has."""
-    return F.transform(
-        keys,
-        lambda k, i: F.when(F.array_position(keys, k) == i + 1, k).otherwise(
-            F.concat(F.lit("⟨redacted:"), (i + 1).cast("string"), F.lit("⟩"))
-        ),
+def _told_apart(keys: Column, dtype: T.DataType) -> Column:
+    """Keys with each repeat of an earlier one told apart by a numbered marker. Numbers go by the place, on from the
+    highest that stands in a marker among the keys."""
+    numbers = F.transform(
+        leaves(keys, T.ArrayType(dtype)), lambda s: F.coalesce(F.regexp_extract(s, "^⟨redacted:([0-9]{1,9})⟩$", 1).try_cast("long"), F.lit(0))
     )
 
+    def numbered(k: Column, i: Column) -> Column:
+        number = F.coalesce(F.array_max(numbers), F.lit(0)) + i + 1
+        marker = F.concat(F.lit("⟨redacted:"), number.cast("string"), F.lit("⟩"))
+        return F.when(F.array_position(keys, k) == i + 1, k).otherwise(_rewrite(k, dtype, lambda _: marker))
+
+    return F.transform(keys, numbered)
+
 
 def _rewrite(value: Column, dtype: T.DataType, fn: Callable[[Column], Column]) -> Column:
     if not has_text(dtype):
@@ -72,8 +100,7 @@ def _rewrite(value: Column, dtype: T.DataType, fn: Callable[[Column], Column]) -
             out = F.transform_values(out, lambda _, v: _rewrite(v, dtype.valueType, fn))
         if has_text(dtype.keyType):
             keys = F.transform(F.map_keys(out), lambda k: _rewrite(k, dtype.keyType, fn))
-            if isinstance(dtype.keyType, T.StringType):
-                keys = once(keys, _told_apart)
+            keys = once(keys, lambda k: _told_apart(k, dtype.keyType))
             out = F.map_from_arrays(keys, F.map_values(out))
         return out
     fields = [_rewrite(value[f.name], f.dataType, fn).alias(f.name) for f in dtype.fields]

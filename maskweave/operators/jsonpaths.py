@@ -181,6 +181,99 @@ def mask_paths(
     return F.array_join(F.transform(pieces, shown), "")
 
 
+def examined_leaves(value: Column, paths: dict[str, tuple[str, str]], detection: str = "scan", floor: str = ALLOW) -> Column:
+    """Texts of a JSON document that :func:`mask_paths` has examined, in an array; none for what it masks whole."""
+    resolved, reach = _resolved(paths, floor), detection_reach(detection)
+
+    @F.pandas_udf("array<string>")
+    def gather(texts: pd.Series) -> pd.Series:
+        def one(text):
+            found: list[str] = []
+
+            def scan(policy: str, leaf: str) -> str:
+                if leaf and examines(policy, True, reach):
+                    found.append(leaf)
+                return _quote("")
+
+            shown = REDACTED if text is None else mask_document(text, resolved, lambda *_: "", scan)
+            return [] if shown == REDACTED else found
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return gather(value)
+
+
+def _walk_strings(node, fn) -> str:
+    if isinstance(node, Members):
+        return "{" + ",".join(f"{_quote(fn(name))}:{_walk_strings(child, fn)}" for name, child in node) + "}"
+    if isinstance(node, list):
+        return "[" + ",".join(_walk_strings(v, fn) for v in node) + "]"
+    return _quote(fn(node)) if isinstance(node, str) and not isinstance(node, Raw) else _raw(node)
+
+
+def _document(text: str):
+    """A text as a JSON object or array; None if it is none."""
+    try:
+        node = _parse(text)
+    except (ValueError, RecursionError):
+        return None
+    return node if isinstance(node, list) else None
+
+
+def document_strings(value: Column) -> Column:
+    """All strings of a JSON document, member names included; a text that is no object or array is one string."""
+
+    @F.pandas_udf("array<string>")
+    def gather(texts: pd.Series) -> pd.Series:
+        def one(text):
+            if text is None:
+                return []
+            found: list[str] = []
+            node = _document(text)
+            if node is None:
+                return [text]
+            _walk_strings(node, lambda s: found.append(s) or s)
+            return found
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return gather(value)
+
+
+def put_strings(value: Column, old: Column, new: Column) -> Column:
+    """A JSON document with each string that is in ``old`` replaced by its partner in ``new``. Numbers, their spelling and
+    the order of members stay; a document without any of them stays as it is written. Members that come out alike are
+    numbered, so none is lost."""
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series, olds: pd.Series, news: pd.Series) -> pd.Series:
+        def one(text, old, new):
+            if text is None or old is None or not len(old):
+                return text
+            partner = dict(zip(old, new))
+            node = _document(text)
+            return partner.get(text, text) if node is None else _walk_strings(_apart(node, partner), lambda s: partner.get(s, s))
+
+        return pd.Series([one(*row) for row in zip(texts, olds, news)], dtype=object)
+
+    return put(value, old, new)
+
+
+def _apart(node, partner: dict[str, str]):
+    """A document whose member names stay apart when they are replaced."""
+    if isinstance(node, Members):
+        taken, out = {name for name, _ in node if name not in partner}, Members()
+        for name, child in node:
+            shown, n = partner.get(name, name), 1
+            while name in partner and (shown in taken):
+                n += 1
+                shown = f"⟨redacted:{n}⟩"
+            taken.add(shown)
+            out.append((shown, _apart(child, partner)))
+        return out
+    return [_apart(v, partner) for v in node] if isinstance(node, list) else node
+
+
 def mask_known_members(value: Column, members: dict[str, Callable[[Column], Column]], hidden: str = REDACTED) -> Column:
     """Flat object with exactly the given members, rebuilt natively with each one's rule applied.
 

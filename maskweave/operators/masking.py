@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 from maskweave.functions import detect as D
 from maskweave.functions import policy as P
 from maskweave.functions import tokens as K
-from maskweave.functions.nested import has_text, map_strings
+from maskweave.functions.nested import has_text, leaves, map_strings
 from maskweave.functions.types import family, text_like
-from maskweave.operators.jsonpaths import mask_paths
+from maskweave.operators.jsonpaths import examined_leaves, mask_paths
 
 # Attribute names whose value is never written to a log.
 SENSITIVE_KEYS = (
@@ -137,16 +137,21 @@ TRANSFORMS_SCHEMA = "position int, name string, policy string, namespace string,
 def transforms(df: DataFrame, settings: Masking, collisions: DataFrame | None = None) -> DataFrame:
     """What happened to each output column: policy, namespace, basis, spans masked, collisions.
 
-    One pass over the data counts the spans of all scanned columns. Columns that share a name become
+    One pass over the data counts the spans of all scanned columns, of every text inside arrays, maps, rows and JSON
+    documents with paths. Columns that share a name become
     one row with the strictest policy and the summed counts. ``collisions`` has (name, collisions).
     """
     rows, counters = [], []
     for i, f in enumerate(df.schema.fields):
         p = resolve(settings, f.name, f.dataType, f.metadata)
         rows.append((i, f.name, p.policy, p.namespace if p.policy == P.TOKEN else "", p.basis))
-        plain_text = isinstance(f.dataType, T.StringType) and not p.paths
-        if plain_text and D.examines(p.policy, True, settings.detection):
-            counters.append((i, _span_counts(F.col(f"`{f.name}`"), settings)))
+        value = F.col(f"`{f.name}`")
+        if p.paths:
+            floor = P.REDACT if settings.floor in (P.TOKEN, P.REDACT) else settings.floor
+            counters.append((i, _leaf_counts(examined_leaves(value, p.paths, settings.detection, floor), settings)))
+        elif has_text(f.dataType) and D.examines(p.policy, text_like(family(f.dataType, elements=True)), settings.detection):
+            plain = isinstance(f.dataType, T.StringType)
+            counters.append((i, _span_counts(value, settings) if plain else _leaf_counts(leaves(value, f.dataType), settings)))
     spark = df.sparkSession
     meta = spark.createDataFrame(rows, TRANSFORMS_SCHEMA)
     if counters:
@@ -196,6 +201,17 @@ def _span_counts(text: Column, settings: Masking) -> Column:
     return D.once(found, count)
 
 
+def _leaf_counts(texts: Column, settings: Masking) -> Column:
+    """:func:`_span_counts` of all texts of an array."""
+    start = F.struct(F.lit(0).cast("long").alias("spans"), F.lit(False).alias("failed"))
+
+    def add(acc: Column, one: Column) -> Column:
+        failed = acc["failed"] | F.coalesce(one["failed"], F.lit(False))
+        return F.struct((acc["spans"] + F.coalesce(one["spans"], F.lit(0))).alias("spans"), failed.alias("failed"))
+
+    return F.aggregate(F.transform(texts, lambda s: _span_counts(s, settings)), start, add)
+
+
 def merge_transforms(meta: DataFrame) -> DataFrame:
     strength = F.struct(P.rank(F.col("policy")), -F.col("position"))
     best = F.max_by(F.struct("policy", "namespace", "basis"), strength)

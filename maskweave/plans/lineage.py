@@ -19,7 +19,23 @@ from maskweave.functions import policy as P
 from maskweave.functions.text import unique_names
 from maskweave.operators.masking import UNKNOWN, ColumnPolicy, Masking, mask
 
-Source = tuple[str, str]
+
+@dataclass(frozen=True, order=True)
+class Relation:
+    """A relation by all parts of its name: catalog, schema and table, or the folders and the name of its files."""
+
+    parts: tuple[str, ...]
+    mark: str = "."
+
+    @property
+    def name(self) -> str:
+        return self.parts[-1]
+
+    def last(self, n: int) -> str:
+        return self.mark.join(self.parts[-n:])
+
+
+Source = tuple[Relation, str]
 
 # Operators that hand their children's columns on unchanged.
 PASSES = frozenset(
@@ -55,10 +71,20 @@ class Lineage:
     outputs: list[tuple[str, Flow]] = field(default_factory=list)
     statement: set[Source] = field(default_factory=set)
     filters: list[Source] = field(default_factory=list)
-    relations: list[str] = field(default_factory=list)
+    identities: list[Relation] = field(default_factory=list)
     opaque: bool = False
     uncertain: bool = False
 
+    @property
+    def relations(self) -> list[str]:
+        return [self.label(r) for r in self.identities]
+
+    def label(self, relation: Relation) -> str:
+        """The shortest end of a relation's name that no other relation of the statement has."""
+        others = [r.parts for r in self.identities if r != relation]
+        n = next((n for n in range(1, len(relation.parts)) if all(o[-n:] != relation.parts[-n:] for o in others)), len(relation.parts))
+        return relation.last(n)
+
 
 def _items(seq) -> Iterator:
     for i in range(seq.length()):
@@ -117,9 +143,9 @@ class _Reader:
             if s not in self.out.filters:
                 self.out.filters.append(s)
 
-    def relation(self, name: str) -> None:
-        if name not in self.out.relations:
-            self.out.relations.append(name)
+    def relation(self, found: Relation) -> None:
+        if found not in self.out.identities:
+            self.out.identities.append(found)
 
     def walk(self, node) -> None:
         name = _class(node)
@@ -130,7 +156,7 @@ class _Reader:
         for child in _items(node.children()):
             self.walk(child)
         if name in TABLES:
-            table = self.table_name(node)
+            table = self.table_identity(node)
             self.relation(table)
             return self.assign(node, [Flow(frozenset({s}), s) for s in ((table, a.name()) for a in _items(node.output()))])
         if name in NO_DATA:
@@ -210,41 +236,59 @@ class _Reader:
     def view(self, node) -> None:
         """A view is its own relation: direct columns are the view's, computed ones see what is below.
         Names the caller lists as tables are tables, however they were registered."""
-        name = node.desc().identifier().table()
-        own = [(name, a.name()) for a in _items(node.output())]
-        if name in self.tables:
-            self.relation(name)
+        table = _table(node.desc().identifier())
+        own = [(table, a.name()) for a in _items(node.output())]
+        if table.name in self.tables:
+            self.relation(table)
             return self.assign(node, [Flow(frozenset({s}), s) for s in own])
         for child in _items(node.children()):
             self.walk(child)
         self.assign(node, [Flow(f.sources, s, f.opaque) for s, f in zip(own, self.outputs(node))])
         return None
 
-    def table_name(self, node) -> str:
-        """A relation's name: from its catalog, or the last part of its path. One that has neither goes by its class,
-        which no catalog entry has, so its columns are redacted. A Java object claims every attribute: go by class."""
+    def table_identity(self, node) -> Relation:
+        """A relation's whole name: from its catalog, or its path. One that has neither goes by its class, which no
+        catalog entry has, so its columns are redacted. A Java object claims every attribute: go by class."""
         kind = _class(node)
         try:
             if kind == "HiveTableRelation":
-                return node.tableMeta().identifier().table()
+                return _table(node.tableMeta().identifier())
             if kind in ("DataSourceV2Relation", "StreamingRelationV2"):
-                known = node.identifier()
+                known, catalog = node.identifier(), node.catalog()
+                if known.isDefined():
+                    above = [catalog.get().name()] if catalog.isDefined() else []
+                    return Relation((*above, *known.get().namespace(), known.get().name()))
                 # A table without a catalog is called by its format and its paths.
-                return known.get().name() if known.isDefined() else _file_name(node.table().name())
+                return _files(node.table().name().partition(" ")[2].split(","))
             if kind == "StreamingRelation":
                 source = node.dataSource()
                 known = source.catalogTable()
-                return known.get().identifier().table() if known.isDefined() else _file_name(source.options().get("path").get())
+                return _table(known.get().identifier()) if known.isDefined() else _files([source.options().get("path").get()])
             if node.catalogTable().isDefined():
-                return node.catalogTable().get().identifier().table()
-            return _file_name(node.relation().location().rootPaths().apply(0).getName())
+                return _table(node.catalogTable().get().identifier())
+            return _files([p.toString() for p in _items(node.relation().location().rootPaths())])
         except Exception:  # noqa: BLE001 - other sources have no path
-            return kind
+            return Relation((kind,))
+
+
+def _table(identifier) -> Relation:
+    above = [x.get() for x in (identifier.catalog(), identifier.database()) if x.isDefined()]
+    return Relation((*above, identifier.table()))
 
 
-def _file_name(path: str) -> str:
-    """The last part of a path or of a list of paths, without its endings."""
-    return path.rstrip("/").rpartition("/")[2].split(".")[0]
+def _path(path: str) -> tuple[str, ...]:
+    """The parts of a path, the last without its endings."""
+    *folders, last = [x for x in path.split("/") if x]
+    return (*folders, last.split(".")[0] or last)
+
+
+def _files(paths: list[str]) -> Relation:
+    """The files of one path, or the folder that holds those of all."""
+    first, *more = map(_path, paths)
+    n = len(first)
+    for other in more:
+        n = min(n, next((i for i, (a, b) in enumerate(zip(first, other)) if a != b), min(len(first), len(other))))
+    return Relation(first[:n], "/")
 
 
 def lineage(df: DataFrame, tables: frozenset[str] = frozenset()) -> Lineage:
@@ -259,7 +303,39 @@ def lineage(df: DataFrame, tables: frozenset[str] = frozenset()) -> Lineage:
     return reader.out
 
 
-Catalog = dict[Source, ColumnPolicy]
+#: Entries by relation and column. A relation is named by the end of its whole name: ``orders``, ``sales.orders``,
+#: ``spark_catalog.sales.orders``, or for files ``orders``, ``sales/orders``, ``/data/sales/orders.parquet``.
+Catalog = dict[tuple[str, str], ColumnPolicy]
+
+
+class Entries:
+    """The entries of a catalog that apply to the relations of a statement.
+
+    Of all names that a relation's whole name ends with, the longest counts. One name that is the longest for two
+    relations doesn't say which it means, so neither has an entry and both are redacted.
+    """
+
+    def __init__(self, catalog: Catalog, relations: list[Relation]):
+        self.catalog = catalog
+        keys = {k: _path(k) if "/" in k else tuple(k.split(".")) for k in {r for r, _ in catalog}}
+        whole = {parts: k for k, parts in keys.items()} | {(k,): k for k in keys}
+        self.key: dict[Relation, str] = {}
+        for r in relations:
+            ends = [r.parts[-n:] for n in range(len(r.parts), 0, -1)]
+            if found := next((whole[e] for e in ends if e in whole), None):
+                self.key[r] = found
+        named = list(self.key.values())
+        self.key = {r: k for r, k in self.key.items() if named.count(k) == 1}
+
+    def get(self, source: Source, default: ColumnPolicy | None = None) -> ColumnPolicy | None:
+        relation, column = source
+        return self.catalog.get((self.key.get(relation), column), default)
+
+
+def _all_relations(found: Lineage) -> list[Relation]:
+    """Relations that a statement reads, and views that its columns belong to."""
+    views = {f.identity[0] for _, f in found.outputs if f.identity is not None}
+    return [*found.identities, *sorted(views - set(found.identities))]
 
 
 def _trusted(entry: ColumnPolicy) -> str:
@@ -267,8 +343,8 @@ def _trusted(entry: ColumnPolicy) -> str:
     return P.REDACT if entry.policy == P.ALLOW and entry.paths else entry.policy
 
 
-def _inherited(sources: set[Source], catalog: Catalog) -> str:
-    ranks = [P.POLICIES.index(_trusted(catalog.get(s, UNKNOWN))) for s in sources]
+def _inherited(sources: set[Source], entries: Entries) -> str:
+    ranks = [P.POLICIES.index(_trusted(entries.get(s, UNKNOWN))) for s in sources]
     strictest = P.POLICIES[max(ranks, default=0)]
     return P.REDACT if strictest in (P.TOKEN, P.REDACT) else strictest
 
@@ -282,24 +358,24 @@ def output_policies(
     flow: with ``statement`` grain those of the whole query, with ``column`` grain those that reach it.
     What cannot be followed is redacted.
     """
-    known = {relation for relation, _ in catalog}
-    strange = any(r not in known for r in found.relations)
+    entries = Entries(catalog, _all_relations(found))
+    strange = any(r not in entries.key for r in found.identities)
     out = []
     for _, f in found.outputs:
         if f.identity is not None:
-            out.append(catalog.get(f.identity, UNKNOWN))
+            out.append(entries.get(f.identity, UNKNOWN))
         elif grain == "statement" and (found.opaque or found.uncertain):
             out.append(ColumnPolicy(P.REDACT, basis="inherited"))
         elif f.opaque or found.uncertain:
             out.append(ColumnPolicy(P.REDACT, basis="inherited"))
-        elif not found.relations:
+        elif not found.identities:
             raised = P.REDACT if parameter_policy in (P.TOKEN, P.REDACT) else parameter_policy
             out.append(ColumnPolicy(raised, basis="parameter" if parameter_policy != P.ALLOW else "inherited"))
         elif strange and grain == "statement":
             out.append(ColumnPolicy(P.REDACT, basis="inherited"))
         else:
             flowing = set(f.sources) | found.statement if grain == "statement" else set(f.sources)
-            out.append(ColumnPolicy(_inherited(flowing, catalog), basis="inherited"))
+            out.append(ColumnPolicy(_inherited(flowing, entries), basis="inherited"))
     return out
 
 
@@ -318,6 +394,7 @@ def masked(
 
 
 FLOW_SCHEMA = "position int, output string, relation string, column string, direct boolean, opaque boolean"
+IDENTITY_SCHEMA = "position int, output string, schema string, relation string, column string, direct boolean, opaque boolean"
 
 
 def flow_rows(spark: SparkSession, found: Lineage) -> DataFrame:
@@ -325,27 +402,39 @@ def flow_rows(spark: SparkSession, found: Lineage) -> DataFrame:
     rows = []
     for i, (name, f) in enumerate(found.outputs, start=1):
         for relation, column in sorted(f.sources) or [(None, None)]:
-            rows.append((i, name, relation, column, f.identity == (relation, column), f.opaque))
+            rows.append((i, name, relation and found.label(relation), column, f.identity == (relation, column), f.opaque))
     return spark.createDataFrame(rows, FLOW_SCHEMA)
 
 
+def identity_rows(spark: SparkSession, found: Lineage) -> DataFrame:
+    """:func:`flow_rows` with the whole name of each relation: ``schema`` is all above its last part."""
+    rows = []
+    for i, (name, f) in enumerate(found.outputs, start=1):
+        for relation, column in sorted(f.sources) or [(None, None)]:
+            above = relation and relation.mark.join(relation.parts[:-1])
+            rows.append((i, name, above, relation and relation.name, column, f.identity == (relation, column), f.opaque))
+    return spark.createDataFrame(rows, IDENTITY_SCHEMA)
+
+
 def inherit(flows: DataFrame, policies: DataFrame, by: list[str]) -> DataFrame:
     """Relational form of the rule, for lineage kept as a table: the strictest policy of each group's
-    source columns, as a computed column inherits it. An unknown column counts as redact."""
-    joined = flows.join(policies.select("relation", "column", "policy"), ["relation", "column"], "left")
+    source columns, as a computed column inherits it. An unknown column counts as redact. Where both tables have a
+    ``schema``, it is part of a column's identity."""
+    keys = [k for k in ("schema", "relation", "column") if k != "schema" or (k in flows.columns and k in policies.columns)]
+    joined = flows.join(policies.select(*keys, "policy"), keys, "left")
     entry = F.coalesce("policy", F.lit(P.REDACT))
     return joined.groupBy(*by).agg(P.inherited(P.strictest_of_group(entry)).alias("policy"))
 
 
 def flagged_filters(found: Lineage, catalog: Catalog) -> list[tuple[str, str, str, str]]:
     """Filter columns a reviewer should notice: (relation, column, flag, policy)."""
-    out = []
+    out, entries = [], Entries(catalog, [*found.identities, *{r for r, _ in found.filters if r not in found.identities}])
     for source in found.filters:
-        entry = catalog.get(source)
+        entry, named = entries.get(source), (found.label(source[0]), source[1])
         if entry is None:
-            out.append((*source, "unclassified", ""))
+            out.append((*named, "unclassified", ""))
         elif entry.policy != P.ALLOW:
-            out.append((*source, "sensitive", entry.policy))
+            out.append((*named, "sensitive", entry.policy))
     return out
 
 

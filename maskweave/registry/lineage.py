@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from maskweave.operators.masking import ColumnPolicy, Masking
@@ -9,6 +11,7 @@ from maskweave.plans import lineage as G
 from maskweave.registry.base import (
     CUSTOMER_CATALOG, ESTATE, TABLES, derived, key, query, sql_token, table, views, with_tables,
 )
+from maskweave.session import shared_folder
 from maskweave.sources import queries as Q
 
 _R = "'⟨redacted⟩'"
@@ -198,3 +201,27 @@ def inherit_strictest(spark, folder):
     flows = table(spark, folder, "lineitem").join(e, F.col("l_partkey") == F.col("position")).select("l_orderkey", "relation", "column")
     policies = e.select("relation", "column", policy.alias("policy"))
     return G.inherit(flows, policies, ["l_orderkey"])
+
+
+@query("mask_same_names", f"""
+SELECT c_custkey AS id, {_R} AS hidden, s_name AS shown, {_R} AS mixed, upper(s_name) AS computed, {sql_token('person', "'p' || c_custkey")} AS token
+FROM customer JOIN supplier ON c_custkey = s_suppkey
+""")
+def mask_same_names(spark, folder):
+    """Two relations called people, in two folders: each goes by its own policies."""
+    place = f"{shared_folder(spark)}/same-names-{uuid.uuid4().hex}"
+    tables = {"hr": ("customer", "c_custkey", "c_name"), "pub": ("supplier", "s_suppkey", "s_name")}
+    for at, (name, number, label) in tables.items():
+        rows = table(spark, folder, name).select(F.col(number).alias("id"), F.col(label).alias("name"), F.concat(F.lit("p"), number).alias("code"))
+        rows.write.parquet(f"{place}/{at}/people.parquet")
+    hr, pub = (spark.read.parquet(f"{place}/{at}/people.parquet") for at in tables)
+    both = hr.join(pub, hr["id"] == pub["id"]).select(
+        hr["id"], hr["name"].alias("hidden"), pub["name"].alias("shown"), F.concat(hr["name"], pub["name"]).alias("mixed"),
+        F.upper(pub["name"]).alias("computed"), hr["code"].alias("token"),
+    )
+    allow, redact = ColumnPolicy("allow"), ColumnPolicy("redact")
+    catalog = {
+        ("hr/people", "id"): allow, ("hr/people", "name"): redact, ("hr/people", "code"): ColumnPolicy("token", "person"),
+        ("pub/people", "id"): allow, ("pub/people", "name"): allow, ("pub/people", "code"): redact,
+    }
+    return G.masked(both, catalog, Masking({}, key=key(spark)), grain="column")

@@ -13,6 +13,7 @@ from maskweave.operators import bounds as B
 from maskweave.operators import changes as C
 from maskweave.operators import jsonpaths as J
 from maskweave.operators import masking as M
+from maskweave.operators import results as RS
 from maskweave.registry.base import ESTATE, FACTS, derived, key, query, rows, sql_token, table, with_tables
 from maskweave.sources.schema import json_safe
 
@@ -141,6 +142,61 @@ def transforms_report(spark, folder):
     return M.transforms(*_report(spark, folder))
 
 
+def _nested_report_sql() -> str:
+    from maskweave.registry.detection import found_sql
+
+    return f"""
+    WITH n AS (SELECT count(*) AS n FROM ({found_sql('documents', 'doc_id')}))
+    SELECT name, 'scan' AS policy, basis, CAST(n * times AS BIGINT) AS spans FROM n,
+      (VALUES ('a', 'rules', 2), ('m', 'rules', 1), ('s', 'rules', 1), ('j', 'rules', 1), ('t', 'rules', 1)) v(name, basis, times)
+    """
+
+
+@query("transforms_nested", _nested_report_sql())
+def transforms_nested(spark, folder):
+    """Spans inside arrays, maps, rows and JSON documents count as those of plain texts do."""
+    t = F.col("text")
+    docs = rows(spark, folder, "documents", "text").select(
+        F.array(t, t).alias("a"), F.create_map(F.lit("k"), t).alias("m"), F.struct(t.alias("x"), F.length(t).alias("y")).alias("s"),
+        F.to_json(F.struct(t.alias("p"), t.alias("q"))).alias("j"), t.alias("t"),
+    )
+    json = M.ColumnPolicy("scan", paths={"$.p": ("scan", ""), "$.q": ("redact", "")})
+    report = M.transforms(docs, M.Masking({c: SCAN for c in "amst"} | {"j": json}))
+    return report.select("name", "policy", "basis", "spans")
+
+
+_TOK, _NEXT = sql_token("person", "c_name"), sql_token("person", "next")
+
+
+@query("apply_result", f"""
+WITH r AS (SELECT o_orderkey, c_name, 'Customer#' || lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0') AS next, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
+b AS (SELECT DISTINCT c_name AS known FROM r),
+t AS (SELECT r.*, {_TOK} AS tok, CASE WHEN known IS NULL THEN next ELSE {_NEXT} END AS shown FROM r LEFT JOIN b ON known = next)
+SELECT o_orderkey, tok AS c_name, 'for ' || tok || ' by ' || shown AS note, tok AS tag0, o_orderpriority AS tag1, shown AS map_key, tok || '!' AS map_value,
+  shown AS inner_text, o_orderkey AS inner_number, '{{"n":' || o_orderkey || '.50,"who":["' || tok || '",null],"' || shown || '":true}}' AS doc FROM t
+""")
+def apply_result(spark, folder):
+    """A name that is a token in one column is caught in every text of all others, of other rows too."""
+    both = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    name, number = F.col("c_name"), F.col("o_orderkey").cast("string")
+    neighbour = F.concat(F.lit("Customer#"), F.lpad((F.col("c_custkey") + 1).cast("string"), 9, "0"))
+    result = both.select(
+        "o_orderkey", "c_name", F.concat(F.lit("for "), F.upper(name), F.lit(" by "), neighbour).alias("note"),
+        F.array(name, F.col("o_orderpriority")).alias("tags"), F.create_map(neighbour, F.concat(name, F.lit("!"))).alias("m"),
+        F.struct(F.lower(neighbour).alias("t"), F.col("o_orderkey").alias("n")).alias("s"),
+        F.concat(F.lit('{"n": '), number, F.lit('.50, "who": ["'), name, F.lit('", null], "'), neighbour, F.lit('": true}')).alias("doc"),
+    )
+    policies = {c: ALLOW for c in result.columns} | {"c_name": M.ColumnPolicy("token", "person")}
+    # A neighbour without orders is no value of the result, so its name, in its own spelling, stays.
+    out = RS.apply_result(result, M.Masking(policies, key=key(spark)), json=frozenset({"doc"}))
+    inner = F.col("s.t")
+    return out.select(
+        "o_orderkey", "c_name", "note", F.col("tags")[0].alias("tag0"), F.col("tags")[1].alias("tag1"), F.map_keys("m")[0].alias("map_key"),
+        F.map_values("m")[0].alias("map_value"),
+        F.when(inner.startswith("customer#"), F.initcap(inner)).otherwise(inner).alias("inner_text"), F.col("s.n").alias("inner_number"), "doc",
+    )
+
+
 @query("transforms_merged", """
 SELECT l_returnflag AS name, CASE WHEN max(k) = 3 THEN 'redact' WHEN max(k) = 2 THEN 'token' WHEN max(k) = 1 THEN 'scan' ELSE 'allow' END AS policy, CAST(sum(l_linenumber) AS BIGINT) AS spans
 FROM (SELECT *, CASE WHEN l_quantity > 40 THEN 3 WHEN l_quantity > 20 THEN 1 ELSE 0 END AS k FROM lineitem) GROUP BY l_returnflag
