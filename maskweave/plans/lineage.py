@@ -296,7 +296,11 @@ def lineage(df: DataFrame, tables: frozenset[str] = frozenset()) -> Lineage:
 
     ``tables`` are temporary views that stand for base tables, such as files registered under a name.
     """
-    plan = df._jdf.queryExecution().analyzed()
+    return lineage_of(df._jdf.queryExecution().analyzed(), tables)
+
+
+def lineage_of(plan, tables: frozenset[str] = frozenset()) -> Lineage:
+    """:func:`lineage` of an analysed plan."""
     reader = _Reader(tables)
     reader.walk(plan)
     reader.out.outputs = [(a.name(), reader.flow(a)) for a in _items(plan.output())]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from maskweave.operators.masking import ColumnPolicy, Masking
 from maskweave.plans import lineage as G
+from maskweave.plans.writes import facts_rows
 from maskweave.registry.base import (
     CUSTOMER_CATALOG, ESTATE, TABLES, derived, key, query, sql_token, table, views, with_tables,
 )
@@ -225,3 +226,35 @@ def mask_same_names(spark, folder):
         ("pub/people", "id"): allow, ("pub/people", "name"): allow, ("pub/people", "code"): redact,
     }
     return G.masked(both, catalog, Masking({}, key=key(spark)), grain="column")
+
+
+# What each kind of event in the log has run.
+_LOGGED = {
+    "view": "SELECT c_name, sum(o_totalprice) AS total FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 0 GROUP BY c_name",
+    "click": "INSERT INTO copies SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "purchase": "MERGE INTO orders t USING customer s ON t.o_custkey = s.c_custkey AND s.c_acctbal > 0 WHEN MATCHED THEN DELETE",
+    "signup": "WITH n AS (SELECT n_name FROM nation) FROM n INSERT INTO one SELECT n_name INSERT INTO two SELECT upper(n_name)",
+    "error": "CREATE TABLE kept USING parquet AS SELECT p_name, p_size FROM part WHERE p_name LIKE 'red%'",
+}
+
+
+@query("statement_facts", """
+SELECT event_id, f.* EXCLUDE (kind) FROM events JOIN (VALUES
+  ('view', 'SELECT', '', 'customer,orders', 'c_name:token,total:redact', 'customer.c_acctbal', '1 column(s) redacted; 1 column(s) tokenized', 'read'),
+  ('click', 'INSERT', 'spark_catalog.default.copies', 'customer', 'c_custkey:allow,c_name:token,c_acctbal:redact', '', '1 column(s) redacted; 1 column(s) tokenized', 'write'),
+  ('purchase', 'MERGE', 'spark_catalog.default.orders', 'orders,customer', '', 'customer.c_acctbal', '', 'destructive'),
+  ('signup', 'INSERT', 'spark_catalog.default.one,spark_catalog.default.two', 'nation', 'n_name:allow,upper(n_name):allow', '', '', 'write'),
+  ('error', 'INSERT', 'spark_catalog.default.kept', 'part', 'p_name:redact,p_size:allow', 'part.p_name', '1 column(s) redacted', 'write')
+) f(kind, statement_type, targets, relations, outputs, filters, egress, risk) ON event_type = kind
+""")
+def statement_facts(spark, folder):
+    """Each logged event with the facts of its statement; a statement is analysed once, and never run."""
+    for sql in _LOGGED.values():
+        views(spark, folder, sql)
+    f = facts_rows(spark, _LOGGED, CUSTOMER_CATALOG, _TABLES)
+    flat = f.select(
+        F.col("id").alias("event_type"), "statement_type", F.array_join("targets", ",").alias("targets"), F.array_join("relations", ",").alias("relations"),
+        F.array_join(F.transform("outputs", lambda o: F.concat(o["name"], F.lit(":"), o["policy"])), ",").alias("outputs"),
+        F.array_join(F.transform("filters", lambda x: F.concat(x["relation"], F.lit("."), x["column"])), ",").alias("filters"), "egress", "risk",
+    )
+    return table(spark, folder, "events").select("event_id", "event_type").join(F.broadcast(flat), "event_type").drop("event_type")
