@@ -10,13 +10,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskweave.functions.tokens import OPEN, REDACTED, SPACE_CHARS, trim_space
-from maskweave.session import fits_broadcast
+from maskweave.session import cut_lineage, fits_broadcast
 
 try:
     import ahocorasick
@@ -24,9 +26,11 @@ except ImportError:  # looking up each length at each place gives the same answe
     ahocorasick = None
 
 MIN_MATCH_BYTES = 4
-GATE_BUCKETS = 1 << 18
-HEAD = 4
-CHUNK = 512
+#: Lengths of grams: an entry goes by the longest that fits.
+GRAMS = (8, 4, 3, 2, 1)
+#: Classes that grams are counted by, as a power of two, and characters of a text that are read at once.
+CLASS_BITS = 18
+BLOCK = 1 << 20
 _BRACKETED = re.compile("⟨[^⟨⟩]*⟩")
 _MARKER = re.compile("^⟨redacted:([a-z][a-z_]*)⟩$")
 BRACKETED = "⟨[^⟨⟩]*⟩"
@@ -178,53 +182,140 @@ def replace_known(df: DataFrame, columns: list[str], entries: DataFrame, counts:
     return out.select(*picked)
 
 
-def _gate(head: Column, *more: Column) -> Column:
-    return F.pmod(F.xxhash64(head, *more), F.lit(GATE_BUCKETS))
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def _grams(points: np.ndarray, q: int) -> np.ndarray:
+    """A number of 64 bits for the ``q`` characters from each place of a text on."""
+    n = len(points) - q + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h = np.full(n, q, np.uint64)
+    for j in range(q):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + points[j : j + n]
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _entry_grams(long: DataFrame) -> DataFrame:
+    """Every place of every entry as (pattern, token, n, q, off, gram); q is the longest of :data:`GRAMS` that fits."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                found = []
+                for text in some.column("pattern").to_pylist():
+                    q = next(g for g in GRAMS if g <= len(text))
+                    found.append((len(text), q, _grams(_points(text), q)))
+                sizes = [len(g) for *_, g in found]
+                rows = some.take(pa.array(np.repeat(np.arange(len(found)), sizes)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *rows.columns, pa.array(np.repeat([n for n, *_ in found], sizes).astype(np.int32)),
+                        pa.array(np.repeat([q for _, q, _ in found], sizes).astype(np.int32)),
+                        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])),
+                        pa.array(np.concatenate([g for *_, g in found]).view(np.int64)),
+                    ],
+                    names=["pattern", "token", "n", "q", "off", "gram"],
+                )
+
+    return long.select("pattern", "token").mapInArrow(cut, "pattern string, token string, n int, q int, off int, gram bigint")
+
+
+def _class_of(gram: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(gram, 64 - bits)
+
+
+def _bitmap(numbers: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Which of 2^bits numbers occur: at most 2^bits / 8 bytes, put together from pieces of 4 KB."""
+    number = F.col(column).cast("long")
+    pieces = numbers.groupBy(F.bitmap_bucket_number(number + 1).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number + 1)).alias("bits")
+    )
+    out = np.zeros(max(1, (1 << bits) // 32768) * 4096, np.uint8)
+    for r in pieces.collect():
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def _set(bitmap: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    return (bitmap[numbers >> 3] >> (numbers & 7).astype(np.uint8)) & 1 == 1
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray]]:
+    """Texts in pieces: the batch, the row, the place where the piece starts, its characters. Pieces overlap by a gram."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            text = fold(batch.column("text")[k].as_py())
+            for at in range(0, len(text), BLOCK):
+                yield batch, k, at, _points(text[at : at + BLOCK + GRAMS[0] - 1])
+
 
+def _frequencies(texts: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """How often each class of the entries' grams is in the texts, (class, times)."""
+    bitmap = _bitmap(grams.select(_class_of(F.col("gram"), CLASS_BITS).alias("class")), "class", CLASS_BITS)
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
-def window_hits(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """All places where an entry occurs: (id, start, end, token), from (id, text).
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, waiting, size = np.zeros(1 << CLASS_BITS, np.int64), [], 0
+        for *_, at, points in _blocks(batches):
+            for q in sizes:
+                found = (_grams(points, q)[:BLOCK] >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+                waiting.append(found[_set(shared.value, found)])
+                size += len(waiting[-1])
+            if size > 1 << 20 or len(waiting) > 10_000:
+                total += np.bincount(np.concatenate(waiting), minlength=len(total))
+                waiting, size = [], 0
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=len(total))
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["class", "times"])
 
-    A window is a substring with the length of some entry, so a joined pair is a true hit and nothing
-    is emitted per pair of candidates. Two gates of at most 2^18 numbers each, small enough to
-    broadcast whatever the dictionary, drop nearly all places before the shuffle: the first knows how
-    entries begin, the second how they begin and how long they are. Long texts are read in chunks that
-    overlap by the longest entry, since a substring far into a text is slow to reach.
+    return texts.select("text").mapInArrow(counted, "class bigint, times bigint").groupBy("class").agg(F.sum("times").alias("times"))
+
+
+def window_hits(texts: DataFrame, entries: DataFrame, repeated: bool = False) -> DataFrame:
+    """All places where an entry occurs: (id, start, end, token), from (id, text) with distinct ids, or with ids that
+    stand for the same text wherever they are ``repeated``.
+
+    The same plan for ten entries and for millions. Each entry is found by that gram of its own that is rarest in the
+    texts. A text gives a row for each place whose gram is in a gate, a bitmap of the entries' grams that is sized by
+    their number and never over 16 MB; these rows meet the entries in an equi-join on the gram, and what is left is
+    compared with the text itself. The dictionary is gathered nowhere, and only texts with such a place are shuffled.
     """
-    size = F.length("pattern")
-    long = entries.where(~F.col("short")).select("pattern", "token", size.alias("n"), F.least(size, F.lit(HEAD)).alias("k"))
-    # At most as many numbers as the longest value has characters.
-    lengths = long.agg(F.sort_array(F.collect_set("n"))).scalar()
-    head_sizes = long.agg(F.sort_array(F.collect_set("k"))).scalar()
-    longest = long.agg(F.max("n")).scalar()
-    head = F.substr("pattern", F.lit(1), F.col("k"))
-    begins = long.select(_gate(head).alias("gate")).distinct()
-    begins_sized = long.select(_gate(head, F.col("n")).alias("gate")).distinct()
-
-    folded = texts.select("id", fold_column(F.col("text")).alias("folded")).where(F.length("folded") > 0)
-    bases = F.sequence(F.lit(0), F.length("folded") - 1, F.lit(CHUNK))
-    chunks = folded.select("id", "folded", F.explode(bases).alias("base")).select(
-        "id", "base", F.substr("folded", F.col("base") + 1, F.lit(CHUNK - 1) + longest).alias("chunk")
-    )
-    room = F.length("chunk")
-    places = (
-        chunks.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(CHUNK), room))).alias("at"))
-        .select("*", F.explode(head_sizes).alias("k"))
-        .where(F.col("at") + F.col("k") - 1 <= room)
-        .withColumn("head", F.substr("chunk", F.col("at"), F.col("k")))
-    )
-    first = places.withColumn("gate", _gate(F.col("head"))).join(F.broadcast(begins), "gate", "left_semi")
-    sized = (
-        first.select("id", "base", "chunk", "at", "k", "head", F.explode(lengths).alias("n"))
-        .where((F.least(F.col("n"), F.lit(HEAD)) == F.col("k")) & (F.col("at") + F.col("n") - 1 <= room))
-        .withColumn("gate", _gate(F.col("head"), F.col("n")))
-        .join(F.broadcast(begins_sized), "gate", "left_semi")
-    )
-    start = F.col("base") + F.col("at") - 1
-    windows = sized.select(
-        "id", start.alias("start"), (start + F.col("n")).alias("end"), F.substr("chunk", F.col("at"), F.col("n")).alias("pattern")
-    )
-    return windows.join(long.select("pattern", "token"), "pattern").select("id", "start", "end", "token")
+    long = entries.where(~F.col("short"))
+    texts = texts.select("id", "text").where(F.length("text") > 0)
+    grams = cut_lineage(_entry_grams(long))
+    sizes = sorted(r.q for r in grams.select("q").distinct().collect())  # at most as many as GRAMS
+    n = long.count()
+    times = _frequencies(texts, grams, sizes).withColumnRenamed("class", "c")
+    ranked = grams.join(times, _class_of(F.col("gram"), CLASS_BITS) == F.col("c"), "left")
+    rarest = F.min(F.struct(F.coalesce("times", F.lit(0)), "off", "gram")).alias("k")
+    keys = cut_lineage(ranked.groupBy("pattern", "token", "n").agg(rarest).select("pattern", "token", "n", "k.off", "k.gram"))
+    bits = min(27, max(16, n.bit_length() + 5))
+    gate = _bitmap(keys.select(_class_of(F.col("gram"), bits).alias("class")), "class", bits)
+    shared = texts.sparkSession.sparkContext.broadcast(gate)
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def gated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, k, at, points in _blocks(batches):
+            for q in sizes:
+                found = _grams(points, q)[:BLOCK]
+                hit = np.flatnonzero(_set(shared.value, (found >> np.uint64(64 - bits)).astype(np.int64)))
+                if len(hit):
+                    row = batch.column("id").take(pa.array(np.full(len(hit), k)))
+                    yield pa.RecordBatch.from_arrays([row, pa.array(found[hit].view(np.int64)), pa.array(hit + at)], names=["id", "gram", "at"])
+
+    places = texts.mapInArrow(gated, f"id {kind}, gram bigint, at bigint").join(keys, "gram")
+    start = (F.col("at") - F.col("off")).cast("int")
+    places = places.select("id", start.alias("start"), "n", "pattern", "token").where("start >= 0")
+    places = cut_lineage(places.distinct() if repeated else places)
+    some = texts.join(places.select("id").distinct(), "id", "left_semi")
+    some = (some.dropDuplicates(["id"]) if repeated else some).select("id", fold_column(F.col("text")).alias("folded"))
+    same = F.substr("folded", F.col("start") + 1, F.col("n")) == F.col("pattern")
+    return places.join(some, "id").where(same).select("id", "start", (F.col("start") + F.col("n")).alias("end"), "token")
 
 
 def resolve_overlaps(hits: DataFrame, id_column: str = "id") -> DataFrame:
@@ -272,20 +363,23 @@ def _replace_by_join(df: DataFrame, columns: list[str], entries: DataFrame, coun
 
 
 def _replace_column_by_join(df: DataFrame, column: str, entries: DataFrame, counts: bool) -> DataFrame:
-    """Distinct texts are searched once, under their digest, and the answers joined back.
+    """Texts go by their digest, and the answers are joined back; a text that is repeated has one answer.
 
     Texts with nothing to replace have no answer row. The join back is skewed when one text is
     repeated a great deal; the answer side has one row per text, so it can be split freely.
     """
     keyed = df.withColumn("_id", F.sha2(F.col(column), 256))
-    texts = keyed.where(F.col("_id").isNotNull()).select(F.col("_id").alias("id"), F.col(column).alias("text")).distinct()
-    protected = _bracket_spans(texts, entries)
+    texts = keyed.where(F.col("_id").isNotNull()).select(F.col("_id").alias("id"), F.col(column).alias("text"))
+    bracketed = texts.where(F.contains("text", F.lit(OPEN))).distinct()
+    protected = _bracket_spans(bracketed, entries)
     ranges = protected.groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
-    hits = window_hits(texts, entries).join(ranges, "id", "left")
+    hits = window_hits(texts, entries, repeated=True).join(ranges, "id", "left")
     clash = F.exists("ranges", lambda r: (F.col("start") < r["to"]) & (F.col("end") > r["from"]))
     spans = resolve_overlaps(hits.where(~F.coalesce(clash, F.lit(False))))
     short = entries.where("short").select("pattern", F.col("token").alias("whole"))
-    low = texts.join(ranges.select("id"), "id", "left_anti").select("id", F.lower("text").alias("low"))
+    # A value of less than four bytes has at most this many characters in lower case.
+    brief = texts.where(F.col("text").rlike(rf"(?Us)^\s*+(?:\S.{{0,{3 * MIN_MATCH_BYTES}}}?)?\s*+\z")).distinct()
+    low = brief.join(ranges.select("id"), "id", "left_anti").select("id", F.lower("text").alias("low"))
     cells = low.select("id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("low").alias("pattern")), F.struct(F.lit(1).alias("k"), trim_space(F.col("low")).alias("pattern")))).alias("c"))
     whole = cells.select("id", "c.k", "c.pattern").join(short, "pattern").groupBy("id").agg(F.min_by("whole", "k").alias("whole"))
     answers = spans.join(whole, "id", "full").withColumnRenamed("id", "_id")

@@ -318,11 +318,10 @@ def schema_drift(spark, folder):
 
 
 @query("masked_automatically", with_tables("""
-SELECT schema, bool_or(m.policy IS NULL OR (m.source = 'auto' AND m.policy <> 'allow')) AS auto_masked FROM (SELECT * FROM e WHERE p_size > 22 OR schema = 's0') e LEFT JOIN m USING (schema, relation, "column") GROUP BY schema
+SELECT schema, bool_or(m.policy IS NULL OR (m.source = 'auto' AND m.policy <> 'allow')) AS auto_masked FROM e LEFT JOIN m USING (schema, relation, "column") GROUP BY schema
 """, e=ESTATE, m=_MERGED_TABLE))
 def masked_automatically(spark, folder):
-    cols = derived(spark, folder, ESTATE).where("p_size > 22 or schema = 's0'")
-    return C.masked_automatically(cols, _merged(spark, folder), ["schema"])
+    return C.masked_automatically(derived(spark, folder, ESTATE), _merged(spark, folder), ["schema"])
 
 
 @query("system_defaults", with_tables("""
