@@ -73,30 +73,19 @@ def write(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "
     bytes, that with the smallest id is a response, and the others revisit it; all smaller ones are responses. A repeated
     row is a record each time. An id goes into the field ``Page-ID``, percent-encoded, and no field for null; a null URL
     has no field. An empty table has no archive. Only files that are in the list count: a task that was lost leaves
-    others behind. Other columns are not read. A payload is compressed where it is read, and travels so.
+    others behind. Other columns are not read.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     source = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), payload.alias("payload"))
-    kind = source.schema["id"].dataType.simpleString()
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
 
-    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch, made = whole.slice(at, 64), []
-                for row in _rows(batch):
-                    data = row["payload"]
-                    row |= {"record_id": f"<urn:uuid:{uuid.uuid4()}>", "n": len(data), "digest": hashlib.sha256(data).hexdigest()}
-                    made.append((row["n"], row["digest"], row["record_id"], _gzipped(_page_record(row, data, rules), rules.level)))
-                n, digest, record, member = zip(*made, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("url"), pa.array(n, pa.int64()), pa.array(digest), pa.array(record), pa.array(member, pa.binary())],
-                    names=["id", "url", "n", "digest", "record_id", "member"],
-                )
-
     made = written(
-        source.mapInArrow(responses, f"id {kind}, url string, n bigint, digest string, record_id string, member binary"), "warc-members"
+        source.select(
+            "id", "url", "payload", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("digest"),
+            F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")).alias("record_id"),
+        ),
+        "warc-rows",
     )
     records = made.join(roles(made, rules), "record_id", "left").withColumn("id", F.col("id").cast("string"))
 
@@ -117,8 +106,8 @@ def write(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                     info = [("WARC-Type", "warcinfo"), ("WARC-Date", rules.date), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("Content-Type", "application/warc-fields")]
                     size += out.write(_gzipped(_record(info, b"format: WARC File Format 1.1\r\n"), rules.level))
-                again = row["first_record"] is not None
-                size += out.write(_gzipped(_page_record(row, b"", rules), rules.level) if again else row["member"])
+                body = row["payload"] if row["first_record"] is None else b""
+                size += out.write(_gzipped(_page_record(row, body, rules), rules.level))
                 count += 1
                 if size >= rules.file:
                     yield done()
