@@ -22,6 +22,8 @@ TABLES = tuple(
 
 def query(name: str, oracle: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered already")
         QUERIES[name] = fn
         if oracle is not None:
             ORACLES[name] = oracle

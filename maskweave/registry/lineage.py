@@ -238,7 +238,7 @@ _LOGGED = {
 }
 
 
-@query("statement_facts", """
+@query("statement_write_facts", """
 SELECT event_id, f.* EXCLUDE (kind) FROM events JOIN (VALUES
   ('view', 'SELECT', '', 'customer,orders', 'c_name:token,total:redact', 'customer.c_acctbal', '1 column(s) redacted; 1 column(s) tokenized', 'read'),
   ('click', 'INSERT', 'spark_catalog.default.copies', 'customer', 'c_custkey:allow,c_name:token,c_acctbal:redact', '', '1 column(s) redacted; 1 column(s) tokenized', 'write'),
@@ -247,7 +247,7 @@ SELECT event_id, f.* EXCLUDE (kind) FROM events JOIN (VALUES
   ('error', 'INSERT', 'spark_catalog.default.kept', 'part', 'p_name:redact,p_size:allow', 'part.p_name', '1 column(s) redacted', 'write')
 ) f(kind, statement_type, targets, relations, outputs, filters, egress, risk) ON event_type = kind
 """)
-def statement_facts(spark, folder):
+def statement_write_facts(spark, folder):
     """Each logged event with the facts of its statement; a statement is analysed once, and never run."""
     for sql in _LOGGED.values():
         views(spark, folder, sql)
