@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maskweave.operators.masking import ColumnPolicy, Masking
 from maskweave.registry.base import LOG, key, query, sql_token, table
 from maskweave.streaming import streams as S
+from maskweave.streaming.latest import LatestLog
 
 
 def _folder(spark) -> str:
@@ -52,20 +53,12 @@ def _as_log(events):
 WITH l AS ({LOG}) SELECT id, seq, session_id FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1
 """)
 def stream_latest_record(spark, folder):
-    """Each micro-batch is merged into the table of latest records; versions are written side by side."""
+    """Each micro-batch adds a run of its latest records; the latest of all is chosen on reading."""
     at = _folder(spark)
-    versions: list[str] = []
-
-    def read():
-        return spark.read.parquet(versions[-1]) if versions else None
-
-    def write(df, number):
-        df.write.mode("overwrite").parquet(f"{at}/v{number}")
-        versions.append(f"{at}/v{number}")
-
+    latest = LatestLog(spark, f"{at}/log", ["id"], "seq")
     log = _as_log(_stream(spark, folder, "events"))
-    S.upsert_log(log, read, write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return read().select("id", "seq", "session_id")
+    S.upsert_log(log, latest).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return latest.read().select("id", "seq", "session_id")
 
 
 @query("stream_day_folders", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS records FROM events GROUP BY ALL")
@@ -84,13 +77,34 @@ def _binding_events(events):
     )
 
 
-@query("stream_bindings")
+# The binding of each token, event by event.
+_BINDINGS = """
+WITH RECURSIVE e AS (
+  SELECT concat('session-', user_id % 8) AS session, concat('t', event_id % 64) AS token, CASE event_type WHEN 'view' THEN 'resolve' ELSE 'bind' END AS kind,
+         concat('u', user_id % 3) AS value, epoch_us(ts) AS micros FROM events
+), o AS (SELECT *, row_number() OVER (PARTITION BY session, token ORDER BY micros, kind, value) AS n FROM e),
+s AS (
+  SELECT DISTINCT session, token, CAST(0 AS BIGINT) AS n, '' AS kind, '' AS status, CAST(NULL AS VARCHAR) AS held, CAST(0 AS BIGINT) AS expires FROM o
+  UNION ALL
+  SELECT o.session, o.token, o.n, o.kind,
+         CASE WHEN o.kind = 'resolve' THEN CASE WHEN s.expires > o.micros THEN 'ok' ELSE 'stale_token' END
+              WHEN s.expires > o.micros AND s.held <> o.value THEN 'collision' ELSE 'bound' END,
+         CASE WHEN s.expires > o.micros THEN s.held WHEN o.kind = 'bind' THEN o.value END,
+         CASE WHEN s.expires > o.micros AND (o.kind = 'resolve' OR s.held = o.value) THEN o.micros + 86400000000
+              WHEN s.expires > o.micros THEN s.expires WHEN o.kind = 'bind' THEN o.micros + 86400000000 ELSE 0 END
+  FROM s JOIN o ON o.session = s.session AND o.token = s.token AND o.n = s.n + 1
+)
+SELECT session, token, kind, status, CASE WHEN status = 'ok' THEN held END AS value, count(*) AS n FROM s WHERE n > 0 GROUP BY ALL
+"""
+
+
+@query("stream_bindings", _BINDINGS)
 def stream_bindings(spark, folder):
     at = _folder(spark)
-    out = S.bindings_stream(_binding_events(_stream(spark, folder, "events")), ttl_seconds=86_400, delay="40 days")
-    out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.schema(out.schema).parquet(f"{at}/out")
-    return got.groupBy("kind", "status").agg(F.count("*").alias("n"))
+    log = S.SessionLog(spark, f"{at}/log", ttl_seconds=86_400, delay_seconds=40 * 86_400)
+    events = _binding_events(_stream(spark, folder, "events"))
+    log.start(events).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return log.outcomes().groupBy("session", "token", "kind", "status", "value").agg(F.count("*").alias("n"))
 
 
 @query("stream_session_end", """
@@ -106,16 +120,6 @@ def stream_session_end(spark, folder):
         F.concat(F.lit("session-"), F.col("user_id") % 8).alias("session"), F.concat(F.lit("t"), F.col("event_id") % 64).alias("token"),
         F.lit("bind").alias("kind"), F.lit("user").alias("namespace"), F.col("event_type").alias("value"), F.col("ts").cast("timestamp").alias("at"), "event_type",
     ).withColumn("kind", closing).drop("event_type")
-    state: dict[str, str] = {}
-
-    def read_closed():
-        return spark.read.parquet(state["closed"]) if state else None
-
-    def write(outcomes, closed, number):
-        outcomes.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
-        closed.write.mode("overwrite").parquet(f"{at}/closed{number}")
-        state["closed"] = f"{at}/closed{number}"
-
-    S.session_log(events, read_closed, write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{at}/out")
-    return out.groupBy("session").agg(F.count(F.when(F.col("status") == "session_closed", 1)).alias("turned_away"))
+    log = S.SessionLog(spark, f"{at}/log")
+    log.start(events).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return log.outcomes().groupBy("session").agg(F.count(F.when(F.col("status") == "session_closed", 1)).alias("turned_away"))
