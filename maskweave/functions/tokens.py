@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import unicodedata
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 import pandas as pd
@@ -26,6 +28,28 @@ TOKEN_PATTERN = "^⟨([^:]*[^0-9:])([0-9]+):([0-9a-fA-F]+)⟩$"
 KEY_SCHEMA = "conn string, session string, version int, current boolean, ipad binary, opad binary"
 
 
+_short_tags: ContextVar[bool] = ContextVar("short_tags", default=False)
+
+
+@contextmanager
+def short_tags():
+    """Tags of fewer than ``TAG_HEX`` digits are allowed inside: for tests of collisions, never for data."""
+    before = _short_tags.set(True)
+    try:
+        yield
+    finally:
+        _short_tags.reset(before)
+
+
+def tag_length(hex_len: int) -> int:
+    """``hex_len`` if a tag may have it. Short tags make unlike values share tokens, so they are refused."""
+    if not 1 <= hex_len <= 64:
+        raise ValueError(f"a tag has 1 to 64 hex digits, not {hex_len}")
+    if hex_len < TAG_HEX and not _short_tags.get():
+        raise ValueError(f"a tag of {hex_len} hex digits is for tests only")
+    return hex_len
+
+
 def session_key(connection_key: bytes, session: str) -> bytes:
     """Key of one session. The same value gets another token in another session."""
     return hmac.new(connection_key, SESSION_LABEL + session.encode(), hashlib.sha256).digest()
@@ -83,7 +107,7 @@ def joined_key() -> Key:
 def hmac_tag(key: Key, message: Column, hex_len: int = TAG_HEX) -> Column:
     """First hex digits of HMAC-SHA256 over the message's UTF-8 bytes."""
     inner = F.unhex(F.sha2(F.concat(key.ipad, message.cast("binary")), 256))
-    return F.substring(F.sha2(F.concat(key.opad, inner), 256), 1, hex_len)
+    return F.substring(F.sha2(F.concat(key.opad, inner), 256), 1, tag_length(hex_len))
 
 
 @F.pandas_udf(T.StringType())

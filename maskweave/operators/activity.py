@@ -38,11 +38,11 @@ def page_limit(limit: int) -> int:
 
 
 def page(log: DataFrame, offset: int = 0, limit: int = 0, **filters) -> DataFrame:
-    """One page, newest first, with the total on each row. Filters apply before the latest record of an
-    id is chosen."""
+    """One page, newest first, with the total and the page's size on each row: the size is below the one asked for where that was
+    over ``MAX_PAGE``. Filters apply before the latest record of an id is chosen."""
     rows = latest(filtered(log, **filters))
     total = rows.agg(F.count("*")).scalar()
-    return rows.orderBy(F.desc("at"), F.desc("seq")).offset(max(offset, 0)).limit(page_limit(limit)).withColumn("total", total)
+    return rows.orderBy(F.desc("at"), F.desc("seq")).offset(max(offset, 0)).limit(page_limit(limit)).withColumns({"total": total, "page_size": F.lit(page_limit(limit))})
 
 
 def record(log: DataFrame, record_id: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from maskweave.functions.detect import detection_reach, examines, redact_found, redact_spans, redact_text, spans
 from maskweave.functions.policy import ALLOW, POLICIES, REDACT, SCAN, TOKEN
-from maskweave.functions.tokens import CLOSE, OPEN, REDACTED, SPACE_CHARS, TAG_HEX, Key
+from maskweave.functions.tokens import CLOSE, OPEN, REDACTED, SPACE_CHARS, TAG_HEX, Key, tag_length
 
 MAX_DEPTH = 64
 #: Where an examined leaf goes into a document; a written document holds no control character.
@@ -129,7 +129,7 @@ def mask_paths(
     the pieces of the document, which needs a key that is not a subquery. Without a detector, or where it gives no
     answer, they are masked whole.
     """
-    resolved = _resolved(paths, floor)
+    resolved, hex_len = _resolved(paths, floor), tag_length(hex_len)
     reach = detection_reach(detection)
     unseen = detector is None or reach == "off"
     # The built-in patterns, and a recogniser written in Python, are called where the leaves are.

@@ -199,10 +199,10 @@ def activity_latest(spark, folder):
 
 
 @query("activity_page", with_tables(f"""
-SELECT id, seq, total FROM (SELECT *, count(*) OVER () AS total FROM ({_LATEST.replace('FROM l', "FROM (SELECT * FROM l WHERE decision = 'refused')")})) ORDER BY "at" DESC, seq DESC LIMIT 500 OFFSET 20
+SELECT id, seq, total, 500 AS page_size FROM (SELECT *, count(*) OVER () AS total FROM ({_LATEST.replace('FROM l', "FROM (SELECT * FROM l WHERE decision = 'refused')")})) ORDER BY "at" DESC, seq DESC LIMIT 500 OFFSET 20
 """, l=LOG))
 def activity_page(spark, folder):
-    return A.page(_log(spark, folder), offset=20, limit=900, decision="refused").select("id", "seq", "total")
+    return A.page(_log(spark, folder), offset=20, limit=900, decision="refused").select("id", "seq", "total", "page_size")
 
 
 @query("activity_record", with_tables(f"SELECT id, seq, statement FROM ({_LATEST}) WHERE id = 'r42'", l=LOG))

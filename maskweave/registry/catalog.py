@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from maskweave.functions import names as N
@@ -12,8 +14,10 @@ from maskweave.operators import propose as O
 from maskweave.registry.base import (
     COMMITTED, ESTATE, HOSTS, OVERLAY, PROFILES, STATS, TABLES, WANTED, derived, query, table, with_tables,
 )
+from maskweave.session import shared_folder
 from maskweave.sources import policies as SP
 from maskweave.sources import schema as SS
+from maskweave.sources import statistics as ST
 
 KEYS = list(SS.KEY)
 TEXT_COLUMNS = {
@@ -80,7 +84,7 @@ def source_columns(spark, folder):
 UNION ALL (SELECT 'n_chars', CAST(n_chars AS VARCHAR) FROM documents WHERE n_chars IS NOT NULL ORDER BY doc_id DESC LIMIT 10000)
 """)
 def source_sample(spark, folder):
-    out = SS.sample_columns(table(spark, folder, "documents"), ["lang", "n_chars"], 20_000, order=[F.desc("doc_id")])
+    out = SS.sample_columns(table(spark, folder, "documents"), ["lang", "n_chars"], 10_000, order=[F.desc("doc_id")])
     return out.select("column", "value")
 
 
@@ -89,6 +93,69 @@ def text_shapes(spark, folder):
     return SS.text_stats(_all(spark, folder), exact=True)
 
 
+@query("text_shapes_sketched", f"""
+SELECT relation, "column", "distinct" BETWEEN 1 AND 100 AND floor(avg_width) BETWEEN 1 AND 32 AS categorical, CASE WHEN "distinct" <= 100 THEN "distinct" END AS few, round(avg_width, 6) AS avg_width
+FROM ({_SHAPES})
+""")
+def text_shapes_sketched(spark, folder):
+    """Statistics from sketches, counted exactly near the bound of the categorical test."""
+    stats = ST.settled(_all(spark, folder), C.MAX_CATEGORIES)
+    few = F.col("distinct") <= C.MAX_CATEGORIES
+    return stats.select(
+        "relation", "column", C.categorical(F.col("distinct"), F.col("avg_width")).alias("categorical"),
+        F.when(few, F.col("distinct")).alias("few"), F.round("avg_width", 6).alias("avg_width"),
+    )
+
+
+# Events by day, orders by the first day of their month.
+_DAYS = {"events": ("ts", "day", ["event_type"]), "orders": ("o_orderdate", "month", ["o_orderstatus", "o_orderpriority"])}
+
+
+@query("text_sketch_days", "\nUNION ALL ".join(
+    f"""SELECT '{t}' AS relation, '{c}' AS "column", CAST(CAST(date_trunc('{unit}', {day}) AS DATE) AS VARCHAR) AS day, CAST(count(DISTINCT {c}) AS DOUBLE) AS "distinct", round(avg(strlen({c})), 6) AS avg_width
+FROM {t} GROUP BY GROUPING SETS ((CAST(date_trunc('{unit}', {day}) AS DATE)), ())""" for t, (day, unit, cols) in _DAYS.items() for c in cols))
+def text_sketch_days(spark, folder):
+    """Sketches stored by day, some of the days twice, then merged to days and to whole columns."""
+    at = f"{shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    found = []
+    for t, (day, unit, cols) in _DAYS.items():
+        df = table(spark, folder, t)
+        found.append(ST.sketches(df, t, F.date_trunc(unit, F.col(day)), columns=cols))
+    everything = found[0].unionByName(found[1])
+    ST.stored(everything, at)
+    ST.stored(everything.where((F.dayofmonth("day") > 20) | (F.month("day") > 10)), at)
+    kept = spark.read.schema(everything.schema).parquet(at)
+    days = ST.merged(kept, "day").withColumn("day", F.col("day").cast("string"))
+    out = days.unionByName(ST.merged(kept).withColumn("day", F.lit(None).cast("string")))
+    return out.select("relation", "column", "day", "distinct", F.round("avg_width", 6).alias("avg_width"))
+
+
+_LISTED = ("customer", "orders", "events")
+
+
+@query("session_columns", f"""
+WITH c AS (SELECT * FROM (SELECT table_name AS relation, 'r' AS kind, column_name AS "column", CAST(ordinal_position AS INT) AS position, data_type FROM information_schema.columns WHERE table_name IN {_LISTED}
+  UNION ALL SELECT 'wealthy', 'v', column_name, CASE column_name WHEN 'c_custkey' THEN 1 ELSE 2 END, data_type FROM information_schema.columns WHERE table_name = 'customer' AND column_name IN ('c_custkey', 'c_name')))
+SELECT relation, kind, "column", position, CASE WHEN data_type LIKE '%[]' THEN 'unknown' WHEN data_type = 'VARCHAR' THEN 'text' WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'numeric' END AS family,
+       CASE relation WHEN 'customer' THEN (SELECT count(*) FROM customer) WHEN 'orders' THEN (SELECT count(*) FROM orders) WHEN 'events' THEN (SELECT count(*) FROM events) ELSE (SELECT count(*) FROM customer WHERE c_acctbal > 0) END AS rows FROM c
+""")
+def session_columns(spark, folder):
+    """Tables over the given files and a view, listed from the session's catalog."""
+    name = f"listed_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name}")
+    try:
+        for t in _LISTED:
+            spark.sql(f"CREATE TABLE {name}.{t} USING parquet LOCATION '{folder}/{t}.parquet'")
+        spark.sql(f"CREATE VIEW {name}.wealthy AS SELECT c_custkey, c_name FROM {name}.customer WHERE c_acctbal > 0")
+        columns = SS.session_columns(spark, name)
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")  # the files stay, the tables only point at them
+    wealthy = table(spark, folder, "customer").where("c_acctbal > 0")
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("relation"), "rows") for n, df in [("wealthy", wealthy)] + [(t, table(spark, folder, t)) for t in _LISTED]]
+    n = counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+    return columns.select("relation", "kind", "column", "position", "family").join(n, "relation")
+
+
 @query("schema_view", with_tables("""
 SELECT schema, relation, "column", coalesce(policy, 'redact') AS policy, coalesce(namespace, '') AS namespace, p_size < 40 AS readable
 FROM e LEFT JOIN c USING (schema, relation, "column") WHERE lower(schema) = 's1' AND starts_with(lower(relation), 'promo')
@@ -170,7 +237,7 @@ def source_profiles(spark, folder):
   FROM information_schema.columns WHERE table_name IN (""" + ", ".join(f"'{t}'" for t in TABLES) + ")", s=_SHAPES))
 def classify_defaults(spark, folder):
     tables = _all(spark, folder)
-    return C.classify(SS.columns_of(spark, tables), SS.text_stats(tables, exact=True))
+    return C.classify(SS.columns_of(spark, tables), ST.settled(tables, C.MAX_CATEGORIES))
 
 
 @query("classify_estate", with_tables(CLASSIFIED, e=ESTATE, s=STATS))
@@ -408,17 +475,20 @@ def propose_from_samples(spark, folder):
     return out.select("relation", "column", "bucket", "policy", "namespace", F.round("sample_rate", 9).alias("sample_rate"))
 
 
-@query("unexamined_samples", """
-SELECT 'detector' AS layer, 'sampled values could not be examined, so their columns have no proposal' AS reason, count(DISTINCT lang) AS texts, 0 AS proposals FROM documents
+@query("unexamined_samples", f"""
+WITH samples AS ({_SAMPLES}), r AS (SELECT relation, "column", count(*) AS n, bool_and(coalesce(NOT contains(value, '.1.'), FALSE)) AS examined FROM samples GROUP BY ALL)
+SELECT *, examined AS proposed, (SELECT CASE WHEN bool_or(NOT examined) THEN 'sampled values could not be examined, so their columns have no proposal' END FROM r) AS reason FROM r
 """)
 def unexamined_samples(spark, folder):
+    """A detector that gives no answer for some values: their columns have no proposal, the others have."""
     from maskweave.functions import detect as D
 
-    samples = _samples(spark, folder).where("relation = 'd' and `column` = 'lang'")
-    rates = O.sample_rates(samples, lambda v: F.when(v != "en", D.spans(v)))
-    columns = SS.columns_of(spark, {"d": table(spark, folder, "documents").select("lang")})
-    n = O.propose(columns, rates).agg(F.count("*").cast("int")).scalar()
-    return O.degradations(rates).select("layer", "reason", samples.agg(F.count_distinct("value")).scalar().alias("texts"), n.alias("proposals"))
+    samples = _samples(spark, folder)
+    rates = O.sample_rates(samples, lambda v: F.when(~F.contains(v, F.lit(".1.")), D.spans(v)))
+    named = [("main", r, "r", c, i, "string", "text", True, False, False, False, False) for i, (r, c, _) in enumerate(_PROPOSED_COLUMNS[:6])]
+    proposed = O.propose(spark.createDataFrame(named, SS.COLUMNS_SCHEMA), rates).select(*KEYS, F.lit(True).alias("proposed"))
+    out = rates.join(proposed, KEYS, "left").withColumn("reason", O.degradations(rates).select("reason").scalar())
+    return out.select("relation", "column", "n", "examined", F.coalesce("proposed", F.lit(False)).alias("proposed"), "reason")
 
 
 @query("describe_source", with_tables(f"""

@@ -92,12 +92,12 @@ masked_sql("rel_view", "SELECT c_custkey, c_nationkey FROM customer_keys",
 masked_sql("rel_unknown_column", "SELECT s_suppkey, s_name FROM supplier", f"SELECT {_R} AS s_suppkey, {_R} AS s_name FROM supplier")
 
 
-@query("run_bounded", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000")
+@query("run_bounded", "SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) > 1000 AS truncated FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000")
 def run_bounded(spark, folder):
     return Q.run(views(spark, folder), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey", max_rows=5000)
 
 
-@query("run_bound_parameters", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000 ORDER BY c_custkey LIMIT 1000")
+@query("run_bound_parameters", "SELECT c_custkey, c_name, count(*) OVER () > 1000 AS truncated FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000 ORDER BY c_custkey LIMIT 1000")
 def run_bound_parameters(spark, folder):
     sql = "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = :segment AND c_acctbal > :low ORDER BY c_custkey"
     return Q.run(views(spark, folder), sql, {"segment": "BUILDING", "low": 9000})

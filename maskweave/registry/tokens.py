@@ -135,7 +135,8 @@ def _short_candidates(spark, folder):
         F.lit(SESSION).alias("session"), F.lit(CONN).alias("conn"), F.lit("person").alias("namespace"),
         F.col("c_name").alias("value"), F.col("c_custkey").alias("seq"),
     )
-    return B.mint(inputs, keys(spark), F.lit(NOW).cast("timestamp"), hex_len=K.TEST_TAG_HEX)
+    with K.short_tags():
+        return B.mint(inputs, keys(spark), F.lit(NOW).cast("timestamp"), hex_len=K.TEST_TAG_HEX)
 
 
 @query("token_bind_first", with_tables("""

@@ -78,7 +78,7 @@ def _table_stats(df: DataFrame, schema: str, relation: str, exact: bool) -> Data
     if not names:
         return None
     if exact:
-        return _exact_stats(df, schema, relation, names)
+        return exact_stats(df, schema, relation, names)
     aggs = []
     for i, n in enumerate(names):
         aggs += [
@@ -95,12 +95,12 @@ def _table_stats(df: DataFrame, schema: str, relation: str, exact: bool) -> Data
     return _labelled(wide.select(F.inline(entries)), schema, relation)
 
 
-def _exact_stats(df: DataFrame, schema: str, relation: str, names: list[str]) -> DataFrame:
+def exact_stats(df: DataFrame, schema: str, relation: str, names: list[str]) -> DataFrame:
     """Exact form: values are counted per column first, so a value held by a third of the rows is
     reduced before the shuffle, and long values travel as their digest."""
     values = F.array(
         *(
-            F.struct(F.lit(n).alias("column"), F.sha2(F.col(n), 256).alias("value"), F.octet_length(n).alias("width"))
+            F.struct(F.lit(n).alias("column"), F.sha2(F.col(f"`{n}`"), 256).alias("value"), F.octet_length(F.col(f"`{n}`")).alias("width"))
             for n in names
         )
     )
@@ -126,12 +126,13 @@ def _labelled(df: DataFrame, schema: str, relation: str) -> DataFrame:
 def sample_columns(
     df: DataFrame, columns: list[str], n: int, schema: str = "main", relation: str = "", order: list[Column] | None = None
 ) -> DataFrame:
-    """Up to ``n`` non-null values of each column as text, with their key.
+    """Up to ``n`` non-null values of each column as text, with their key. More than ``MAX_SAMPLE`` are refused.
 
     Each column is its own pruned scan with a top-n, so every task keeps at most ``n`` values. With an
     order the sample is repeatable; without, the first rows found are taken.
     """
-    n = min(n, MAX_SAMPLE)
+    if n > MAX_SAMPLE:
+        raise ValueError(f"a sample has at most {MAX_SAMPLE} values, not {n}")
 
     def one(name: str) -> DataFrame:
         picked = df.where(F.col(name).isNotNull())

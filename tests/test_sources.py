@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from maskweave.functions import tokens
 from maskweave.operators import bounds, jsonpaths
 from maskweave.session import cut_lineage, fits_broadcast
-from maskweave.sources import activity, policies, schema
+from maskweave.sources import activity, policies, queries, schema, statistics
 
 PATHS = "paths map<string, struct<policy: string, namespace: string>>"
 
@@ -77,3 +78,54 @@ def test_json_edges(spark):
     deep = "[" * 70 + "]" * 70
     one = spark.createDataFrame([(deep,)], "d string").select(jsonpaths.mask_paths(F.col("d"), {}, None)).first()[0]
     assert one == "⟨redacted⟩"
+
+
+def test_sketches_merge_by_day_and_a_day_is_replaced(spark, tmp_path):
+    rows = [(f"2026-01-0{1 + i % 3}", f"v{i % 10}", None if i % 2 else "é") for i in range(300)]
+    df = spark.createDataFrame(rows, "d string, `a b` string, e string").withColumn("d", F.to_date("d"))
+    found = statistics.sketches(df, "t", F.col("d"))
+    path = str(tmp_path / "s")
+    statistics.stored(found, path)
+    statistics.stored(found.where("day = date'2026-01-02'"), path)
+    kept = spark.read.schema(found.schema).parquet(path)
+    assert kept.count() == 6
+    got = {r["column"]: (r["distinct"], r.avg_width) for r in statistics.merged(kept).collect()}
+    assert got == {"a b": (10.0, 2.0), "e": (1.0, 2.0)}
+    assert {r["column"]: r.n for r in statistics.merged(kept, "day").groupBy("column").agg(F.count("*").alias("n")).collect()} == {"a b": 3, "e": 3}
+
+
+def test_settled_counts_are_exact_on_both_sides_of_the_bound(spark):
+    df = spark.range(60_000).select(*((F.col("id") % n).cast("string").alias(f"c{n}") for n in (1, 49, 50, 99, 100, 101, 199)), F.col("id").cast("string").alias("many"), F.lit(None).cast("string").alias("none"))
+    got = {r["column"]: r["distinct"] for r in statistics.settled({"t": df, "n": spark.range(3)}).collect()}
+    assert {c: got[c] for c in got if c not in ("many",)} == {"c1": 1, "c49": 49, "c50": 50, "c99": 99, "c100": 100, "c101": 101, "c199": 199, "none": 0}
+    assert abs(got["many"] - 60_000) < 6_000
+
+
+def test_session_catalog_lists_tables_and_views(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE listed LOCATION '{tmp_path}/db'")
+    try:
+        spark.range(3).selectExpr("id", "cast(id as string) as `odd name`").write.option("path", str(tmp_path / "t")).saveAsTable("listed.t")
+        spark.sql("CREATE VIEW listed.v AS SELECT `odd name` FROM listed.t")
+        spark.range(1).createOrReplaceTempView("passing")
+        got = [(r.schema, r.relation, r.kind, r["column"], r.position, r.family) for r in schema.session_columns(spark, "listed").orderBy("relation", "position").collect()]
+    finally:
+        spark.sql("DROP DATABASE listed CASCADE")
+    assert got == [("listed", "t", "r", "id", 1, "numeric"), ("listed", "t", "r", "odd name", 2, "text"), ("listed", "v", "v", "odd name", 1, "text")]
+
+
+def test_over_large_requests_are_refused_or_told(spark):
+    df = spark.range(1200).select(F.col("id").cast("string").alias("t"))
+    with pytest.raises(ValueError):
+        schema.sample_columns(df, ["t"], schema.MAX_SAMPLE + 1)
+    df.createOrReplaceTempView("long_table")
+    cut = queries.run(spark, "SELECT t FROM long_table ORDER BY cast(t AS int)", max_rows=10).collect()
+    assert [(r.t, r.truncated) for r in cut] == [(str(i), True) for i in range(10)]
+    assert not queries.run(spark, "SELECT t FROM long_table", allowed=1200).where("truncated").count()
+    with pytest.raises(ValueError):
+        queries.run(spark, "SELECT t AS truncated FROM long_table")
+    with pytest.raises(ValueError):
+        tokens.tag_length(4)
+    with tokens.short_tags():
+        assert tokens.tag_length(4) == 4
+    with pytest.raises(ValueError):
+        tokens.tag_length(4)
