@@ -276,6 +276,65 @@ def _frequencies(texts: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFr
     return texts.select("text").mapInArrow(counted, "class bigint, times bigint").groupBy("class").agg(F.sum("times").alias("times"))
 
 
+def _rarest_keys(texts: DataFrame, long: DataFrame):
+    """Per entry that gram of its own that is rarest in the texts, (pattern, token, n, off, gram), the lengths of grams, and
+    the gate: how many bits number a gram there, and the bitmap on all executors."""
+    grams = cut_lineage(_entry_grams(long))
+    sizes = sorted(r.q for r in grams.select("q").distinct().collect())  # at most as many as GRAMS
+    n = long.count()
+    times = _frequencies(texts, grams, sizes).withColumnRenamed("class", "c")
+    ranked = grams.join(times, _class_of(F.col("gram"), CLASS_BITS) == F.col("c"), "left")
+    rarest = F.min(F.struct(F.coalesce("times", F.lit(0)), "off", "gram")).alias("k")
+    keys = cut_lineage(ranked.groupBy("pattern", "token", "n").agg(rarest).select("pattern", "token", "n", "k.off", "k.gram"))
+    bits = min(27, max(16, n.bit_length() + 5))
+    gate = _bitmap(keys.select(_class_of(F.col("gram"), bits).alias("class")), "class", bits)
+    return keys, sizes, bits, texts.sparkSession.sparkContext.broadcast(gate)
+
+
+def surroundings(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """Where entries occur in any text, as (token, folded, start, end): a piece of the folded text that holds the entry and a
+    character on either side, and its place there. Equal pieces are one row.
+
+    For searches that ask whether an entry shows, not in which rows: texts are neither numbered, compared nor shuffled,
+    only the pieces around places that pass the gate of :func:`window_hits`.
+    """
+    texts = texts.select("text").where(F.length("text") > 0)
+    keys, sizes, bits, shared = _rarest_keys(texts, entries.where(~F.col("short")))
+    reach = keys.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    at_once = max(16, (1 << 22) // (2 * reach + 2))
+
+    def gated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: set[tuple[int, int, str]] = set()
+
+        def told():
+            columns = zip(*waiting, strict=True) if waiting else ((), (), ())
+            types = (pa.int64(), pa.int32(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "at", "piece"])
+
+        for batch in batches:
+            for value in batch.column("text"):
+                text = value.as_py()
+                low = fold(text)
+                for at in range(0, len(low), BLOCK):
+                    points = _points(low[at : at + BLOCK + GRAMS[0] - 1])
+                    for q in sizes:
+                        found = _grams(points, q)[:BLOCK]
+                        hit = np.flatnonzero(_set(shared.value, (found >> np.uint64(64 - bits)).astype(np.int64)))
+                        for gram, place in zip(found[hit].view(np.int64).tolist(), (hit + at).tolist(), strict=True):
+                            first = max(0, place - reach - 1)
+                            waiting.add((gram, place - first, text[first : place + reach + 1]))
+                            if len(waiting) >= at_once:
+                                yield told()
+                                waiting.clear()
+        yield told()
+
+    places = texts.mapInArrow(gated, "gram bigint, at int, piece string").distinct().join(keys, "gram")
+    start, end = F.col("at") - F.col("off"), F.col("at") - F.col("off") + F.col("n")
+    places = places.select("token", "pattern", "n", fold_column(F.col("piece")).alias("folded"), start.alias("start"), end.alias("end"))
+    same = (F.col("start") >= 0) & (F.substr("folded", F.col("start") + 1, F.col("n")) == F.col("pattern"))
+    return places.where(same).select("token", "folded", "start", "end")
+
+
 def window_hits(texts: DataFrame, entries: DataFrame, repeated: bool = False) -> DataFrame:
     """All places where an entry occurs: (id, start, end, token), from (id, text) with distinct ids, or with ids that
     stand for the same text wherever they are ``repeated``.
@@ -285,18 +344,8 @@ def window_hits(texts: DataFrame, entries: DataFrame, repeated: bool = False) ->
     their number and never over 16 MB; these rows meet the entries in an equi-join on the gram, and what is left is
     compared with the text itself. The dictionary is gathered nowhere, and only texts with such a place are shuffled.
     """
-    long = entries.where(~F.col("short"))
     texts = texts.select("id", "text").where(F.length("text") > 0)
-    grams = cut_lineage(_entry_grams(long))
-    sizes = sorted(r.q for r in grams.select("q").distinct().collect())  # at most as many as GRAMS
-    n = long.count()
-    times = _frequencies(texts, grams, sizes).withColumnRenamed("class", "c")
-    ranked = grams.join(times, _class_of(F.col("gram"), CLASS_BITS) == F.col("c"), "left")
-    rarest = F.min(F.struct(F.coalesce("times", F.lit(0)), "off", "gram")).alias("k")
-    keys = cut_lineage(ranked.groupBy("pattern", "token", "n").agg(rarest).select("pattern", "token", "n", "k.off", "k.gram"))
-    bits = min(27, max(16, n.bit_length() + 5))
-    gate = _bitmap(keys.select(_class_of(F.col("gram"), bits).alias("class")), "class", bits)
-    shared = texts.sparkSession.sparkContext.broadcast(gate)
+    keys, sizes, bits, shared = _rarest_keys(texts, entries.where(~F.col("short")))
     kind = texts.schema["id"].dataType.simpleString()
 
     def gated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

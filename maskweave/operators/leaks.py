@@ -8,22 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskweave.operators.emission import _index, fold, fold_column, window_hits
-from maskweave.session import fits_broadcast
+from maskweave.operators.emission import fold_column, surroundings
+from maskweave.session import cut_lineage
 
 NUMERIC_VALUE = "^[0-9.]+$"
 
 
 def strings_of(df: DataFrame) -> DataFrame:
-    """Every string of a table, (id, text): one row per cell, nested values as their JSON text."""
+    """Every string of a table, (text): one row per cell, nested values as their JSON text."""
     cells = []
     for f in df.schema.fields:
         col = F.col(f"`{f.name}`")
         nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
         cells.append(F.to_json(col) if nested else col.cast("string"))
-    return df.select(F.explode(F.array(*cells)).alias("text")).where("text is not null").select(
-        F.sha2("text", 256).alias("id"), "text"
-    )
+    return df.select(F.explode(F.array(*cells)).alias("text")).where("text is not null")
 
 
 def stands_alone(text: Column, start: Column, end: Column) -> Column:
@@ -46,50 +44,22 @@ def leaked_values(outputs: list[DataFrame], truth: DataFrame) -> DataFrame:
     """Known values that show somewhere in the outputs, (kind, value). A value of digits and dots counts
     only where it stands alone, since a tag can hold the same digits by chance.
 
-    Each distinct text is searched once; a text repeated in a third of the cells is reduced first.
+    Output text is searched where it lies and never shuffled; what travels is the pieces around likely places, and one row per
+    value and partition. Ten values and millions run the same plan.
     """
+    truth = cut_lineage(truth.select("kind", "value").distinct())
     texts = reduce(DataFrame.unionByName, [strings_of(o) for o in outputs])
-    texts = texts.distinct()
-    truth = truth.persist()
-    if fits_broadcast(truth_entries(truth), "pattern"):
-        hits = _hits_with_edges(texts, truth_entries(truth))
-    else:
-        found = window_hits(texts, truth_entries(truth))
-        hits = found.join(texts, "id").select(
-            F.col("token").alias("value"),
-            stands_alone(fold_column(F.col("text")), F.col("start"), F.col("end")).alias("alone"),
-        )
-    seen = hits.groupBy("value").agg(F.max("alone").alias("alone"))
+    hits = surroundings(texts, truth_entries(truth))
+    alone = stands_alone(F.col("folded"), F.col("start"), F.col("end"))
+    seen = hits.groupBy(F.col("token").alias("value")).agg(F.max(alone).alias("alone"))
     known = truth.select("kind", fold_column(F.col("value")).alias("value")).distinct()
     counted = F.col("alone") | ~F.col("value").rlike(NUMERIC_VALUE)
     return known.join(seen, "value").where(counted).select("kind", "value")
 
 
-def _hits_with_edges(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    rows = [(r.pattern, r.token, False) for r in entries.collect()]
-    shared = texts.sparkSession.sparkContext.broadcast(rows)
-    word = set(".0123456789abcdefghijklmnopqrstuvwxyz")
-
-    @F.pandas_udf("array<struct<value: string, alone: boolean>>")
-    def find(series):
-        index = _index(shared)
-
-        def one(text):
-            low = fold(text)
-            best: dict[str, bool] = {}
-            for start, end, value in index.all_hits(low):
-                alone = (start == 0 or low[start - 1] not in word) and (end == len(low) or low[end] not in word)
-                best[value] = best.get(value, False) or alone
-            return [{"value": v, "alone": a} for v, a in best.items()]
-
-        return series.map(one)
-
-    return texts.select(F.inline(find(F.col("text"))))
-
-
 def leak_counts(outputs: list[DataFrame], truth: DataFrame) -> DataFrame:
     """Leaked values per kind, a row for each kind, so that a clean kind shows its zero."""
-    truth = truth.persist()
+    truth = cut_lineage(truth.select("kind", "value").distinct())
     found = leaked_values(outputs, truth).groupBy("kind").agg(F.count_distinct("value").alias("leaks"))
     return truth.select("kind").distinct().join(found, "kind", "left").select(
         "kind", F.coalesce("leaks", F.lit(0)).alias("leaks")

@@ -67,11 +67,32 @@ def test_own_tokens_are_left_alone(spark):
     assert a[3] == "⟨fake ⟨v1:0001⟩⟩"
 
 
-def test_leaks_by_either_way(spark, monkeypatch):
-    truth = spark.createDataFrame([("n", "12.5"), ("n", "77"), ("name", "Ann"), ("name", "Bob")], "kind string, value string")
-    out = spark.createDataFrame([("x12.5y ann", 1), ("(77)", 2), ("a77", 3)], "t string, k int")
+def test_leaks(spark):
+    truth = spark.createDataFrame([("n", "12.5"), ("n", "77"), ("name", "Ann"), ("name", "Bob"), ("name", None), ("name", "")], "kind string, value string")
+    out = spark.createDataFrame([("x12.5y ann", 1), ("(77)", 2), ("a77", 3), (None, 4)], "t string, k int")
     want = {("n", "77"), ("name", "ann")}
     assert {tuple(r) for r in L.leaked_values([out], truth).collect()} == want
-    monkeypatch.setattr(L, "fits_broadcast", lambda *a, **k: False)
-    assert {tuple(r) for r in L.leaked_values([out], truth).collect()} == want
     assert {tuple(r) for r in L.leak_counts([out.select(F.lit("").alias("t"))], truth).collect()} == {("n", 0), ("name", 0)}
+    assert L.leaked_values([out], truth.limit(0)).count() == 0
+
+
+def test_leaks_equal_a_plain_search(spark):
+    rng = random.Random(3)
+    values = sorted({"".join(rng.choice("12.") for _ in range(rng.randrange(1, 6))) for _ in range(40)} | {"ΟΔΟΣ 1", "名前", "x" * 90})
+    texts = ["".join(rng.choice("12.a (é") for _ in range(rng.randrange(0, 60))) for _ in range(150)] + ["οδοσ 12 私の名前", "y" + "X" * 95, "2" * 9, ".1"]
+    truth = spark.createDataFrame([("v", v) for v in values], "kind string, value string")
+    out = spark.createDataFrame([(t, [t]) for t in texts], "t string, `a b` array<string>")
+
+    def shows(v, low):
+        at = low.find(v)
+        while at >= 0:
+            edges = low[at - 1 : at] + low[at + len(v) : at + len(v) + 1]
+            if not (set(v) <= set(".0123456789")) or not (set(edges) & set(".0123456789abcdefghijklmnopqrstuvwxyz")):
+                return True
+            at = low.find(v, at + 1)
+        return False
+
+    want = {E.fold(v) for v in values if any(shows(E.fold(v), E.fold(t)) for t in texts)}
+    assert {r.value for r in L.leaked_values([out], truth).collect()} == want
+
+
