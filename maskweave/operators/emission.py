@@ -188,12 +188,15 @@ def _points(text: str) -> np.ndarray:
 
 def _grams(points: np.ndarray, q: int) -> np.ndarray:
     """A number of 64 bits for the ``q`` characters from each place of a text on."""
-    n = len(points) - q + 1
-    if n <= 0:
+    if len(points) < q:
         return np.empty(0, np.uint64)
-    h = np.full(n, q, np.uint64)
-    for j in range(q):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + points[j : j + n]
+    h, k, power = points, 1, 0x9E3779B97F4A7C15
+    while 2 * k <= q:  # two halves of a gram make a gram
+        h = h[:-k] * np.uint64(power) + h[k:]
+        k, power = 2 * k, power * power & 0xFFFFFFFFFFFFFFFF
+    for j in range(k, q):
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + points[j:]
+    h = h * np.uint64(2 * q + 1)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 

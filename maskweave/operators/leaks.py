@@ -47,7 +47,10 @@ def leaked_values(outputs: list[DataFrame], truth: DataFrame) -> DataFrame:
     Output text is searched where it lies and never shuffled; what travels is the pieces around likely places, and one row per
     value and partition. Ten values and millions run the same plan.
     """
-    truth = cut_lineage(truth.select("kind", "value").distinct())
+    return _leaked(outputs, cut_lineage(truth.select("kind", "value").distinct()))
+
+
+def _leaked(outputs: list[DataFrame], truth: DataFrame) -> DataFrame:
     texts = reduce(DataFrame.unionByName, [strings_of(o) for o in outputs])
     hits = surroundings(texts, truth_entries(truth))
     alone = stands_alone(F.col("folded"), F.col("start"), F.col("end"))
@@ -60,7 +63,7 @@ def leaked_values(outputs: list[DataFrame], truth: DataFrame) -> DataFrame:
 def leak_counts(outputs: list[DataFrame], truth: DataFrame) -> DataFrame:
     """Leaked values per kind, a row for each kind, so that a clean kind shows its zero."""
     truth = cut_lineage(truth.select("kind", "value").distinct())
-    found = leaked_values(outputs, truth).groupBy("kind").agg(F.count_distinct("value").alias("leaks"))
+    found = _leaked(outputs, truth).groupBy("kind").agg(F.count_distinct("value").alias("leaks"))
     return truth.select("kind").distinct().join(found, "kind", "left").select(
         "kind", F.coalesce("leaks", F.lit(0)).alias("leaks")
     )
