@@ -26,7 +26,8 @@ TRIM = ".,;:!?\"'()[]{}<>*#|"
 @dataclass(frozen=True)
 class ToxicityRules:
     """window: words; stride: words between windows; rows: most labelled texts of a class that are learned from,
-    chosen by a hash of the id; characters: longest text that is learned from (all texts are scored whole)."""
+    chosen by a hash of the id; characters: longest text that is learned from (all texts are scored whole); hard_windows:
+    most windows of clean texts that score over one half and are learned from again, drawn evenly from all of them."""
 
     window: int = 24
     stride: int = 16
@@ -43,6 +44,7 @@ class ToxicityRules:
     least_steps: int = 60
     rate: float = 0.01
     seed: int = 11
+    hard_windows: int = 20_000
 
     def __post_init__(self):
         if not 0 < self.stride <= self.window:
@@ -317,9 +319,11 @@ def train(texts: list[str], labels: list[int], rules: ToxicityRules = ToxicityRu
         if round_ == 0:
             chosen = np.concatenate([chosen, (first + rng.integers(0, n_windows))[clean]])
         else:
-            # Windows that speak against their text's label: all of clean texts that score over one half.
-            wrong = (speaks > 0) & (target[owners] == 0)
-            chosen = np.concatenate([chosen, np.flatnonzero(wrong)[:20_000]])
+            # Windows that speak against their text's label: those of clean texts that score over one half.
+            wrong = np.flatnonzero((speaks > 0) & (target[owners] == 0))
+            if len(wrong) > rules.hard_windows:
+                wrong = rng.choice(wrong, rules.hard_windows, replace=False)
+            chosen = np.concatenate([chosen, wrong])
         chosen = np.unique(chosen)
         truth = target[owners[chosen]]
         weight = np.where(truth == 1, max(1.0, (truth == 0).sum() / max(1.0, 2 * truth.sum())), 1.0).astype(np.float32)

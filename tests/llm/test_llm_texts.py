@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -293,8 +294,6 @@ def test_toxicity_windows_cover_all_words():
 
 def test_toxicity_gradients():
     """Steps of learning follow the slope: a step lowers the loss on its own batch."""
-    import numpy as np
-
     rules = toxicity.ToxicityRules(window=5, stride=5, rate=0.003)
     net = toxicity.Network(rules)
     slots = toxicity._slots(["one", "two", "three", "four"], rules)
@@ -304,8 +303,6 @@ def test_toxicity_gradients():
 
 
 def test_quality_trees(spark, odd, none):
-    import numpy as np
-
     rng = np.random.default_rng(1)
     rows = rng.random((2000, 3))
     target = ((rows[:, 0] > 0.5) ^ (rows[:, 1] > 0.3)).astype(int)
@@ -395,3 +392,15 @@ def test_quality_keeps_class_shares_over_the_cap(spark):
     for rows in (8000, 100):
         model = quality.fit(docs, labels, quality.TreeRules(rows=rows))
         assert quality.score(docs.limit(1), model).first().score == pytest.approx(0.75, abs=0.03)
+
+
+def test_toxicity_draws_its_hard_windows_from_all_clean_texts():
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words, 90)) + (" vile" if i % 4 == 0 else "") for i in range(80)]
+    truth = [int(i % 4 == 0) for i in range(80)]
+    model = toxicity.train(texts, truth, toxicity.ToxicityRules(hard_windows=5))
+    again = toxicity.train(texts, truth, toxicity.ToxicityRules(hard_windows=5))
+    scores = model.scores(texts)
+    assert np.array_equal(scores, again.scores(texts))
+    assert ((scores >= 0.5) == (np.array(truth) == 1)).mean() >= 0.9
