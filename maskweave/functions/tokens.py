@@ -107,7 +107,7 @@ def joined_key() -> Key:
 def hmac_tag(key: Key, message: Column, hex_len: int = TAG_HEX) -> Column:
     """First hex digits of HMAC-SHA256 over the message's UTF-8 bytes."""
     inner = F.unhex(F.sha2(F.concat(key.ipad, message.cast("binary")), 256))
-    return F.substring(F.sha2(F.concat(key.opad, inner), 256), 1, tag_length(hex_len))
+    return F.substring(F.sha2(F.concat(key.opad, inner), 256), 1, hex_len)
 
 
 @F.pandas_udf(T.StringType())
@@ -149,7 +149,7 @@ def format_token(namespace: Column, version: Column, tag: Column) -> Column:
 def token(key: Key, namespace: str | Column, normalised: Column, hex_len: int = TAG_HEX) -> Column:
     """Token of a normalised value; null stays null."""
     ns = F.lit(namespace) if isinstance(namespace, str) else namespace
-    return format_token(ns, key.version, hmac_tag(key, F.concat(ns, normalised), hex_len))
+    return format_token(ns, key.version, hmac_tag(key, F.concat(ns, normalised), tag_length(hex_len)))
 
 
 def parse_token(value: Column) -> Column:
