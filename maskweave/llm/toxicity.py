@@ -5,11 +5,13 @@ words goes through two gated recurrent layers, one from each end; attention pool
 A text is scored over all windows, each overlapping the next, and takes the highest.
 
 Labels mark whole texts, not windows. Learning therefore goes in rounds: choose the window that speaks most for the
-label (first by odds of its n-grams, then by the network itself), learn on the chosen windows, choose again.
+label (first by odds of its n-grams, then by the network itself), learn on the chosen windows, choose again. Where a
+score passes one half is set by texts that the network scoring them has not learned from.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,26 +27,35 @@ TRIM = ".,;:!?\"'()[]{}<>*#|"
 
 @dataclass(frozen=True)
 class ToxicityRules:
-    """window: words; stride: words between windows; rows: most labelled texts of a class that are learned from,
-    chosen by a hash of the id; characters: longest text that is learned from (all texts are scored whole); hard_windows:
-    most windows of clean texts that score over one half and are learned from again, drawn evenly from all of them."""
+    """window: words; stride: words between windows; rows: most labelled texts of a class that are taken, chosen by a
+    hash of the id; characters: longest text that is learned from, cut_characters: longest that helps to place the cut (all
+    texts are scored whole); doubt: standard errors taken off the odds of an n-gram; hard_windows: most windows of clean
+    texts that score over one half and are learned from again, drawn evenly from all of them; folds: parts of the sample
+    scored by networks learned on the others, to place the cut; spare: what a clean text marked costs against a toxic one
+    missed, in shares of each."""
 
     window: int = 24
     stride: int = 16
-    vector: int = 12
+    vector: int = 24
     hidden: int = 8
     attention: int = 8
-    word_bits: int = 15
-    gram_bits: int = 16
+    word_bits: int = 18
+    gram_bits: int = 18
+    word_scale: float = 0.01
+    gram_scale: float = 0.02
     rows: int = 2500
     characters: int = 8_000
+    cut_characters: int = 100_000
+    doubt: float = 1.5
     rounds: int = 3
-    epochs: int = 4
+    epochs: int = 2
     batch: int = 192
-    least_steps: int = 60
+    least_steps: int = 30
     rate: float = 0.01
     seed: int = 11
     hard_windows: int = 20_000
+    folds: int = 3
+    spare: float = 2.0
 
     def __post_init__(self):
         if not 0 < self.stride <= self.window:
@@ -121,8 +132,8 @@ class Network:
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
         self.w = {
-            "words": small(1 << rules.word_bits, d, scale=0.1),
-            "grams": small(1 << rules.gram_bits, d, scale=0.3),
+            "words": small(1 << rules.word_bits, d, scale=rules.word_scale),
+            "grams": small(1 << rules.gram_bits, d, scale=rules.gram_scale),
             "attend": small(2 * h, a, scale=0.3),
             "attend_bias": np.zeros(a, np.float32),
             "query": small(a, scale=0.3),
@@ -142,7 +153,7 @@ class Network:
         out = np.empty((len(whole), self.rules.vector), np.float32)
         for a in range(0, len(whole), 20_000):
             b = min(a + 20_000, len(whole))
-            sums = np.add.reduceat(self.w["grams"][grams[at[a] : at[b]]], at[a:b] - at[a], axis=0) if b > a else 0
+            sums = np.add.reduceat(self.w["grams"][grams[at[a] : at[b]]].astype(np.float32), at[a:b] - at[a], axis=0)
             out[a:b] = self.w["words"][whole[a:b]] + sums / (at[a + 1 : b + 1] - at[a:b])[:, None].astype(np.float32)
         return out
 
@@ -168,11 +179,20 @@ class Network:
             states[t] = state
         return states, saved
 
-    def forward(self, vectors, index, mask, keep=False):
-        """Logits of windows. ``index`` holds rows of ``vectors``."""
+    def finish(self) -> None:
+        """Ends learning: drops what only steps need and halves the tables, which travel to all tasks."""
+        self.moments = {}
+        for name in ("words", "grams"):
+            self.w[name] = self.w[name].astype(np.float16)
+
+    def gates(self, vectors) -> list[np.ndarray]:
+        """What each distinct word gives to the gates, forwards and backwards."""
+        return [vectors @ self.w[f"in_{side}"] + self.w[f"in_bias_{side}"] for side in "fb"]
+
+    def forward(self, gates, index, mask, keep=False):
+        """Logits of windows. ``index`` holds rows of ``gates``."""
         sides, saved = [], []
-        for side in "fb":
-            gates_in = vectors @ self.w[f"in_{side}"] + self.w[f"in_bias_{side}"]
+        for side, gates_in in zip("fb", gates, strict=True):
             states, kept = self._side(gates_in, index, mask, side, keep)
             sides.append(states)
             saved.append(kept)
@@ -186,18 +206,18 @@ class Network:
         return (logit, (states, hidden, share, pooled, saved)) if keep else logit
 
     def logits(self, vectors, spans, word_ids) -> np.ndarray:
-        out = np.empty(len(spans), np.float32)
+        out, gates = np.empty(len(spans), np.float32), self.gates(vectors)
         for a in range(0, len(spans), 4096):
             span = spans[a : a + 4096]
             mask = (span >= 0).astype(np.float32)
-            out[a : a + 4096] = self.forward(vectors, word_ids[np.maximum(span, 0)], mask)
+            out[a : a + 4096] = self.forward(gates, word_ids[np.maximum(span, 0)], mask)
         return out
 
     def step(self, slots, index, mask, target, weight) -> float:
         """One step of learning on a batch of windows; ``slots`` are those of its distinct words."""
         w, h = self.w, self.rules.hidden
         vectors = self.vectors(slots)
-        logit, (states, hidden, share, pooled, saved) = self.forward(vectors, index, mask, keep=True)
+        logit, (states, hidden, share, pooled, saved) = self.forward(self.gates(vectors), index, mask, keep=True)
         p = _sigmoid(logit)
         d_logit = ((p - target) * weight / weight.sum()).astype(np.float32)
         g = {"out": pooled.T @ d_logit, "bias": d_logit.sum(keepdims=True)}
@@ -280,80 +300,138 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.shift, -30, 30)))
 
 
+class _Sample:
+    """Labelled texts as windows of word numbers."""
+
+    def __init__(self, texts: list[str], labels: list[int], rules: ToxicityRules):
+        self.rules = rules
+        words, self.ids, self.lengths = _numbered(texts)
+        self.spans, self.owners = windows_of(self.lengths, rules)
+        self.target = np.asarray(labels, np.float32)
+        self.slots = _slots(words, rules)
+        self.counts = np.diff(self.slots[2])
+        self.first = np.flatnonzero(np.diff(self.owners, prepend=-1))
+        self.has = self.owners[self.first]  # texts with a window
+
+    def _picks(self, used: np.ndarray) -> np.ndarray:
+        """Places of the n-grams of these words."""
+        counts = self.counts[used]
+        return np.repeat(self.slots[2][used] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+
+    def local(self, span: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        """Slots of the distinct words of some windows, and the windows as numbers of these words."""
+        used, index = np.unique(self.ids[np.maximum(span, 0)], return_inverse=True)
+        whole, grams, _ = self.slots
+        return (whole[used], grams[self._picks(used)], np.append(0, np.cumsum(self.counts[used]))), index.reshape(span.shape)
+
+    def logits(self, net: Network, spans: np.ndarray, part: int = 16_384) -> np.ndarray:
+        """Logits of windows, some at a time, so that only vectors of their words are held."""
+        out = np.empty(len(spans), np.float32)
+        for a in range(0, len(spans), part):
+            span = spans[a : a + part]
+            slots, index = self.local(span)
+            at = np.where(span >= 0, np.arange(span.size).reshape(span.shape), -1)
+            out[a : a + part] = net.logits(net.vectors(slots), at, index.ravel())
+        return out
+
+    def highest(self, net: Network) -> np.ndarray:
+        """The highest window's logit of each text that has one."""
+        return np.maximum.reduceat(self.logits(net, self.spans), self.first)
+
+    def both(self, part: np.ndarray) -> bool:
+        return len({*self.target[self.has[part[self.has]]].tolist()}) == 2
+
+    def _odds(self, part: np.ndarray) -> np.ndarray:
+        """The highest odds of a word's n-grams, by the texts of each class that hold them, less some standard errors: an
+        n-gram of a few texts says less than one of many."""
+        rules, (_, grams, at) = self.rules, self.slots
+        seen, texts = np.zeros((2, 1 << rules.gram_bits)), np.zeros(2)
+        for some, label, taken in zip(np.split(self.ids, np.cumsum(self.lengths)[:-1]), self.target, part, strict=True):
+            if taken:
+                texts[int(label)] += 1
+                seen[int(label), np.unique(grams[self._picks(np.unique(some))])] += 1
+        odds = np.log((seen[1] + 0.5) / (texts[1] + 1)) - np.log((seen[0] + 0.5) / (texts[0] + 1))
+        odds -= rules.doubt * np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
+        return np.maximum.reduceat(odds[grams], at[:-1]).astype(np.float32)
+
+    def learned(self, part: np.ndarray) -> Network:
+        """A network learned on the texts of ``part``."""
+        rules = self.rules
+        rng = np.random.default_rng(rules.seed)
+        mine = np.flatnonzero(part[self.owners])
+        spans, owners = self.spans[mine], self.owners[mine]
+        first = np.flatnonzero(np.diff(owners, prepend=-1))
+        n_windows = np.diff(np.append(first, len(owners)))
+        clean = self.target[owners[first]] == 0
+        of_words = self._odds(part)[self.ids]
+        speaks = np.array([of_words[s[s >= 0]].max() for s in spans])
+        net = Network(rules)
+        for round_ in range(rules.rounds):
+            if round_:
+                speaks = self.logits(net, spans)
+            top = speaks == np.repeat(np.maximum.reduceat(speaks, first), n_windows)
+            best = first + np.array([top[a : a + n].argmax() for a, n in zip(first, n_windows, strict=True)])
+            chosen = [best, (first + rng.integers(0, n_windows))[clean]]
+            if round_ == 0:
+                chosen.append((first + rng.integers(0, n_windows))[clean])
+            else:
+                # Windows that speak against their text's label: those of clean texts that score over one half.
+                wrong = np.flatnonzero((speaks > 0) & (self.target[owners] == 0))
+                if len(wrong) > rules.hard_windows:
+                    wrong = rng.choice(wrong, rules.hard_windows, replace=False)
+                chosen.append(wrong)
+            chosen = np.unique(np.concatenate(chosen))
+            truth = self.target[owners[chosen]]
+            weight = np.where(truth == 1, max(1.0, (truth == 0).sum() / max(1.0, 2 * truth.sum())), 1.0).astype(np.float32)
+            # Few rows are gone through more often.
+            for _ in range(max(rules.epochs, rules.least_steps * rules.batch // len(chosen))):
+                order = rng.permutation(len(chosen))
+                for a in range(0, len(order), rules.batch):
+                    rows = order[a : a + rules.batch]
+                    span = spans[chosen[rows]]
+                    local, index = self.local(span)
+                    net.step(local, index, (span >= 0).astype(np.float32), truth[rows], weight[rows])
+        net.finish()
+        return net
+
+
 def train(texts: list[str], labels: list[int], rules: ToxicityRules = ToxicityRules()) -> Model:
-    """Learn from labelled texts. Without texts of both classes, the score is the share of label 1."""
-    target = np.asarray(labels, np.float32)
-    words, ids, lengths = _numbered(texts)
-    spans, owners = windows_of(lengths, rules)
-    if not len(spans) or len({*target[np.unique(owners)].tolist()}) < 2:
-        return Model(None, prior=float(target.mean()) if len(target) else 0.0)
-    rng = np.random.default_rng(rules.seed)
-    slots = whole, grams, at = _slots(words, rules)
-    net = Network(rules)
-    # Odds of n-grams: in how many texts of each class they are.
-    counts = np.diff(at)
-    seen = np.zeros((2, 1 << rules.gram_bits))
-    for some, label in zip(np.split(ids, np.cumsum(lengths)[:-1]), target, strict=True):
-        used = np.unique(some)
-        picks = np.repeat(at[used] - np.cumsum(counts[used]) + counts[used], counts[used])
-        seen[int(label), np.unique(grams[picks + np.arange(len(picks))])] += 1
-    odds = np.log((seen[1] + 0.5) / (target.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - target).sum() + 1))
-    word_odds = np.maximum.reduceat(odds[grams], at[:-1])
-    of_words = word_odds.astype(np.float32)[ids]
-    speaks = np.array([of_words[s[s >= 0]].max() for s in spans])
-    first = np.flatnonzero(np.diff(owners, prepend=-1))
-    n_windows = np.diff(np.append(first, len(owners)))
-
-    def best(values):
-        top = np.maximum.reduceat(values, first)
-        hit = values == np.repeat(top, n_windows)
-        return first + np.array([hit[a : a + n].argmax() for a, n in zip(first, n_windows, strict=True)])
-
-    has = owners[first]
-    for round_ in range(rules.rounds):
-        if round_:
-            speaks = net.logits(net.vectors(slots), spans, ids)
-        some = first + rng.integers(0, n_windows)
-        clean = target[has] == 0
-        chosen = np.concatenate([best(speaks), some[clean]])
-        if round_ == 0:
-            chosen = np.concatenate([chosen, (first + rng.integers(0, n_windows))[clean]])
-        else:
-            # Windows that speak against their text's label: those of clean texts that score over one half.
-            wrong = np.flatnonzero((speaks > 0) & (target[owners] == 0))
-            if len(wrong) > rules.hard_windows:
-                wrong = rng.choice(wrong, rules.hard_windows, replace=False)
-            chosen = np.concatenate([chosen, wrong])
-        chosen = np.unique(chosen)
-        truth = target[owners[chosen]]
-        weight = np.where(truth == 1, max(1.0, (truth == 0).sum() / max(1.0, 2 * truth.sum())), 1.0).astype(np.float32)
-        # Few rows are gone through more often.
-        for _ in range(max(rules.epochs, rules.least_steps * rules.batch // len(chosen))):
-            order = rng.permutation(len(chosen))
-            for a in range(0, len(order), rules.batch):
-                rows = order[a : a + rules.batch]
-                span = spans[chosen[rows]]
-                used, index = np.unique(ids[np.maximum(span, 0)], return_inverse=True)
-                picks = np.repeat(at[used] - np.cumsum(counts[used]) + counts[used], counts[used])
-                local = whole[used], grams[picks + np.arange(len(picks))], np.append(0, np.cumsum(counts[used]))
-                mask = (span >= 0).astype(np.float32)
-                net.step(local, index.reshape(span.shape), mask, truth[rows], weight[rows])
-    net.moments = {}
-    top = np.maximum.reduceat(net.logits(net.vectors(slots), spans, ids), first)
-    return Model(net, shift=-_cut(top, target[has]))
-
-
-def _cut(logits: np.ndarray, truth: np.ndarray) -> float:
-    """The logit between the classes where the shares found and spared are highest, at three quarters of the gap: a clean
-    text takes the highest of many windows, so unseen ones reach further up than unseen toxic ones reach down."""
-    order = np.argsort(logits)
+    """Learn from labelled texts. Without texts of both classes, the score is the share of label 1.
+
+    The cut is placed by scores of networks that have not learned from the texts they score: equal texts are in one fold,
+    and texts longer than ``rules.characters`` are learned from by none. It is never above the one that the network's own
+    texts give, which counts alone where there are too few texts for folds.
+    """
+    sample = _Sample(texts, labels, rules)
+    short = np.array([len(t or "") <= rules.characters for t in texts], bool)
+    if not len(sample.spans) or not sample.both(short):
+        return Model(None, prior=float(sample.target.mean()) if len(sample.target) else 0.0)
+    fold = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % rules.folds for t in texts])
+    truth, cuts = sample.target[sample.has], []
+    parts = [short & (fold != k) for k in range(rules.folds)]
+    if rules.folds > 1 and all(map(sample.both, parts)):
+        top = np.empty(len(sample.has), np.float32)
+        for k, part in enumerate(parts):
+            top = np.where(fold[sample.has] == k, sample.highest(sample.learned(part)), top)
+        cuts.append(_cut(top, truth, rules.spare))
+    net = sample.learned(short)
+    cuts.append(_cut(sample.highest(net), truth, rules.spare))
+    return Model(net, shift=-min(cuts))
+
+
+def _cut(logits: np.ndarray, truth: np.ndarray, spare: float) -> float:
+    """The logit where the share of toxic texts found, less ``spare`` times the share of clean ones marked, is highest: the
+    middle between the two logits there."""
+    order = np.argsort(logits, kind="stable")
     logits, truth = logits[order], truth[order]
-    spared = np.append(0, np.cumsum(truth == 0)) / max(1, (truth == 0).sum())
+    marked = 1 - np.append(0, np.cumsum(truth == 0)) / max(1, (truth == 0).sum())
     found = 1 - np.append(0, np.cumsum(truth == 1)) / max(1, (truth == 1).sum())
-    k = int(np.argmax(spared + found))
+    worth = found - spare * marked
+    inner = np.append(np.append(True, logits[1:] > logits[:-1]), True)  # no cut between equal logits
+    k = int(np.argmax(np.where(inner, worth, -np.inf)))
     low = logits[k - 1] if k else logits[0] - 1
     high = logits[k] if k < len(logits) else logits[-1] + 1
-    return float(low + 0.75 * (high - low))
+    return float((low + high) / 2)
 
 
 def learning_labels(labels: DataFrame, label: str) -> DataFrame:
@@ -379,7 +457,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, cha
 
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> Model:
     """Learn from a bounded sample of labelled texts, on the driver."""
-    rows = learning_rows(docs, labels, "toxic", rules.rows, rules.characters).orderBy("doc_id", "text").toArrow()
+    rows = learning_rows(docs, labels, "toxic", rules.rows, rules.cut_characters).orderBy("doc_id", "text").toArrow()
     return train(rows.column("text").to_pylist(), rows.column("label").to_pylist(), rules)
 
 
