@@ -31,7 +31,7 @@ class ToxicityRules:
     hash of the id; characters: longest text that is learned from, cut_characters: longest that helps to place the cut (all
     texts are scored whole); doubt: standard errors taken off the odds of an n-gram; hard_windows: most windows of clean
     texts that score over one half and are learned from again, drawn evenly from all of them; folds: parts of the sample
-    scored by networks learned on the others, to place the cut; spare: what a clean text marked costs against a toxic one
+    scored by networks learned on the others, to place the cut (1: none, the time of learning grows with them); spare: what a clean text marked costs against a toxic one
     missed, in shares of each."""
 
     window: int = 24
@@ -54,7 +54,7 @@ class ToxicityRules:
     rate: float = 0.01
     seed: int = 11
     hard_windows: int = 20_000
-    folds: int = 3
+    folds: int = 1
     spare: float = 2.0
 
     def __post_init__(self):
