@@ -404,3 +404,22 @@ def test_toxicity_draws_its_hard_windows_from_all_clean_texts():
     scores = model.scores(texts)
     assert np.array_equal(scores, again.scores(texts))
     assert ((scores >= 0.5) == (np.array(truth) == 1)).mean() >= 0.9
+
+
+def test_toxicity_finds_unseen_toxic_documents(spark):
+    """Over sf0.1: labels of the held-out fold."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IN (0, 1)")
+    rows = QUERIES["op1_toxicity"](spark, folder).join(labels, "doc_id").where("held_out").collect()
+    toxic = [r.predicted for r in rows if r.toxic == 1]
+    clean = [r.predicted for r in rows if r.toxic == 0]
+    assert sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+
+
+@pytest.mark.parametrize(
+    ("logits", "truth", "low", "high"),
+    [([0, 1, 2, 3], [0, 0, 1, 1], 1, 2), ([0, 0, 0, 1], [0, 1, 1, 1], 0, 1), ([1, 1], [1, 1], 0, 1), ([1, 1], [0, 0], 1, 2)],
+)
+def test_toxicity_cut(logits, truth, low, high):
+    """The cut lies between the classes, never between equal logits, and beyond all where there is one class."""
+    assert low <= toxicity._cut(np.array(logits, float), np.array(truth), 2.0) <= high
