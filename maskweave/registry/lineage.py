@@ -121,7 +121,7 @@ def describe_statement(spark, folder):
     df = views(spark, folder, _JOINED).sql(_JOINED)
     found = G.lineage(df, _TABLES)
     rows = [
-        (name, family(field.dataType), *(f.identity or ("", "")))
+        (name, family(field.dataType), *((found.label(f.identity[0]), f.identity[1]) if f.identity else ("", "")))
         for (name, f), field in zip(found.outputs, df.schema.fields)
     ]
     meta = spark.createDataFrame(rows, "name string, family string, relation string, column string")

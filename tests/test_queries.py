@@ -14,3 +14,10 @@ def folder_of(tmp_path, **tables):
 def test_a_recursion_of_more_than_a_million_rows_ends(spark, tmp_path):
     customer = spark.range(340_000).select(F.col("id").alias("c_custkey"), F.lit("x").alias("c_name"), (F.col("id") % 25).alias("c_nationkey"))
     assert QUERIES["rel_recursive"](spark, folder_of(tmp_path, customer=customer)).count() == 3 * 340_000
+
+
+def test_described_columns_name_their_relation(spark):
+    rows = QUERIES["describe_statement"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r.name, r.relation, r.column) for r in rows} == {
+        ("n", "customer", "c_name"), ("u", "", ""), ("o_totalprice", "orders", "o_totalprice"), ("s", "", ""),
+    }
