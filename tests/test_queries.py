@@ -21,3 +21,15 @@ def test_described_columns_name_their_relation(spark):
     assert {(r.name, r.relation, r.column) for r in rows} == {
         ("n", "customer", "c_name"), ("u", "", ""), ("o_totalprice", "orders", "o_totalprice"), ("s", "", ""),
     }
+
+
+def overlapping(spark, tmp_path):
+    # An address whose end is the start of a card number, and one that a phone number runs into.
+    texts = [(1, "ensh 38.211.12.42 4366089147969128 ly"), (2, "ahe 38.253.197.126 488076134"), (3, "1.2.3.4 and"), (4, None), (5, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    return folder_of(tmp_path, documents=docs)
+
+
+def test_overlapping_identifiers_are_all_counted(spark, tmp_path):
+    rows = QUERIES["detect_distinct_texts"](spark, overlapping(spark, tmp_path)).collect()
+    assert {r.doc_id: r.n for r in rows} == {1: 2, 2: 2, 3: 1, 4: 0, 5: 0}
