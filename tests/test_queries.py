@@ -33,3 +33,10 @@ def overlapping(spark, tmp_path):
 def test_overlapping_identifiers_are_all_counted(spark, tmp_path):
     rows = QUERIES["detect_distinct_texts"](spark, overlapping(spark, tmp_path)).collect()
     assert {r.doc_id: r.n for r in rows} == {1: 2, 2: 2, 3: 1, 4: 0, 5: 0}
+
+
+def test_every_kind_of_overlapping_identifiers_is_told(spark, tmp_path):
+    rows = QUERIES["screen_texts"](spark, overlapping(spark, tmp_path)).collect()
+    assert {r.doc_id: (r.kinds, r.accepted) for r in rows} == {
+        1: ("credit_card,ip_address", False), 2: ("ip_address,phone_number", False), 3: ("ip_address", False), 4: ("", True), 5: ("", True),
+    }
