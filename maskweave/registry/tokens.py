@@ -333,9 +333,11 @@ SELECT p_partkey, start, "end", coalesce(start < max("end") OVER (PARTITION BY p
 FROM part JOIN h USING (p_name)
 """)
 def overlap_covered(spark, folder):
+    """Names repeat from part to part: each is searched, and its places compared, once."""
     entries = E.patterns(_part_words(spark, folder))
-    hits = E.window_hits(table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), entries)
-    return E.overlaps_by_window(hits).select(F.col("id").alias("p_partkey"), "start", "end", "covered")
+    parts = table(spark, folder, "part").select("p_partkey", F.sha2("p_name", 256).alias("id"), F.col("p_name").alias("text"))
+    hits = E.overlaps_by_window(E.window_hits(parts, entries, repeated=True))
+    return parts.join(hits, "id").select("p_partkey", "start", "end", "covered")
 
 
 @query("case_folding", r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}')) AS text_hits FROM documents""")

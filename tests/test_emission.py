@@ -96,3 +96,35 @@ def test_leaks_equal_a_plain_search(spark):
     assert {r.value for r in L.leaked_values([out], truth).collect()} == want
 
 
+
+
+def test_texts_side_by_side_are_told_apart(spark):
+    """Many texts in one array: no gram reaches over, a text that repeats gives its places once."""
+    texts = ["abcd", "efgh", "", "xabcdefghx" * 30, "abc", "dabcdefgh"] * 3
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    known = ["abcdefgh", "abcd", "efghx"]
+    want = [(i, m, m + len(v)) for i, t in enumerate(texts) for v in known for m in range(len(t)) if t.startswith(v, m)]
+    got = E.window_hits(rows, entries(spark, known)).collect()
+    assert sorted((r.id, r.start, r.end) for r in got) == sorted(want)
+    hits = E.window_hits(rows.withColumn("id", F.col("id") % 6), entries(spark, known), repeated=True).collect()
+    assert sorted((r.id, r.start, r.end) for r in hits) == sorted(w for w in want if w[0] < 6)
+
+
+def test_short_texts_are_searched_together():
+    batches = [E.pa.RecordBatch.from_arrays([E.pa.array(list("abc") * 1000), E.pa.array(["one", "two", "three"] * 1000)], names=["id", "text"])]
+    assert [len(b.rows) for b in E._blocks(iter(batches))] == [3000]
+    assert [len(b.rows) for b in E._blocks(iter(batches), repeated=True)] == [3]
+
+
+def test_pieces_of_a_long_text_lose_no_place(monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 64)
+    texts = ["ab", "abcdefghij" * 40, "", "xyzabcdefgh", "c" * 64]
+    batches = [E.pa.RecordBatch.from_arrays([E.pa.array(texts)], names=["text"])]
+    every = E.np.full(1 << 15, 255, E.np.uint8)
+    for q in E.GRAMS:
+        got = []
+        for b in E._blocks(iter(batches)):
+            grams, pieces, places = b.passing(q, every, 18)
+            got += [(b.rows[p], b.starts[p] + at, g) for g, p, at in zip(grams.tolist(), pieces.tolist(), places.tolist())]
+        want = [(k, at, g) for k, t in enumerate(texts) for at, g in enumerate(E._grams(E._points(t), q).tolist())]
+        assert sorted(got) == sorted(want)
