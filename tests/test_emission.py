@@ -128,3 +128,11 @@ def test_pieces_of_a_long_text_lose_no_place(monkeypatch):
             got += [(b.rows[p], b.starts[p] + at, g) for g, p, at in zip(grams.tolist(), pieces.tolist(), places.tolist())]
         want = [(k, at, g) for k, t in enumerate(texts) for at, g in enumerate(E._grams(E._points(t), q).tolist())]
         assert sorted(got) == sorted(want)
+
+
+def test_a_large_dictionary_is_not_held_by_every_worker(spark, monkeypatch):
+    some = spark.range(40).selectExpr("concat('customer#', id) AS pattern", "concat('t', id) AS token", "false AS short")
+    assert E.fits_dictionary(some)
+    monkeypatch.setattr(E, "DICTIONARY_ROWS", 39)
+    assert not E.fits_dictionary(some)
+    assert E.DICTIONARY_BYTES <= 16 << 20
