@@ -10,6 +10,7 @@ from maskweave.functions import nested
 from maskweave.functions.tokens import REDACTED
 from maskweave.operators import bindings as B
 from maskweave.operators import changes as C
+from maskweave.operators import leaks as L
 from maskweave.operators.masking import ColumnPolicy, Masking, mask
 from maskweave.plans import lineage as G
 from maskweave.sources import queries
@@ -117,3 +118,28 @@ def test_search_without_the_optional_library(monkeypatch):
     index = E.Index([("abcdef", "1", False), ("cdefgh", "2", False), ("bcde", "3", False), ("ab", "4", True)])
     assert sorted(index.all_hits("abcdefgh")) == [(0, 6, "1"), (1, 5, "3"), (2, 8, "2")]
     assert index.replace("\x1cab") == ("\x1cab", 0) and index.replace(" ab ") == ("4", 1)
+
+
+def test_strict_spans_leave_no_known_value_in_clear(spark):
+    """A card number behind another number fails the check as one long run; others stand inside a longer word."""
+    texts = ["card 4366089147969128 mail", "from 41 4366089147969128 mail", "4366089147969128 77 end", "host 10.20.30.40 up", "_10.20.30.40_ up",
+             "ssn 123-45-6789", "no 9123-45-67890", "pay DE89370400440532013000 now", "pay de89370400440532013000x now", "plain 12 words"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    truth = df.select(F.explode(F.flatten(F.array(*(D.matched(F.col("text"), e) for e in D.ENTITIES)))).alias("value")).distinct().select(F.lit("any").alias("kind"), "value")
+    assert truth.count() == 4
+
+    def leaks(**settings):
+        masked = mask(df, Masking({"text": ColumnPolicy("scan")}, **settings))
+        return L.leak_counts([masked], truth).first()["leaks"], [r[0] for r in masked.collect()]
+
+    assert leaks()[0] == 4  # the plain reading, which the SQL of the detection queries fixes
+    found, masked = leaks(detector=D.strict_spans)
+    assert found == 0 and masked[-1] == "plain 12 words" and masked[0] == "card ⟨redacted:credit_card⟩ mail"
+
+
+def test_masked_documents_leak_no_card_that_follows_a_number(spark, tmp_path):
+    from maskweave.registry import QUERIES
+
+    rows = [(1, "card 4366089147969128 mail"), (2, "from 41 4366089147969128 mail")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in QUERIES["leak_counts_masked"](spark, str(tmp_path)).collect()] == [("credit_card", 0)]
