@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from maskweave.functions import tokens
 from maskweave.operators import bounds, jsonpaths
+from maskweave.operators import propose as O
 from maskweave.session import cut_lineage, fits_broadcast
 from maskweave.sources import activity, policies, queries, schema, statistics
 
@@ -129,3 +130,14 @@ def test_over_large_requests_are_refused_or_told(spark):
         assert tokens.tag_length(4) == 4
     with pytest.raises(ValueError):
         tokens.tag_length(4)
+
+
+def test_samples_are_examined_in_one_pass(spark, tmp_path, capsys):
+    rows = [("m", "r", "a", "x@y.example"), ("m", "r", "a", "10.0.0.1 x@y.example"), ("m", "r", "a", None), ("m", "r", "b", "10.0.0.1 x@y.example"), ("m", "r", "c", "plain")]
+    spark.createDataFrame(rows, "schema string, relation string, column string, value string").write.parquet(str(tmp_path / "s"))
+    rates = O.sample_rates(spark.read.parquet(str(tmp_path / "s")))
+    capsys.readouterr()
+    rates.explain()
+    assert capsys.readouterr().out.count("FileScan") == 1
+    got = {r["column"]: (r["n"], r["examined"], r["entity"], round(r["rate"], 3)) for r in rates.collect()}
+    assert got == {"a": (3, False, "email_address", 0.667), "b": (1, True, "email_address", 1.0), "c": (1, True, "", 0.0)}
