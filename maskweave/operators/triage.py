@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskweave.functions import statements as S
+from maskweave.session import fits_broadcast
 
 READS = ("always", "uncertain", "never")
 WRITES = ("ask", "allow")
@@ -69,12 +70,38 @@ def facts_of(statements: DataFrame, known: Column | None = None) -> DataFrame:
     )
 
 
-def known_names(statement_relations: DataFrame, columns: DataFrame) -> DataFrame:
+#: Between the names of a relation, where they travel as one text; a name's own is written as two characters.
+_BETWEEN, _ESCAPE = "\x00", "\x01"
+
+
+def _escaped(name: Column) -> Column:
+    return F.replace(F.replace(name, F.lit(_ESCAPE), F.lit(_ESCAPE + "b")), F.lit(_BETWEEN), F.lit(_ESCAPE + "a"))
+
+
+def _unescaped(name: Column) -> Column:
+    return F.replace(F.replace(name, F.lit(_ESCAPE + "a"), F.lit(_BETWEEN)), F.lit(_ESCAPE + "b"), F.lit(_ESCAPE))
+
+
+def known_names(statement_relations: DataFrame, columns: DataFrame, small: bool | None = None) -> DataFrame:
     """Quoted names that normalisation may keep, per statement: its relations and their columns.
 
-    The result of one statement is bounded by the columns of the relations it names.
+    The result of one statement is bounded by the columns of the relations it names. Names travel as one text per relation.
+    Where all of them are measured to fit, they are sent to the statements, which then shuffle only their relations; else
+    they are joined. ``small`` overrides the measured choice, for tests.
     """
-    per_relation = columns.groupBy("schema", "relation").agg(F.collect_set("column").alias("columns"))
-    joined = statement_relations.join(per_relation, ["schema", "relation"], "left")
-    names = F.array_union(F.array("relation"), F.coalesce("columns", F.array().cast("array<string>")))
-    return joined.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(names)))).alias("known"))
+    listed = F.transform(F.concat(F.array("relation"), F.collect_set("column")), _escaped)
+    per_relation = columns.groupBy("schema", "relation").agg(F.concat_ws(_BETWEEN, listed).alias("names"))
+    if small is None:
+        small = fits_broadcast(per_relation, "schema", "relation", "names")
+    # As many tasks as were asked for: few bytes are shuffled by table, but each row gets all names of its relation.
+    parts = int(columns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if small:
+        joined = statement_relations.repartition(parts, "id").join(F.broadcast(per_relation), ["schema", "relation"], "left")
+    else:
+        joined = statement_relations.join(per_relation, ["schema", "relation"], "left")
+    told = joined.select("id", F.coalesce("names", _escaped(F.col("relation"))).alias("names"))
+    told = told if small else told.repartition(parts, "id")
+    texts = told.groupBy("id").agg(F.concat_ws(_BETWEEN, F.collect_list("names")).alias("names"), F.count("names").alias("n"))
+    names = F.split("names", _BETWEEN)
+    plain = F.when(F.contains("names", F.lit(_ESCAPE)), F.transform(names, _unescaped)).otherwise(names)
+    return texts.select("id", F.when(F.col("n") > 0, F.array_sort(F.array_distinct(plain))).otherwise(F.array().cast("array<string>")).alias("known"))

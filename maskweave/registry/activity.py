@@ -174,7 +174,7 @@ SELECT l_orderkey AS id, string_agg(DISTINCT name, ',' ORDER BY name) AS known F
 def known_names(spark, folder):
     e = derived(spark, folder, ESTATE)
     used = table(spark, folder, "lineitem").join(e, F.col("l_partkey") == F.col("position"))
-    names = T.known_names(used.select(F.col("l_orderkey").alias("id"), "schema", "relation").distinct(), e)
+    names = T.known_names(used.select(F.col("l_orderkey").alias("id"), "schema", "relation"), e)
     return names.select("id", F.array_join("known", ",").alias("known"))
 
 
