@@ -143,3 +143,22 @@ def test_masked_documents_leak_no_card_that_follows_a_number(spark, tmp_path):
     rows = [(1, "card 4366089147969128 mail"), (2, "from 41 4366089147969128 mail")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in QUERIES["leak_counts_masked"](spark, str(tmp_path)).collect()] == [("credit_card", 0)]
+
+
+def test_a_document_goes_by_paths_made_once_and_repeated_leaves_are_examined_once(spark):
+    from maskweave.operators import jsonpaths as J
+    from maskweave.session import spread
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def find(text):
+        calls.add(1)
+        return [(0, 2, "two", 1.0)]
+
+    rows = spark.createDataFrame([('{"a.b":"hello","a":{"b":["hello",1.50,"x"]}}',)] * 50, "doc string").coalesce(1)
+    paths = {"$.a.b": ("scan", ""), "$.a.b[*]": ("scan", "")}
+    got = rows.select(J.mask_paths(F.col("doc"), paths, None, detector=D.custom_detector(find))).distinct().collect()
+    assert [r[0] for r in got] == ['{"a.b":"⟨redacted:two⟩llo","a":{"b":["⟨redacted:two⟩llo",1.50,"⟨redacted⟩"]}}'] and calls.value == 2
+    assert J._leading({"$.a[*].c": 0, "$.ab": 0}) == {"$", "$.a", "$.a[*]", "$.a[*].c", "$.ab"}
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(rows).rdd.getNumPartitions() == 4 * cores
