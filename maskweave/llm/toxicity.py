@@ -11,17 +11,21 @@ score passes one half is set by texts that the network scoring them has not lear
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import held_out
 
+#: Words that are worked on at once, where each has all of its n-grams beside it.
+PART = 4_000
 TRIM = ".,;:!?\"'()[]{}<>*#|"
 
 
@@ -147,13 +151,20 @@ class Network:
         self.moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.w.items()}
         self.steps = 0
 
+    @classmethod
+    def of(cls, rules: ToxicityRules, tables: dict[str, np.ndarray]) -> Network:
+        """A network that has learned already."""
+        net = cls.__new__(cls)
+        net.rules, net.w, net.moments, net.steps = rules, tables, {}, 0
+        return net
+
     def vectors(self, slots) -> np.ndarray:
         """A vector per distinct word, in parts of bounded size."""
         whole, grams, at = slots
         out = np.empty((len(whole), self.rules.vector), np.float32)
-        for a in range(0, len(whole), 20_000):
-            b = min(a + 20_000, len(whole))
-            sums = np.add.reduceat(self.w["grams"][grams[at[a] : at[b]]].astype(np.float32), at[a:b] - at[a], axis=0)
+        for a in range(0, len(whole), PART):
+            b = min(a + PART, len(whole))
+            sums = np.add.reduceat(self.w["grams"][grams[at[a] : at[b]]].astype(np.float32, copy=False), at[a:b] - at[a], axis=0)
             out[a:b] = self.w["words"][whole[a:b]] + sums / (at[a + 1 : b + 1] - at[a:b])[:, None].astype(np.float32)
         return out
 
@@ -315,8 +326,14 @@ class _Sample:
 
     def _picks(self, used: np.ndarray) -> np.ndarray:
         """Places of the n-grams of these words."""
+        if not len(used):
+            return np.empty(0, np.int32)
         counts = self.counts[used]
-        return np.repeat(self.slots[2][used] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        ends = np.cumsum(counts)
+        out = np.ones(int(ends[-1]), np.int32)  # steps from place to place, then their sums
+        out[0] = self.slots[2][used[0]]
+        out[ends[:-1]] = self.slots[2][used[1:]] - self.slots[2][used[:-1] + 1] + 1
+        return np.cumsum(out, dtype=np.int32, out=out)
 
     def local(self, span: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
         """Slots of the distinct words of some windows, and the windows as numbers of these words."""
@@ -352,7 +369,11 @@ class _Sample:
                 seen[int(label), np.unique(grams[self._picks(np.unique(some))])] += 1
         odds = np.log((seen[1] + 0.5) / (texts[1] + 1)) - np.log((seen[0] + 0.5) / (texts[0] + 1))
         odds -= rules.doubt * np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
-        return np.maximum.reduceat(odds[grams], at[:-1]).astype(np.float32)
+        out = np.empty(len(at) - 1, np.float32)
+        for a in range(0, len(out), PART):
+            b = min(a + PART, len(out))
+            out[a:b] = np.maximum.reduceat(odds[grams[at[a] : at[b]]], at[a:b] - at[a])
+        return out
 
     def learned(self, part: np.ndarray) -> Network:
         """A network learned on the texts of ``part``."""
@@ -402,11 +423,12 @@ def train(texts: list[str], labels: list[int], rules: ToxicityRules = ToxicityRu
     and texts longer than ``rules.characters`` are learned from by none. It is never above the one that the network's own
     texts give, which counts alone where there are too few texts for folds.
     """
-    sample = _Sample(texts, labels, rules)
     short = np.array([len(t or "") <= rules.characters for t in texts], bool)
+    fold = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % rules.folds for t in texts])
+    sample = _Sample(texts, labels, rules)
+    del texts  # the sample holds them as numbers
     if not len(sample.spans) or not sample.both(short):
         return Model(None, prior=float(sample.target.mean()) if len(sample.target) else 0.0)
-    fold = np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % rules.folds for t in texts])
     truth, cuts = sample.target[sample.has], []
     parts = [short & (fold != k) for k in range(rules.folds)]
     if rules.folds > 1 and all(map(sample.both, parts)):
@@ -456,9 +478,23 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, cha
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules()) -> Model:
-    """Learn from a bounded sample of labelled texts, on the driver."""
-    rows = learning_rows(docs, labels, "toxic", rules.rows, rules.cut_characters).orderBy("doc_id", "text").toArrow()
-    return train(rows.column("text").to_pylist(), rows.column("label").to_pylist(), rules)
+    """Learn from a bounded sample of labelled texts. One task learns, since the driver may be small; its tables come back."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: dict[str, list] = {"text": [], "label": []}
+        for batch in batches:
+            for name, values in some.items():
+                values += batch.column(name).to_pylist()
+        model = train(some.pop("text"), some.pop("label"), rules)
+        told = (model.network and model.network.w, model.shift, model.prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(told)])], names=["model"])
+
+    rows = learning_rows(docs, labels, "toxic", rules.rows, rules.cut_characters)
+    told = rows.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(learn, "model binary").toArrow()
+    if not told.num_rows:  # no row to learn from, and no task either
+        return Model(None)
+    tables, shift, prior = pickle.loads(told.column("model")[0].as_py())
+    return Model(tables and Network.of(rules, tables), shift, prior)
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

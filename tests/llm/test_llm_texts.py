@@ -423,3 +423,18 @@ def test_toxicity_finds_unseen_toxic_documents(spark):
 def test_toxicity_cut(logits, truth, low, high):
     """The cut lies between the classes, never between equal logits, and beyond all where there is one class."""
     assert low <= toxicity._cut(np.array(logits, float), np.array(truth), 2.0) <= high
+
+
+def test_toxicity_is_learned_in_a_task_from_the_same_rows(spark, tmp_path):
+    import resource
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.learning_rows(docs, labels, "toxic", 2500, 100_000).orderBy("doc_id", "text").toArrow()
+    here = toxicity.train(rows.column("text").to_pylist(), rows.column("label").to_pylist())
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_utime
+    there = toxicity.fit(docs, labels)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_utime - before < 3  # the driver does not learn
+    assert there.shift == pytest.approx(here.shift, abs=1e-3)
+    texts = rows.column("text").to_pylist()[:40] + [None, "", "one word"]
+    assert there.scores(texts) == pytest.approx(here.scores(texts), abs=1e-3)
+    assert toxicity.fit(docs, labels.where("false")).network is None
