@@ -136,3 +136,38 @@ def test_a_large_dictionary_is_not_held_by_every_worker(spark, monkeypatch):
     monkeypatch.setattr(E, "DICTIONARY_ROWS", 39)
     assert not E.fits_dictionary(some)
     assert E.DICTIONARY_BYTES <= 16 << 20
+
+
+def test_the_gate_lets_few_other_places_through(spark):
+    rng = random.Random(5)
+    digits = ["".join(rng.choice("0123456789") for _ in range(12)) for _ in range(2000)]
+    texts = spark.createDataFrame([(i, "".join(rng.choice("0123456789") for _ in range(5000))) for i in range(40)], "id int, text string")
+    known = entries(spark, digits)
+    *_, bits, shared = E._rarest_keys(texts.select("text"), known)
+    rows = E.pa.RecordBatch.from_arrays([E.pa.array([r.text for r in texts.collect()])], names=["text"])
+    through = sum(len(b.passing(8, shared.value, bits)[0]) for b in E._blocks(iter([rows])))
+    assert through < 0.003 * 40 * 5000
+    found = E.window_hits(texts.unionByName(texts.limit(0)), entries(spark, [*digits[:5], rows.column("text")[3].as_py()[70:82]]))
+    assert (3, 70) in [(r.id, r.start) for r in found.collect()]
+
+
+def test_grams_are_counted_inside_texts_only():
+    texts = ["abab", "", "ab", "a", "xyzzy", "名ab"] * 3
+    for b in E._blocks(iter([E.pa.RecordBatch.from_arrays([E.pa.array(texts)], names=["text"])])):
+        for q in E.GRAMS:
+            want = E.np.zeros(1 << E.CLASS_BITS, int)
+            for t in texts:
+                for g in E._grams(E._points(t), q).tolist():
+                    want[g >> (64 - E.CLASS_BITS)] += 1
+            assert (b.counted(q) == want).all()
+
+
+def test_places_near_the_cut_of_a_long_text(spark):
+    values = ["abcdefgh12", "12.5", "é9"]
+    text = "x" * (E.BLOCK - 5) + "ABCDEFGH12 12.5 " + "名" * (E.BLOCK - 20) + "(12.5) É9"
+    rows = spark.createDataFrame([(1, "abcdefgh 1212.5"), (2, text), (3, "é9")], "id int, text string").coalesce(1)
+    known = spark.createDataFrame([(v, v, False) for v in values], "pattern string, token string, short boolean")
+    want = {(i, m) for i, t in ((1, "abcdefgh 1212.5"), (2, text.lower()), (3, "é9")) for v in values for m in range(len(t)) if t.startswith(v, m)}
+    assert {(r.id, r.start) for r in E.window_hits(rows, known).collect()} == want
+    around = {(r.token, r.folded[max(0, r.start - 1) : r.end + 1]) for r in E.surroundings(rows, known).collect()}
+    assert around == {("abcdefgh12", "xabcdefgh12 "), ("12.5", " 12.5 "), ("12.5", "(12.5)"), ("12.5", "212.5"), ("é9", " é9"), ("é9", "é9")}
