@@ -63,3 +63,21 @@ def test_bad_spans_mask_the_cell(spark):
     bad = [[(0, 9, "x", 1.0)], [(2, 2, "x", 1.0)], [(0, 2, "x", 1.0), (1, 3, "y", 1.0)], [(-1, 2, "x", 1.0)]]
     df = spark.createDataFrame([("abc", b) for b in bad], f"t string, s {D.SPANS_TYPE}")
     assert {r[0] for r in df.select(D.redact_spans(F.col("t"), F.col("s"))).collect()} == {"⟨redacted⟩"}
+
+
+def test_a_look_at_the_first_character_and_for_a_digit_loses_no_match(spark):
+    rng = random.Random(23)
+    parts = ["4532-0151-1283-0366", "4532015112830366", "10.0.0.1", "123-45-6789", "(555) 123-4567", "+1 555.123.4567", "a@b.co", "DE89370400440532013000", "é", "_", " ", "1", "x", "", "-", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(8))) for _ in range(400)] + TEXTS
+    for e in (e for e in D.ENTITIES if e is not D.EMAIL):
+        plain = f"{D._BEFORE}(?:{e.pattern}){D._AFTER}" if e.word else e.pattern
+        assert e.java.startswith("(?=[") and [e.matches(t) for t in texts] == [[m.span() for m in D.re.finditer(plain, t)] for t in texts]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    each = F.array(*(F.regexp_extract_all("t", F.lit(e.java), F.lit(0)) for e in D.ENTITIES))
+    kept = F.array(*(D.matched(F.col("t"), e) for e in D.ENTITIES))
+    for t, all_values, found, by_kind in df.select("t", D.values(F.col("t"), "kind"), each, kept).collect():
+        if t is None:
+            assert all_values is None and found == by_kind == [None] * len(D.ENTITIES)
+        else:
+            assert [(v.kind, v.value) for v in all_values] == [(e.name, m) for e, ms in zip(D.ENTITIES, by_kind) for m in ms]
+            assert all(b == f for e, f, b in zip(D.ENTITIES, found, by_kind) if not e.valid)
