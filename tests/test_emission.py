@@ -171,3 +171,19 @@ def test_places_near_the_cut_of_a_long_text(spark):
     assert {(r.id, r.start) for r in E.window_hits(rows, known).collect()} == want
     around = {(r.token, r.folded[max(0, r.start - 1) : r.end + 1]) for r in E.surroundings(rows, known).collect()}
     assert around == {("abcdefgh12", "xabcdefgh12 "), ("12.5", " 12.5 "), ("12.5", "(12.5)"), ("12.5", "212.5"), ("é9", " é9"), ("é9", "é9")}
+
+
+def test_texts_are_not_shuffled_for_few_answers(spark, monkeypatch):
+    """Both joins of texts, by their places and with their answers, send the small side; a large one is left to a shuffle."""
+    rows = [(i, f"text {i % 50} with {'anna.smith' if i % 5 == 0 else 'nobody'} in it") for i in range(400)] + [(400, None), (401, "li")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    known = entries(spark, ["anna.smith", "Li"])
+    sent = E.replace_known(df, ["t"], known, counts=True, small=False)
+    plan = sent._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    want = {(i, t and t.replace("anna.smith", "⟨v1:0000⟩").replace("li", "⟨v1:0001⟩"), int(bool(t) and ("anna" in t or t == "li"))) for i, t in rows}
+    assert {tuple(r) for r in sent.collect()} == want
+    monkeypatch.setattr(E, "fits_broadcast", lambda *_, **__: False)
+    shuffled = E.replace_known(df, ["t"], known, counts=True, small=False)
+    assert "strategy=broadcast" not in shuffled._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in shuffled.collect()} == want
