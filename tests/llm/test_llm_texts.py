@@ -200,6 +200,33 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_take_few_jobs(spark):
+    """The driver holds what it plans and serves for each job; a task's own edges need no rounds. Small pieces agree."""
+    rng = random.Random(3)
+    path = list(range(300))
+    rng.shuffle(path)
+    edges = list(zip(path, path[1:], strict=False)) + [(rng.randrange(-900, 0), rng.randrange(-900, 0)) for _ in range(500)]
+    above = {}
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        above[high] = low
+    want = {x: root(x) for x in above}
+    frame = spark.createDataFrame(edges, "a bigint, b bigint")
+    spark.sparkContext.setJobGroup("components", "")
+    got = {r.id: r.component for r in components(frame).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert got == want and jobs <= 20
+    pieces = components(frame.repartition(4), at_once=8)
+    assert {r.id: r.component for r in pieces.collect()} == want
+
+
 def test_bpe_equals_library(spark, odd, documents, none):
     ranks = bpe.read_ranks(spark, BPE_PATH)
     whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
