@@ -1,8 +1,8 @@
 """A masked result in two passes: policies first, then known values wherever else they show.
 
 A value that is a token in one column may stand in a free text, an array, a map, a row or a JSON document of another.
-Texts inside a value are taken out with the number of their row, searched as rows of one column, and only those that
-changed come back: what a text becomes depends on the text alone, so a row needs no places, only its changed texts.
+Texts inside a value are taken out as a list beside their row and searched there, and only those that changed come back:
+what a text becomes depends on the text alone, so a row needs no places, only its changed texts.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from maskweave.functions.nested import has_text, leaves, map_strings
 from maskweave.operators.emission import patterns, replace_known
 from maskweave.operators.jsonpaths import document_strings, put_strings
 from maskweave.operators.masking import Masking, mask, mask_column, resolve, value_text
-from maskweave.session import cut_lineage
 
 
 def _is_json(f: T.StructField, json: frozenset[str]) -> bool:
@@ -32,26 +31,22 @@ def replace_in_leaves(
     Map keys, bytes read as UTF-8 and the strings of JSON documents are texts too; numbers and all else stay. JSON columns
     are those in ``json`` and those whose metadata say so. ``counts`` adds a column ``<name>_hits`` of replacements for
     each column with texts. Null stays null; a repeated row is a row each time; an empty table or no entries change
-    nothing. A row's changed texts meet in one group, bounded by the row itself.
+    nothing.
     """
     fields = [f for f in df.schema.fields if has_text(f.dataType)]
     if not fields:
         return df
-    # The rows are numbered once, in the checkpoint folder, so that a lost executor doesn't deal out other numbers.
-    cells = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    rows = cut_lineage(df.select(F.monotonically_increasing_id().alias("n"), cells.alias("row")))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
 
     def texts_of(f: T.StructField) -> Column:
         value = F.col("row").getField(f.name)
-        return document_strings(value) if _is_json(f, json) else leaves(value, f.dataType)
+        return F.filter(document_strings(value) if _is_json(f, json) else leaves(value, f.dataType), lambda s: s != "")
 
-    found = rows.select("n", F.posexplode(F.array(*(texts_of(f) for f in fields))).alias("at", "texts"))
-    texts = found.select("n", "at", F.explode("texts").alias("was")).where("was != ''").withColumn("text", F.col("was"))
-    changed = replace_known(texts, ["text"], entries, counts=True, small=small).where("text_hits > 0")
-    change = F.struct("at", "was", "text", F.col("text_hits").cast("long").alias("hits"))
-    known = rows.join(changed.groupBy("n").agg(F.collect_list(change).alias("changes")), "n", "left")
-    pairs = F.array_distinct(F.transform("changes", lambda c: F.struct(c["was"].alias("was"), c["text"].alias("text"))))
-    known = known.select("row", "changes", pairs.alias("pairs")).select("*", F.map_from_entries("pairs").alias("partner"))
+    lists = [f"texts{at}" for at in range(len(fields))]
+    rows = rows.select("row", *(texts_of(f).alias(c) for f, c in zip(fields, lists, strict=True)))
+    known = replace_known(rows, lists, entries, small=small)
+    changes = [F.transform(c, lambda c: F.struct(c["was"].alias("was"), c["text"].alias("text"))) for c in lists]
+    known = known.select("*", F.array_distinct(F.concat(*changes)).alias("pairs")).select("*", F.map_from_entries("pairs").alias("partner"))
 
     def shown(f: T.StructField) -> Column:
         value = F.col("row").getField(f.name)
@@ -62,13 +57,12 @@ def replace_in_leaves(
         partner = F.col("partner")
         return map_strings(value, f.dataType, lambda s: F.coalesce(F.try_element_at(partner, s), s))
 
-    def hits(at: int) -> Column:
-        own = F.filter("changes", lambda c: c["at"] == at)
-        return F.coalesce(F.aggregate(own, F.lit(0).cast("long"), lambda n, c: n + c["hits"]), F.lit(0))
+    def hits(c: str) -> Column:
+        return F.aggregate(c, F.lit(0).cast("long"), lambda n, c: n + c["hits"])
 
     out = [shown(f).alias(f.name, metadata=f.metadata or {}) for f in df.schema.fields]
     if counts:
-        out += [hits(at).alias(f"{f.name}_hits") for at, f in enumerate(fields)]
+        out += [hits(c).alias(f"{f.name}_hits") for f, c in zip(fields, lists, strict=True)]
     return known.select(*out)
 
 
